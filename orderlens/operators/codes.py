@@ -47,24 +47,27 @@ def category_codes(
 ) -> DataFrame:
     """Codes 0..n-1 in value order for each feature, as (feature, value, code).
 
-    Counts the distinct values first, stopping at the bound. Past it they are
-    range-partitioned and numbered by partition offset plus position; that sorted
-    table is checkpointed, because both steps must see the same partitions even
-    after an executor is lost.
+    The distinct values are checkpointed when this is called: they are counted,
+    numbered and then joined once per feature, and ``df`` is read for that only
+    once. Up to the bound a window numbers them and the result is marked for
+    broadcast. Past it they are range-partitioned and numbered by partition offset
+    plus position, and joins are left to Spark.
     """
-    values = _distinct_values(df, columns)
-    few = values.limit(single_task_values + 1).count() <= single_task_values
+    ensure_checkpoint_dir(df.sparkSession)
+    values = _distinct_values(df, columns).checkpoint()
+    few = values.count() <= single_task_values
     if few:
         order = Window.partitionBy("feature").orderBy("number", "value")
         coded = values.withColumn("code", F.row_number().over(order) - 1)
     else:
         coded = _codes_by_offset(values)
-    return coded.select("feature", "value", F.col("code").cast("int").alias("code"))
+    table = coded.select("feature", "value", F.col("code").cast("int").alias("code"))
+    return F.broadcast(table) if few else table
 
 
 def _codes_by_offset(values: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(values.sparkSession)
-    # a monotonic id is the partition number in the high bits, the position in the low 33
+    # checkpointed, as counting and numbering must see the same partitions even after an
+    # executor is lost; a monotonic id is the partition number in the high bits, the position in the low 33
     placed = (
         values.orderBy("feature", "number", "value")
         .withColumn("id", F.monotonically_increasing_id())

@@ -34,6 +34,35 @@ def daily_demand(lines: DataFrame, measure: str | None = None, ts: str = "Create
     )
 
 
+def daily_activity(lines: DataFrame, ts: str = "CreateDate") -> DataFrame:
+    """Daily demand with the number of order lines and the first and last order time.
+
+    From this table both the history and the relationship summary of a series
+    follow, so the lines are scanned once for the two.
+    """
+    return (
+        _keyed(lines, SERIES, ts)
+        .groupBy(*SERIES, "Date")
+        .agg(
+            F.coalesce(F.sum("OrderUnits"), F.lit(0.0)).alias("Quantity"),
+            F.count("OrderUnits").alias("Lines"),
+            F.min(ts).alias("FirstTime"),
+            F.max(ts).alias("LastTime"),
+        )
+    )
+
+
+def series_histories(activity: DataFrame) -> DataFrame:
+    """One row per series: order count, first and last order, and its days in order."""
+    day = F.struct(F.col("Date").alias("timestamp"), F.col("Quantity").alias("y"))
+    return activity.groupBy(*SERIES).agg(
+        F.sum("Lines").alias("OrderCount"),
+        F.min("FirstTime").alias("FirstOrderDate"),
+        F.max("LastTime").alias("LastOrderDate"),
+        F.sort_array(F.collect_list(day)).alias("points"),
+    )
+
+
 def product_table(lines: DataFrame) -> DataFrame:
     """One row per product: its least (name, category, vendor) tuple.
 

@@ -90,27 +90,30 @@ def series_length_stats(lengths: DataFrame) -> DataFrame:
 def series_length_histogram(lengths: DataFrame, bins: int = 30) -> DataFrame:
     """Equal-width bins over the range of lengths, empty bins included.
 
-    Lengths are reduced to (length, number of series) before the range is looked
-    up; a single common length gets bins half a day around it.
+    Lengths are reduced to (length, number of series), no more rows than there are
+    calendar days; the bins are then filled within one row. A single common length
+    gets bins half a day around it.
     """
     counted = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    edges = lengths.agg(
-        F.min("length").cast("double").alias("low"), F.max("length").cast("double").alias("high")
-    ).select(
-        F.when(F.col("low") == F.col("high"), F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
-        F.when(F.col("low") == F.col("high"), F.col("high") + 0.5).otherwise(F.col("high")).alias("high"),
-    )
-    edge = edges.select(F.struct("low", "high")).scalar()
-    low, high = edge["low"], edge["high"]
-    bin_of = F.least(F.floor((F.col("length") - low) * bins / (high - low)), F.lit(bins - 1))
-    filled = counted.groupBy(bin_of.cast("int").alias("bin")).agg(F.sum("n").alias("n"))
-    every = edges.where("low is not null").select(
-        "low", "high", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    )
-    width = (F.col("high") - F.col("low")) / bins
-    return every.join(filled, "bin", "left").select(
-        "bin",
-        (F.col("low") + F.col("bin") * width).alias("bin_start"),
-        (F.col("low") + (F.col("bin") + 1) * width).alias("bin_end"),
-        F.coalesce("n", F.lit(0)).alias("n_series"),
-    )
+    low, high = F.min("length").cast("double"), F.max("length").cast("double")
+    single = low == high
+    facts = counted.agg(
+        F.when(single, low - 0.5).otherwise(low).alias("low"),
+        F.when(single, high + 0.5).otherwise(high).alias("high"),
+        F.collect_list(F.struct("length", "n")).alias("counts"),
+    ).where("low is not null")
+    width = F.col("high") - F.col("low")
+
+    def bin_of(length):
+        return F.least(F.floor((length - F.col("low")) * bins / width), F.lit(bins - 1))
+
+    def fill(bin_no):
+        inside = F.filter("counts", lambda c: bin_of(c["length"]) == bin_no)
+        return F.struct(
+            bin_no.alias("bin"),
+            (F.col("low") + bin_no * width / bins).alias("bin_start"),
+            (F.col("low") + (bin_no + 1) * width / bins).alias("bin_end"),
+            F.aggregate(inside, F.lit(0).cast("bigint"), lambda n, c: n + c["n"]).alias("n_series"),
+        )
+
+    return facts.select(F.inline(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), fill)))

@@ -58,23 +58,23 @@ def fallback_forecast(lookup: DataFrame, as_of: Column, days: int = 7, k: int =
 # --- the built-in model: quantiles per weekday ----------------------------------------
 
 
-def seasonal_profile(history: DataFrame) -> DataFrame:
-    """Quantiles of each series per weekday, as an array of seven.
+def _profile(rows: DataFrame, keys: list[str], fit: Column, *extra: Column) -> DataFrame:
+    """Quantiles per weekday of each key's (timestamp, y) rows that ``fit`` holds for.
 
-    All weekdays and the whole series come out of one aggregation by item; a
-    weekday without history takes the quantiles of the whole series.
+    All weekdays and the whole series come out of one aggregation, which takes
+    ``extra`` aggregates along; a weekday without history gets the quantiles of the
+    whole series. A key has at most one row per calendar day.
     """
     wanted = F.array(*[F.lit(q) for q in QUANTILES.values()])
-    y = F.col("target_value").cast("double")
-    per_day = [F.percentile(F.when(F.weekday("timestamp") == d, y), wanted) for d in range(7)]
-    return (
-        history.groupBy("item_id")
-        .agg(F.percentile(y, wanted).alias("whole"), *[q.alias(f"d{i}") for i, q in enumerate(per_day)])
-        .select(
-            "item_id",
-            F.array(*[F.coalesce(f"d{i}", "whole") for i in range(7)]).alias("weekdays"),
-        )
+    y = F.when(fit, F.col("y").cast("double"))
+    days = {
+        f"_d{d}": F.percentile(F.when(F.weekday("timestamp") == d, y), wanted) for d in range(7)
+    }
+    profiled = rows.groupBy(*keys).agg(
+        *extra, F.percentile(y, wanted).alias("_whole"), *[q.alias(name) for name, q in days.items()]
     )
+    by_day = F.array(*[F.coalesce(name, "_whole") for name in days])
+    return profiled.withColumn("weekdays", by_day).drop("_whole", *days)
 
 
 def _from_profile(day: Column) -> dict[str, Column]:
@@ -83,24 +83,54 @@ def _from_profile(day: Column) -> dict[str, Column]:
     return {**columns, "mean": columns["p50"]}
 
 
-def seasonal_forecast(
-    history: DataFrame, as_of: Column, horizon: int = PREDICTION_LENGTH
-) -> DataFrame:
-    """Forecast of the ``horizon`` days from ``as_of`` on for every series in the history."""
-    days = seasonal_profile(history).withColumn("ds", F.explode(following_days(as_of, horizon)))
+def _forecast_days(profiled: DataFrame, as_of: Column, horizon: int) -> DataFrame:
+    days = profiled.withColumn("ds", F.explode(following_days(as_of, horizon)))
     return days.withColumns(_from_profile(F.col("ds"))).drop("weekdays")
 
 
-def score_rows(rows: DataFrame, profile: DataFrame) -> DataFrame:
-    """Add the profile's forecast to rows with an item and a day."""
-    joined = rows.join(profile, "item_id")
-    return joined.withColumns(_from_profile(F.col("timestamp"))).drop("weekdays")
+def forecast_histories(
+    histories: DataFrame, keys: list[str], as_of: Column, horizon: int = PREDICTION_LENGTH
+) -> DataFrame:
+    """Forecast rows for series with their ``points``; all other columns are kept.
+
+    Unpacking the points keeps rows where they are, so the aggregation by key
+    needs no shuffle after one by the key or a part of it.
+    """
+    rest = [name for name in histories.columns if name not in (*keys, "points")]
+    rows = histories.select(*keys, *rest, F.inline("points"))
+    along = [F.max(name).alias(name) for name in rest]
+    return _forecast_days(_profile(rows, keys, F.lit(True), *along), as_of, horizon)
+
+
+def _points(history: DataFrame) -> DataFrame:
+    return history.select("item_id", "timestamp", F.col("target_value").alias("y"))
+
+
+def seasonal_forecast(
+    history: DataFrame, as_of: Column, horizon: int = PREDICTION_LENGTH
+) -> DataFrame:
+    """Forecast of the ``horizon`` days from ``as_of`` on for every item of a long table."""
+    profiled = _profile(_points(history), ["item_id"], F.lit(True))
+    return _forecast_days(profiled, as_of, horizon)
 
 
 def evaluate_holdout(split: DataFrame) -> DataFrame:
-    """Hold-out rows with the forecast of a model fitted to the training rows only."""
-    profile = seasonal_profile(split.where(F.col("split") == "train"))
-    return score_rows(split.where(F.col("split") == "test").drop("split"), profile)
+    """Hold-out rows with the forecast of a model fitted to the training rows only.
+
+    The hold-out rows ride along in the aggregation that fits the model and are
+    unpacked behind it: no join, and no shuffle beyond that of the split.
+    """
+    test = F.when(F.col("split") == "test", F.struct("timestamp", F.col("y").cast("double").alias("y")))
+    rows = split.select("item_id", "timestamp", F.col("target_value").alias("y"), "split")
+    profiled = _profile(
+        rows, ["item_id"], F.col("split") == "train", F.sort_array(F.collect_list(test)).alias("test")
+    )
+    scored = profiled.select("item_id", "weekdays", F.inline("test"))
+    return (
+        scored.withColumnRenamed("y", "target_value")
+        .withColumns(_from_profile(F.col("timestamp")))
+        .drop("weekdays")
+    )
 
 
 # --- other models ---------------------------------------------------------------------
@@ -232,13 +262,12 @@ def quantile_loss(scored: DataFrame, keys: list[str] | None = None) -> DataFrame
 def result_records(scored: DataFrame) -> DataFrame:
     """Metrics with the actual and predicted values of each series, as arrays."""
     row = F.struct("timestamp", F.col("target_value").alias("actual"), "p10", "p50", "p90")
-    arrays = scored.groupBy("item_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    metrics = forecast_accuracy(scored).select(
-        "item_id", F.struct("rmse", "mape", "mae", "mase").alias("metrics")
+    grouped = _with_step(scored).groupBy("item_id").agg(
+        *_metrics(), F.sort_array(F.collect_list(row)).alias("rows")
     )
-    return metrics.join(arrays, "item_id").select(
+    return grouped.select(
         "item_id",
-        "metrics",
+        F.struct("rmse", "mape", "mae", "mase").alias("metrics"),
         F.col("rows.actual").alias("actual_values"),
         F.col("rows.p50").alias("predicted_values"),
         F.col("rows.p10").alias("p10_values"),

@@ -43,6 +43,15 @@ def relationships(lines: DataFrame, ts: str = "CreateDate") -> DataFrame:
     )
 
 
+def relationships_of(activity: DataFrame) -> DataFrame:
+    """The same from the daily activity table, without the lines."""
+    return activity.groupBy(*SERIES).agg(
+        F.sum("Lines").alias("OrderCount"),
+        F.min("FirstTime").alias("FirstOrderDate"),
+        F.max("LastTime").alias("LastOrderDate"),
+    )
+
+
 def customer_product_lookup(relations: DataFrame, products: DataFrame, how: str = "left") -> DataFrame:
     """Relationships with product text; ``how="inner"`` keeps known products only."""
     return relations.join(products, "ProductID", how).select(*CUSTOMER_PRODUCT_COLUMNS)

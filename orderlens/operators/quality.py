@@ -87,61 +87,94 @@ def unexpected_types(df: DataFrame) -> list[tuple[str, str]]:
 
 
 # --- checks of the values -------------------------------------------------------------
+#
+# Each check names the aggregates it needs and how rows are made from them, so that
+# several checks of a table share one pass over it.
 
 
-def null_checks(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def _null_facts(df: DataFrame) -> dict[str, Column]:
+    present = [c for c in CRITICAL_COLUMNS if c in df.columns]
+    return {"total": F.count(F.lit(1))} | {
+        f"null_{c}": count_where(F.col(c).isNull()) for c in present
+    }
+
+
+def _null_rows(df: DataFrame) -> list[Column]:
+    rows = []
+    for c in CRITICAL_COLUMNS:
+        if c in df.columns:
+            n, total_rows = F.col(f"null_{c}"), F.col("total")
+            status = (
+                F.when(n > total_rows * EXCESSIVE_NULL_SHARE, "issue").when(n > 0, "warning").otherwise("ok")
+            )
+            rows.append(
+                F.struct(
+                    F.lit(c).alias("column_name"),
+                    n.alias("null_count"),
+                    ratio(n * 100.0, total_rows, 0.0).alias("null_pct"),
+                    status.alias("status"),
+                )
+            )
+    return rows
+
+
+def null_checks(df: DataFrame) -> DataFrame:
     """Null count and share of each critical column; any is a warning, over a tenth an issue."""
-    present = [c for c in (columns or CRITICAL_COLUMNS) if c in df.columns]
-    counts = df.agg(
-        F.count(F.lit(1)).alias("total"),
-        *[count_where(F.col(c).isNull()).alias(c) for c in present],
-    )
-    long = counts.unpivot(["total"], present, "column_name", "null_count")
-    n, rows = F.col("null_count"), F.col("total")
-    return long.select(
-        "column_name",
-        "null_count",
-        ratio(n * 100.0, rows, 0.0).alias("null_pct"),
-        F.when(n > rows * EXCESSIVE_NULL_SHARE, "issue")
-        .when(n > 0, "warning")
-        .otherwise("ok")
-        .alias("status"),
-    )
+    facts = df.agg(*[fact.alias(name) for name, fact in _null_facts(df).items()])
+    return facts.select(F.inline(F.array(*_null_rows(df))))
+
+
+def _date_facts(df: DataFrame, column: str) -> dict[str, Column]:
+    ts = _parsed_date(df, column)
+    return {
+        "invalid_dates": count_where(ts.isNull()),
+        "min_date": F.to_date(F.min(ts)),
+        "max_date": F.to_date(F.max(ts)),
+    }
+
+
+def _date_flags(as_of: dt.date) -> dict[str, Column]:
+    now = F.lit(as_of)
+    return {
+        "too_old": F.coalesce(F.col("min_date") < F.date_sub(now, PAST_DAYS), F.lit(False)),
+        "too_new": F.coalesce(F.col("max_date") > F.date_add(now, FUTURE_DAYS), F.lit(False)),
+    }
 
 
 def date_checks(df: DataFrame, as_of: dt.date, column: str = "CreateDate") -> DataFrame:
     """Unreadable dates, and whether the range reaches unusually far back or ahead."""
-    facts = df.select(_parsed_date(df, column).alias("ts")).agg(
-        count_where(F.col("ts").isNull()).alias("invalid_dates"),
-        F.to_date(F.min("ts")).alias("min_date"),
-        F.to_date(F.max("ts")).alias("max_date"),
-    )
-    now = F.lit(as_of)
-    return facts.withColumns(
-        {
-            "too_old": F.coalesce(F.col("min_date") < F.date_sub(now, PAST_DAYS), F.lit(False)),
-            "too_new": F.coalesce(F.col("max_date") > F.date_add(now, FUTURE_DAYS), F.lit(False)),
-        }
-    )
+    facts = df.agg(*[fact.alias(name) for name, fact in _date_facts(df, column).items()])
+    return facts.withColumns(_date_flags(as_of))
+
+
+def _value_kinds(df: DataFrame) -> dict[str, tuple[str, str]]:
+    present = [c for c in ["OrderUnits", "Price"] if c in df.columns]
+    return {f"{kind}_{c}": (c, kind) for c in present for kind in ["negative", "zero"]}
+
+
+def _value_facts(df: DataFrame) -> dict[str, Column]:
+    return {
+        name: count_where(F.col(c) < 0 if kind == "negative" else F.col(c) == 0)
+        for name, (c, kind) in _value_kinds(df).items()
+    }
+
+
+def _value_rows(df: DataFrame) -> list[Column]:
+    return [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.lit(kind).alias("problem"),
+            F.col(name).alias("row_count"),
+            F.when(F.col(name) > 0, "warning").otherwise("ok").alias("status"),
+        )
+        for name, (c, kind) in _value_kinds(df).items()
+    ]
 
 
 def value_checks(df: DataFrame) -> DataFrame:
     """Negative and zero units and prices, one row per kind."""
-    present = [c for c in ["OrderUnits", "Price"] if c in df.columns]
-    kinds = {f"{c}_{kind}": (c, kind) for c in present for kind in ["negative", "zero"]}
-    counts = df.agg(
-        *[
-            count_where(F.col(c) < 0 if kind == "negative" else F.col(c) == 0).alias(name)
-            for name, (c, kind) in kinds.items()
-        ]
-    )
-    long = counts.unpivot([], list(kinds), "kind", "row_count")
-    return long.select(
-        F.substring_index("kind", "_", 1).alias("column_name"),
-        F.substring_index("kind", "_", -1).alias("problem"),
-        "row_count",
-        F.when(F.col("row_count") > 0, "warning").otherwise("ok").alias("status"),
-    )
+    facts = df.agg(*[fact.alias(name) for name, fact in _value_facts(df).items()])
+    return facts.select(F.inline(F.array(*_value_rows(df))))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -169,92 +202,78 @@ def dependency_violations(df: DataFrame, key: str = "ProductID", dependent: str
     )
 
 
+def _check(check: str, scope: Column | str, value: Column, threshold: float, status: Column, message: Column) -> Column:
+    return F.struct(
+        F.lit(check).alias("check"),
+        (F.lit(scope) if isinstance(scope, str) else scope).alias("scope"),
+        value.cast("double").alias("value"),
+        F.lit(threshold).alias("threshold"),
+        status.alias("status"),
+        message.alias("message"),
+    )
+
+
+def _flagged(condition: Column, status: str = "warning") -> Column:
+    return F.when(condition, status).otherwise("ok")
+
+
 def validation_checks(df: DataFrame, as_of: dt.date) -> DataFrame:
     """Every check as one row: check, scope, value, threshold, status, message.
 
-    Schema checks read metadata only. Value checks are four small aggregates, each
-    a single row by the time the rows are put together.
+    Schema checks read metadata only. All value checks come out of one aggregate
+    that shuffles a row per task; names per product need a second one.
     """
-    spark = df.sparkSession
-    missing = missing_columns(df)
     schema_rows = [
-        ("required_columns", c, 1.0, 0.0, "issue", f"Missing required column {c}") for c in missing
+        ("required_columns", c, 1.0, 0.0, "issue", f"Missing required column {c}")
+        for c in missing_columns(df)
     ] + [
         ("data_type", c, 1.0, 0.0, "warning", f"Column {c} has unexpected data type {kind}")
         for c, kind in unexpected_types(df)
     ]
-    parts = [spark.createDataFrame(schema_rows, CHECK_ROW)]
-
-    nulls = null_checks(df)
-    counted = F.format_string("%d null values (%.2f%%)", "null_count", "null_pct")
-    for check, threshold, condition, status in [
-        ("nulls", 0.0, F.col("null_count") > 0, "warning"),
-        ("excessive_nulls", EXCESSIVE_NULL_SHARE * 100, F.col("status") == "issue", "issue"),
-    ]:
-        parts.append(
-            nulls.select(
-                F.lit(check).alias("check"),
-                F.col("column_name").alias("scope"),
-                (F.col("null_count").cast("double") if check == "nulls" else F.col("null_pct")).alias("value"),
-                F.lit(threshold).alias("threshold"),
-                F.when(condition, status).otherwise("ok").alias("status"),
-                counted.alias("message"),
+    facts = _null_facts(df) | _value_facts(df)
+    rows = []
+    for row in _null_rows(df):
+        name, n, share = row["column_name"], row["null_count"], row["null_pct"]
+        text = F.format_string("%d null values (%.2f%%)", n, share)
+        rows.append(_check("nulls", name, n, 0.0, _flagged(n > 0), text))
+        rows.append(
+            _check(
+                "excessive_nulls", name, share, EXCESSIVE_NULL_SHARE * 100,
+                _flagged(row["status"] == "issue", "issue"), text,
             )
         )
     if "CreateDate" in df.columns:
-        dates = date_checks(df, as_of)
-        flag = lambda name: F.col(name).cast("double")
-        rows = [
-            ("invalid_dates", flag("invalid_dates"), F.format_string("%d invalid dates", "invalid_dates")),
-            ("dates_too_old", flag("too_old"), F.concat(F.lit("First date "), F.col("min_date").cast("string"))),
-            ("dates_too_new", flag("too_new"), F.concat(F.lit("Last date "), F.col("max_date").cast("string"))),
-        ]
-        parts.append(
-            dates.select(
-                F.inline(
-                    F.array(
-                        *[
-                            F.struct(
-                                F.lit(check).alias("check"),
-                                F.lit("CreateDate").alias("scope"),
-                                value.alias("value"),
-                                F.lit(0.0).alias("threshold"),
-                                F.when(value > 0, "warning").otherwise("ok").alias("status"),
-                                message.alias("message"),
-                            )
-                            for check, value, message in rows
-                        ]
-                    )
-                )
-            )
+        facts |= _date_facts(df, "CreateDate")
+        bad, flags = F.col("invalid_dates"), _date_flags(as_of)
+        rows.append(
+            _check("invalid_dates", "CreateDate", bad, 0.0, _flagged(bad > 0),
+                   F.format_string("%d invalid dates", bad))
         )
-    if {"OrderUnits", "Price"} & set(df.columns):
-        parts.append(
-            value_checks(df).select(
-                F.concat(F.col("problem"), F.lit("_values")).alias("check"),
-                F.col("column_name").alias("scope"),
-                F.col("row_count").cast("double").alias("value"),
-                F.lit(0.0).alias("threshold"),
-                "status",
-                F.format_string("%d records with %s %s", "row_count", "problem", "column_name").alias("message"),
+        for name, edge, text in [("too_old", "min_date", "First date "), ("too_new", "max_date", "Last date ")]:
+            rows.append(
+                _check(f"dates_{name}", "CreateDate", flags[name].cast("int"), 0.0, _flagged(flags[name]),
+                       F.concat(F.lit(text), F.coalesce(F.col(edge).cast("string"), F.lit("unknown"))))
             )
-        )
+    for row in _value_rows(df):
+        name, kind, n = row["column_name"], row["problem"], row["row_count"]
+        text = F.format_string("%d records with %s %s", n, kind, name)
+        rows.append(_check("values", name, n, 0.0, row["status"], text).withField(
+            "check", F.concat(kind, F.lit("_values"))))
+    table = df.agg(*[fact.alias(name) for name, fact in facts.items()])
+    result = table.select(F.inline(F.array(*rows))) if rows else None
     if {"ProductID", "ProductName"} <= set(df.columns):
+        n = F.col("n")
         broken = dependency_violations(df).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(
-            broken.select(
-                F.lit("one_name_per_product").alias("check"),
-                F.lit("ProductID").alias("scope"),
-                F.col("n").cast("double").alias("value"),
-                F.lit(0.0).alias("threshold"),
-                F.when(F.col("n") > 0, "warning").otherwise("ok").alias("status"),
-                F.format_string("%d products with several names", "n").alias("message"),
-            )
+        names = broken.select(
+            F.inline(F.array(_check(
+                "one_name_per_product", "ProductID", n, 0.0, _flagged(n > 0),
+                F.format_string("%d products with several names", n))))
         )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        result = names if result is None else result.unionByName(names)
+    schema_part = df.sparkSession.createDataFrame(schema_rows, CHECK_ROW)
+    if result is None:
+        return schema_part
+    return result.unionByName(schema_part) if schema_rows else result
 
 
 def verdict(checks: DataFrame) -> DataFrame:
@@ -328,12 +347,10 @@ def iqr_outliers(
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows per (column, value), all text columns in one pass, nulls left out."""
+    """Rows per (column, value), all text columns in one pass; nulls count as a value."""
     names = columns or text_columns(df)
     long = df.select(*names).unpivot([], names, "column_name", "value")
-    return long.where("value is not null").groupBy("column_name", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def categorical_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -342,11 +359,11 @@ def categorical_profile(df: DataFrame, columns: list[str] | None = None) -> Data
     Extremes are minima over (count, value), so a column of very many values is
     reduced where its value counts lie.
     """
-    rows = df.agg(F.count(F.lit(1)).alias("total"))
-    counts = value_counts(df, columns)
-    place = F.struct((-F.col("n")).alias("rank"), F.col("value"))
-    extremes = counts.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("unique_values"),
+    known = F.col("value").isNotNull()
+    place = F.when(known, F.struct((-F.col("n")).alias("rank"), F.col("value")))
+    extremes = value_counts(df, columns).groupBy("column_name").agg(
+        F.sum("n").alias("rows"),
+        count_where(known).alias("unique_values"),
         F.min(place).alias("first"),
         F.max(place).alias("last"),
     )
@@ -354,17 +371,18 @@ def categorical_profile(df: DataFrame, columns: list[str] | None = None) -> Data
         "column_name",
         "unique_values",
         F.col("first.value").alias("most_frequent"),
-        (-F.col("first.rank")).alias("most_frequent_count"),
+        F.coalesce(-F.col("first.rank"), F.lit(0)).alias("most_frequent_count"),
         F.col("last.value").alias("least_frequent"),
-        (-F.col("last.rank")).alias("least_frequent_count"),
-        ratio(F.col("unique_values"), rows.scalar(), 0.0).alias("cardinality_ratio"),
+        F.coalesce(-F.col("last.rank"), F.lit(0)).alias("least_frequent_count"),
+        ratio(F.col("unique_values"), F.col("rows"), 0.0).alias("cardinality_ratio"),
     )
 
 
 def categorical_top(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
     """The k most frequent values of each text column."""
     order = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    ranked = value_counts(df, columns).withColumn("rank", F.row_number().over(order))
+    counts = value_counts(df, columns).where("value is not null")
+    ranked = counts.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k)
 
 
@@ -374,46 +392,53 @@ def categorical_top(df: DataFrame, columns: list[str] | None = None, k: int = 5)
 def business_rules(df: DataFrame) -> DataFrame:
     """Five rules as rows: rule, metric, whether it passed.
 
-    Per-customer and per-vendor means are distinct pairs over distinct groups, so
-    no group is ever held together.
+    Distinct members are counted with the pairs spread over all tasks, so no group
+    is ever held together.
     """
     has = set(df.columns).issuperset
     parts = []
 
-    def rule(name: str, facts: DataFrame, metric: Column, passed: Column) -> None:
-        parts.append(
-            facts.select(
-                F.lit(name).alias("rule"),
-                metric.cast("double").alias("metric"),
-                F.coalesce(passed, F.lit(False)).cast("int").alias("passed"),
-            )
-        )
-
     def mean_distinct(group: str, member: str) -> DataFrame:
         per_group = df.where(F.col(group).isNotNull()).groupBy(group).agg(
             F.count_distinct(member).alias("n")
         )
         return per_group.agg(F.avg("n").alias("metric"))
 
-    metric = F.col("metric")
+    def row(rule: str, metric: Column, passed: Column) -> Column:
+        return F.struct(
+            F.lit(rule).alias("rule"),
+            metric.cast("double").alias("metric"),
+            F.coalesce(passed, F.lit(False)).cast("int").alias("passed"),
+        )
+
+    facts: dict[str, Column] = {}
+    rows = []
     if has({"OrderUnits", "Price"}):
         sound = count_where((F.col("OrderUnits") > 0) & (F.col("Price") > 0))
-        share = df.agg(ratio(sound * 100.0, F.count(F.lit(1)), 0.0).alias("metric"))
-        rule("valid_orders", share, metric, metric >= 95)
+        facts["sound"] = ratio(sound * 100.0, F.count(F.lit(1)), 0.0)
+        rows.append(row("valid_orders", F.col("sound"), F.col("sound") >= 95))
+    if has({"CreateDate"}):
+        day = F.to_date(_parsed_date(df))
+        facts["span"] = F.datediff(F.max(day), F.min(day))
+        rows.append(row("date_span", F.col("span"), F.col("span").between(30, 365 * 3)))
+    if rows:
+        plain = df.agg(*[fact.alias(name) for name, fact in facts.items()])
+        parts.append(plain.select(F.inline(F.array(*rows))))
+
+    def single(rule: str, facts: DataFrame, passed: Column) -> None:
+        parts.append(facts.select(F.inline(F.array(row(rule, F.col("metric"), passed)))))
+
+    metric = F.col("metric")
     if has({"CustomerID", "FacilityID"}):
-        rule("facilities_per_customer", mean_distinct("CustomerID", "FacilityID"), metric, metric > 0)
+        single("facilities_per_customer", mean_distinct("CustomerID", "FacilityID"), metric > 0)
     if has({"ProductID", "CategoryName"}):
         per_product = df.where(F.col("ProductID").isNotNull()).groupBy("ProductID").agg(
             F.max(F.col("CategoryName").isNotNull().cast("int")).alias("has_category")
         )
         covered = per_product.agg(F.coalesce(F.avg("has_category") * 100, F.lit(0.0)).alias("metric"))
-        rule("category_coverage", covered, metric, metric >= 90)
-    if has({"CreateDate"}):
-        ts = df.select(F.to_date(_parsed_date(df)).alias("day"))
-        span = ts.agg(F.datediff(F.max("day"), F.min("day")).alias("metric"))
-        rule("date_span", span, metric, metric.between(30, 365 * 3))
+        single("category_coverage", covered, metric >= 90)
     if has({"VendorID", "ProductID"}):
-        rule("products_per_vendor", mean_distinct("VendorID", "ProductID"), metric, metric >= 1)
+        single("products_per_vendor", mean_distinct("VendorID", "ProductID"), metric >= 1)
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -424,29 +449,41 @@ def business_rules(df: DataFrame) -> DataFrame:
 
 
 def quality_score(df: DataFrame) -> DataFrame:
-    """Completeness, validity and consistency on a scale to 100, and their mean."""
-    gaps = [count_where(F.col(c).isNull()) for c in SCORED_COLUMNS if c in df.columns]
+    """Completeness, validity and consistency on a scale to 100, and their mean.
+
+    All of it follows from the distinct rows and their number of copies, which
+    takes one pass and one shuffle.
+    """
+    copies = F.col("_copies")
+    counted = lambda condition: F.sum(F.when(condition, copies).otherwise(0))
+    gaps = [counted(F.col(c).isNull()) for c in SCORED_COLUMNS if c in df.columns]
     faults = []
     if "OrderUnits" in df.columns:
-        faults.append(count_where(F.col("OrderUnits") < 0))
+        faults.append(counted(F.col("OrderUnits") < 0))
     if "CreateDate" in df.columns:
         # one fault for the column, however many of its dates are unreadable
         unreadable = F.col("CreateDate").isNotNull() & _parsed_date(df).isNull()
         faults.append(F.max(F.coalesce(unreadable, F.lit(False)).cast("long")))
-    facts = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        (total(gaps) if gaps else F.lit(0)).alias("missing_critical"),
-        F.coalesce(total(faults) if faults else F.lit(0), F.lit(0)).alias("validity_issues"),
+    zero = F.lit(0).cast("bigint")
+    facts = (
+        df.groupBy(*df.columns)
+        .agg(F.count(F.lit(1)).alias("_copies"))
+        .agg(
+            F.coalesce(F.sum(copies), zero).alias("rows"),
+            F.coalesce(total(gaps) if gaps else zero, zero).alias("missing_critical"),
+            F.coalesce(total(faults) if faults else zero, zero).alias("validity_issues"),
+            F.coalesce(F.sum(copies - 1), zero).alias("duplicate_records"),
+        )
     )
-    duplicates = duplicate_rows(df).select(F.struct("duplicate_records", "duplicate_pct"))
-    floor = lambda score: F.when(F.col("rows") > 0, clamp(score, 0.0, 100.0)).otherwise(0.0)
-    scored = facts.withColumn("copies", duplicates.scalar()).select(
-        "*", "copies.duplicate_records", "copies.duplicate_pct"
-    ).drop("copies").withColumns(
+    share = lambda name: F.coalesce(F.try_divide(F.col(name) * 100.0, F.col("rows")), F.lit(0.0))
+    # an empty table scores nothing for its content, but has no duplicates either
+    score = lambda name: F.when(F.col("rows") > 0, clamp(100 - share(name), 0.0, 100.0)).otherwise(0.0)
+    scored = facts.withColumns(
         {
-            "completeness": floor(100 - F.try_divide(F.col("missing_critical") * 100.0, F.col("rows"))),
-            "validity": floor(100 - F.try_divide(F.col("validity_issues") * 100.0, F.col("rows"))),
-            "consistency": clamp(100 - F.col("duplicate_pct"), 0.0, 100.0),
+            "duplicate_pct": share("duplicate_records"),
+            "completeness": score("missing_critical"),
+            "validity": score("validity_issues"),
+            "consistency": clamp(100 - share("duplicate_records"), 0.0, 100.0),
         }
     )
     mean = (F.col("completeness") + F.col("validity") + F.col("consistency")) / 3

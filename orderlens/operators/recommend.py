@@ -35,57 +35,78 @@ ABSENT_FIELDS = {
 }
 
 
-def recommendations(forecast: DataFrame, as_of: Column, k: int = 5) -> DataFrame:
-    """The k best products of each customer and facility, with quantity and order date.
+def product_outlook(forecast: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """One row per forecast product: its rank within the pair and what to order.
 
-    ``forecast`` holds dated quantiles with ProductName and OrderCount. The score
-    weighs predicted demand, order history and trend. A forecast is reduced to a
-    row per product first; the rank filter then works before the shuffle.
+    ``forecast`` holds dated quantiles with the product's text and OrderCount. The
+    score weighs predicted demand, order history and trend. Every table below is a
+    filter or one aggregate of this one. A pair has as many rows here as products
+    were forecast for it, ten by default, each with a horizon of predictions.
     """
     p50 = F.coalesce("p50", "mean", F.lit(0.0))
-    days = F.count(F.lit(1))
+    quantiles = F.struct("p10", "p50", "p90", "mean")
+    text = [c for c in ["CategoryName", "vendorName", "FirstOrderDate", "LastOrderDate"] if c in forecast.columns]
     per_product = forecast.groupBy(*SERIES).agg(
-        F.max("ProductName").alias("ProductName"),
+        F.max("ProductName").alias("product_name"),
         F.max("OrderCount").alias("OrderCount"),
+        *[F.max(c).alias(c) for c in text],
         F.avg(p50).alias("avg_predicted"),
-        F.when(days > 1, F.max_by(p50, "ds") - F.min_by(p50, "ds")).otherwise(0.0).alias("trend_score"),
+        (F.max_by(p50, "ds") - F.min_by(p50, "ds")).alias("trend_score"),
         F.avg(F.coalesce("p90", F.lit(0.0)) - F.coalesce("p10", F.lit(0.0))).alias("width"),
+        F.sort_array(F.collect_list(F.struct("ds", quantiles.alias("q")))).alias("predictions"),
     )
     # Weights of demand, history and trend.
     score = (
         F.col("avg_predicted") * 0.7 + (F.col("OrderCount") / 100) * 0.3 + F.col("trend_score") * 0.1
     )
     best = Window.partitionBy(*PAIR).orderBy(F.desc("combined_score"), "ProductID")
-    ranked = (
-        per_product.withColumn("combined_score", score)
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-    )
     average, trend = F.col("avg_predicted"), F.col("trend_score")
     confidence = F.when(
         average > 0, clamp(100 - F.try_divide(F.col("width"), average) * 50, 50.0, 95.0)
     ).otherwise(60.0)
     direction = F.when(trend > 0, "increasing").when(trend == 0, "stable").otherwise("decreasing")
-    return ranked.select(
-        *PAIR,
-        "rank",
-        F.col("ProductName").alias("product_name"),
-        F.col("ProductID").alias("product_id"),
-        F.greatest(F.lit(1), (average * 1.1).cast("int")).alias("recommended_quantity"),
-        confidence.cast("int").alias("confidence"),
-        F.date_add(as_of, F.when(trend >= 0, 1).otherwise(2)).alias("optimal_order_date"),
-        # rounded half to even before printing, as %.1f alone rounds half up
-        F.format_string(
-            "Predicted avg demand: %.1f, trend: %s, historical orders: %d",
-            F.bround(average, 1),
-            direction,
-            F.col("OrderCount"),
-        ).alias("reasoning"),
-        "combined_score",
-        direction.alias("trend"),
+    coming = F.aggregate(
+        F.slice("predictions", 1, days), F.lit(0.0), lambda s, p: s + F.coalesce(p["q"]["mean"], F.lit(0.0))
+    )
+    return (
+        per_product.withColumn("combined_score", score)
+        .withColumn("rank", F.row_number().over(best))
+        .withColumns(
+            {
+                "product_id": F.col("ProductID"),
+                "recommended_quantity": F.greatest(F.lit(1), (average * 1.1).cast("int")),
+                "confidence": confidence.cast("int"),
+                "optimal_order_date": F.date_add(as_of, F.when(trend >= 0, 1).otherwise(2)),
+                # rounded half to even before printing, as %.1f alone rounds half up
+                "reasoning": F.format_string(
+                    "Predicted avg demand: %.1f, trend: %s, historical orders: %d",
+                    F.bround(average, 1),
+                    direction,
+                    F.col("OrderCount"),
+                ),
+                "trend": direction,
+                "coming_demand": coming,
+            }
+        )
     )
 
 
+RECOMMENDED = [
+    "product_name",
+    "product_id",
+    "recommended_quantity",
+    "confidence",
+    "optimal_order_date",
+    "reasoning",
+]
+
+
+def recommendations(outlook: DataFrame, k: int = 5) -> DataFrame:
+    """The k best products of each customer and facility, with quantity and order date."""
+    chosen = outlook.where(F.col("rank") <= k)
+    return chosen.select(*PAIR, "rank", *RECOMMENDED, "combined_score", "trend")
+
+
 def ordering_schedule(recommended: DataFrame) -> DataFrame:
     """What each pair orders on each day: products in rank order and total quantity."""
     named = F.sort_array(F.collect_list(F.struct("rank", "product_name")))
@@ -93,98 +114,86 @@ def ordering_schedule(recommended: DataFrame) -> DataFrame:
         recommended.groupBy(*PAIR, F.col("optimal_order_date").alias("date"))
         .agg(
             named.alias("named"),
-            F.min("rank").alias("first_rank"),
             F.sum("recommended_quantity").alias("total_items"),
         )
-        .select(*PAIR, "date", F.col("named.product_name").alias("products"), "total_items", "first_rank")
+        .select(*PAIR, "date", F.col("named.product_name").alias("products"), "total_items")
     )
 
 
-def recommendation_insights(recommended: DataFrame, forecast: DataFrame) -> DataFrame:
-    """Counts and texts about the recommendations of each pair."""
-    analyzed = _products_per_pair(forecast)
-    counts = recommended.groupBy(*PAIR).agg(
-        F.count(F.lit(1)).alias("recommended"),
-        count_where(F.col("confidence") > HIGH_CONFIDENCE).alias("high_confidence"),
-        F.avg("confidence").alias("avg_confidence"),
-    )
-    joined = analyzed.join(counts, PAIR, "left").na.fill(0)
-    return joined.select(
-        *PAIR,
-        "total_products",
-        "recommended",
-        "high_confidence",
-        "avg_confidence",
-        F.format_string(
+def _counts(k: int) -> dict[str, Column]:
+    """Aggregates of a pair's outlook: products, recommendations, confidence, dates."""
+    chosen = F.col("rank") <= k
+    return {
+        "total_products": F.count(F.lit(1)),
+        "recommended": count_where(chosen),
+        "high_confidence": count_where(chosen & (F.col("confidence") > HIGH_CONFIDENCE)),
+        "avg_confidence": F.coalesce(F.avg(F.when(chosen, F.col("confidence"))), F.lit(0.0)),
+        "coming_demand": F.sum("coming_demand"),
+        # the best recommendation opens the schedule
+        "next_date": F.min_by("optimal_order_date", "rank"),
+    }
+
+
+def _insights() -> dict[str, Column]:
+    return {
+        "seasonal_trends": F.format_string(
             "Analysis based on %d products with varying demand patterns. "
             "Consider seasonal factors for procurement planning.",
             "total_products",
-        ).alias("seasonal_trends"),
-        F.format_string(
+        ),
+        "risk_assessment": F.format_string(
             "%d/%d recommendations have high confidence (>80%%). Average confidence: %.1f%%",
             F.col("high_confidence"),
             F.col("recommended"),
             F.bround("avg_confidence", 1),
-        ).alias("risk_assessment"),
-        F.lit(
+        ),
+        "cost_optimization": F.lit(
             "Consider consolidating orders by date to reduce procurement costs. "
             "Monitor high-volatility products for inventory optimization."
-        ).alias("cost_optimization"),
-    )
+        ),
+    }
 
 
-def _products_per_pair(forecast: DataFrame) -> DataFrame:
-    return forecast.groupBy(*PAIR).agg(F.count_distinct("ProductID").alias("total_products"))
+def recommendation_insights(outlook: DataFrame, k: int = 5) -> DataFrame:
+    """Counts and texts about the recommendations of each pair."""
+    counts = outlook.groupBy(*PAIR).agg(*[c.alias(name) for name, c in _counts(k).items()])
+    return counts.drop("coming_demand", "next_date").withColumns(_insights())
 
 
 def high_confidence_products(
     forecast: DataFrame, recommended: DataFrame, threshold: int = HIGH_CONFIDENCE
 ) -> DataFrame:
-    """How many forecast products of each pair are recommended with high confidence."""
+    """How many forecast products of each pair are recommended with high confidence.
+
+    For recommendations that come from elsewhere; those of an outlook are counted
+    in its summary. Both sides meet as rows unique by series.
+    """
     confident = recommended.where(F.col("confidence") > threshold).select(
-        *PAIR, F.col("product_id").alias("ProductID")
+        *PAIR, F.col("product_id").alias("ProductID"), F.lit(1).alias("_hit")
     )
     products = forecast.select(*SERIES).distinct()
-    hits = products.join(confident, SERIES, "left_semi").groupBy(*PAIR).agg(
-        F.count(F.lit(1)).alias("n")
-    )
     return (
-        products.select(*PAIR)
-        .distinct()
-        .join(hits, PAIR, "left")
-        .select(*PAIR, F.coalesce("n", F.lit(0)).alias("high_confidence_products"))
+        products.join(confident.distinct(), SERIES, "left")
+        .groupBy(*PAIR)
+        .agg(F.count("_hit").alias("high_confidence_products"))
     )
 
 
-def prediction_summary(forecast: DataFrame, recommended: DataFrame, days: int = 7) -> DataFrame:
-    """Summary of each pair: products, demand of the next days, confidence, next order date.
+def _summary() -> dict[str, Column]:
+    return {
+        "total_products_analyzed": F.col("total_products"),
+        "total_predicted_demand_7days": F.col("coming_demand"),
+        "recommended_products_count": F.col("recommended"),
+        "high_confidence_products": F.col("high_confidence"),
+        "avg_confidence": F.col("avg_confidence"),
+        "next_suggested_order_date": F.col("next_date"),
+    }
 
-    The next order date is the one of the best recommendation, which opens the
-    schedule.
-    """
-    in_order = Window.partitionBy(*SERIES).orderBy("ds")
-    per_pair = (
-        forecast.withColumn("_day", F.row_number().over(in_order))
-        .groupBy(*PAIR)
-        .agg(
-            F.count_distinct("ProductID").alias("total_products_analyzed"),
-            F.sum(F.when(F.col("_day") <= days, F.coalesce("mean", F.lit(0.0))).otherwise(0.0)).alias(
-                "total_predicted_demand_7days"
-            ),
-        )
-    )
-    chosen = recommended.groupBy(*PAIR).agg(
-        F.count(F.lit(1)).alias("recommended_products_count"),
-        count_where(F.col("confidence") > HIGH_CONFIDENCE).alias("high_confidence_products"),
-        F.avg("confidence").alias("avg_confidence"),
-        F.min_by("optimal_order_date", "rank").alias("next_suggested_order_date"),
-    )
-    return per_pair.join(chosen, PAIR, "left").withColumns(
-        {
-            name: F.coalesce(name, F.lit(0))
-            for name in ["recommended_products_count", "high_confidence_products", "avg_confidence"]
-        }
-    )
+
+def prediction_summary(outlook: DataFrame, k: int = 5) -> DataFrame:
+    """Summary of each pair: products, demand of the next days, confidence, next order date."""
+    counts = outlook.groupBy(*PAIR).agg(*[c.alias(name) for name, c in _counts(k).items()])
+    return counts.select(*PAIR, *[c.alias(name) for name, c in _summary().items()])
 
 
 # --- reports --------------------------------------------------------------------------
@@ -248,83 +257,69 @@ def with_response_defaults(bundles: DataFrame) -> DataFrame:
     )
 
 
-def prediction_bundle(forecast: DataFrame, recommended: DataFrame, as_of: Column) -> DataFrame:
-    """The full nested result of every customer and facility in one job.
+def _schedule(recommended: Column) -> Column:
+    """Ordering schedule of a ranked recommendation array, in order of first mention."""
 
-    A pair has at most ten forecast products of at most two weeks and five
-    recommendations, so its arrays are small whatever the history behind them.
-    """
-    by_date = F.map_from_entries(
-        F.sort_array(
-            F.collect_list(
-                F.struct(F.col("ds").cast("string"), F.struct("p10", "p50", "p90", "mean"))
-            )
+    def entry(date: Column) -> Column:
+        same = F.filter(recommended, lambda r: r["optimal_order_date"] == date)
+        return F.struct(
+            date.cast("string").alias("date"),
+            F.transform(same, lambda r: r["product_name"]).alias("products"),
+            F.aggregate(
+                same, F.lit(0).cast("bigint"), lambda n, r: n + r["recommended_quantity"]
+            ).alias("total_items"),
         )
-    )
-    text = ["ProductName", "CategoryName", "vendorName", "OrderCount", "FirstOrderDate", "LastOrderDate"]
-    products = forecast.groupBy(*SERIES).agg(
-        by_date.alias("predictions"), F.min(F.struct(*text)).alias("info")
-    )
-    per_product = F.struct(
-        F.col("ProductID").alias("product_id"),
-        F.col("info.ProductName").alias("product_name"),
-        F.col("info.CategoryName").alias("category_name"),
-        F.col("info.vendorName").alias("vendor_name"),
+
+    return F.transform(F.array_distinct(recommended["optimal_order_date"]), entry)
+
+
+def prediction_bundle(outlook: DataFrame, as_of: Column, k: int = 5) -> DataFrame:
+    """The full nested result of every customer and facility: one aggregate of the outlook.
+
+    A pair has at most ten forecast products of at most two weeks each, so its
+    arrays are small whatever the history behind them.
+    """
+    day = F.transform("predictions", lambda p: F.struct(p["ds"].cast("string"), p["q"]))
+    product = F.struct(
+        "rank",
+        *RECOMMENDED,
         F.struct(
-            F.col("info.OrderCount").alias("order_count"),
-            F.col("info.FirstOrderDate").alias("first_order"),
-            F.col("info.LastOrderDate").alias("last_order"),
-        ).alias("order_history"),
-        F.to_json("predictions").alias("predictions"),
-    )
-    predicted = products.groupBy(*PAIR).agg(
-        F.sort_array(F.collect_list(per_product)).alias("productPredictions")
+            F.col("ProductID").alias("product_id"),
+            "product_name",
+            F.col("CategoryName").alias("category_name"),
+            F.col("vendorName").alias("vendor_name"),
+            F.map_from_entries(day).alias("predictions"),
+            F.struct(
+                F.col("OrderCount").alias("order_count"),
+                F.col("FirstOrderDate").alias("first_order"),
+                F.col("LastOrderDate").alias("last_order"),
+            ).alias("order_history"),
+        ).alias("prediction"),
     )
-    recs = recommended.groupBy(*PAIR).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    "rank",
-                    "product_name",
-                    "product_id",
-                    "recommended_quantity",
-                    "confidence",
-                    F.col("optimal_order_date").cast("string").alias("optimal_order_date"),
-                    "reasoning",
-                )
-            )
-        ).alias("recommended_products")
+    grouped = outlook.groupBy(*PAIR).agg(
+        F.array_sort(
+            F.collect_list(product),
+            lambda a, b: (a["rank"] - b["rank"]).cast("int"),
+        ).alias("products"),
+        *[c.alias(name) for name, c in _counts(k).items()],
     )
-    schedule = ordering_schedule(recommended).groupBy(*PAIR).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct("first_rank", F.col("date").cast("string").alias("date"), "products", "total_items")
-            )
-        ).alias("ordering_schedule")
+    listed = F.transform(
+        F.filter("products", lambda p: p["rank"] <= k),
+        lambda p: F.struct(*[p[name].alias(name) for name in RECOMMENDED]),
     )
-    insights = recommendation_insights(recommended, forecast).select(
-        *PAIR, F.struct("seasonal_trends", "risk_assessment", "cost_optimization").alias("insights")
+    identity = F.sha2(
+        F.concat_ws("|", as_of.cast("string"), *[F.col(c).cast("string") for c in PAIR]), 256
     )
-    summary = prediction_summary(forecast, recommended).select(
-        *PAIR,
-        F.struct(
-            "total_products_analyzed",
-            "recommended_products_count",
-            "next_suggested_order_date",
-            "avg_confidence",
-            "high_confidence_products",
-        ).alias("summary"),
-    )
-    bundle = predicted
-    for part in (recs, schedule, insights, summary):
-        bundle = bundle.join(part, PAIR, "left")
-    identity = F.sha2(F.concat_ws("|", as_of.cast("string"), *[F.col(c).cast("string") for c in PAIR]), 256)
-    return bundle.select(
+    return grouped.withColumn("recommended_products", listed).select(
         identity.alias("id"),
         as_of.alias("timestamp"),
         F.col("CustomerID").alias("customerId"),
         F.col("FacilityID").alias("facilityId"),
-        "productPredictions",
-        F.struct("recommended_products", "ordering_schedule", "insights").alias("recommendations"),
-        "summary",
+        F.col("products.prediction").alias("productPredictions"),
+        F.struct(
+            "recommended_products",
+            _schedule(F.col("recommended_products")).alias("ordering_schedule"),
+            F.struct(*[c.alias(name) for name, c in _insights().items()]).alias("insights"),
+        ).alias("recommendations"),
+        F.struct(*[c.alias(name) for name, c in _summary().items()]).alias("summary"),
     )

@@ -26,6 +26,7 @@ from orderlens.operators import (
 )
 from orderlens.plans import pipeline
 from orderlens.schema import PAIR, SERIES
+from orderlens.session import ensure_checkpoint_dir
 from orderlens.sources import files
 from orderlens.sources.conform import with_default_names
 from orderlens.sources.warehouse import order_lines, table
@@ -107,16 +108,22 @@ def _damaged(lines: DataFrame) -> DataFrame:
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    return forecast.evaluate_holdout(series.holdout_split(_long(spark, folder)))
+    history = demand.product_forecast_long(_daily(spark, folder))
+    return forecast.evaluate_holdout(series.holdout_split(history))
 
 
 def _pair_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    history = demand.product_forecast_long(_daily(spark, folder))
-    return pipeline.forecast_pairs(history, _lookup(spark, folder), _next_day(spark, folder))
+    activity = demand.daily_activity(order_lines(spark, folder, "brand", DAY_COLUMNS))
+    products = lookups.product_lookup(order_lines(spark, folder, "brand", TEXT_COLUMNS))
+    return pipeline.forecast_pairs(activity, products, _next_day(spark, folder))
+
+
+def _outlook(spark: SparkSession, folder: str) -> DataFrame:
+    return recommend.product_outlook(_pair_forecast(spark, folder), _next_day(spark, folder))
 
 
 def _recommended(spark: SparkSession, folder: str) -> DataFrame:
-    return recommend.recommendations(_pair_forecast(spark, folder), _next_day(spark, folder))
+    return recommend.recommendations(_outlook(spark, folder))
 
 
 # --- cleaning and calendar ------------------------------------------------------------
@@ -236,7 +243,11 @@ def daily_demand_count(spark, folder):
 
 @query
 def daily_demand_dense(spark, folder):
-    return demand.densify(_daily(spark, folder))
+    return demand.densify(_daily(spark, folder)).groupBy(*SERIES).agg(
+        F.count(F.lit(1)).alias("n_days"),
+        F.count_if(F.col("Quantity") == 0).alias("n_empty"),
+        F.sum("Quantity").alias("total"),
+    )
 
 
 @query
@@ -443,7 +454,8 @@ def dq_checks(spark, folder):
 
 @query
 def dq_verdict(spark, folder):
-    lines = order_lines(spark, folder, "brand")
+    ensure_checkpoint_dir(spark)
+    lines = order_lines(spark, folder, "brand").checkpoint()
     sets = {"clean": lines, "damaged": _damaged(lines)}
     parts = [
         quality.verdict(quality.validation_checks(df, AS_OF)).withColumn("dataset", F.lit(name))
@@ -497,7 +509,10 @@ def quality_recommendations(spark, folder):
 
 @query
 def validation_report(spark, folder):
-    report = quality.validation_report(_damaged(order_lines(spark, folder, "brand")), AS_OF)
+    # the report reads its lines several times: join them once
+    ensure_checkpoint_dir(spark)
+    lines = _damaged(order_lines(spark, folder, "brand")).checkpoint()
+    report = quality.validation_report(lines, AS_OF)
     return report.withColumn("recommendations", F.array_join("recommendations", " | "))
 
 
@@ -686,29 +701,25 @@ def recommendations(spark, folder):
 
 @query
 def ordering_schedule(spark, folder):
-    schedule = recommend.ordering_schedule(_recommended(spark, folder)).drop("first_rank")
+    schedule = recommend.ordering_schedule(_recommended(spark, folder))
     return schedule.withColumn("products", F.array_join("products", ", "))
 
 
 @query
 def recommendation_insights(spark, folder):
-    rows = _pair_forecast(spark, folder)
-    chosen = recommend.recommendations(rows, _next_day(spark, folder))
-    return recommend.recommendation_insights(chosen, rows)
+    return recommend.recommendation_insights(_outlook(spark, folder))
 
 
 @query
 def high_confidence_products(spark, folder):
     rows = _pair_forecast(spark, folder)
-    chosen = recommend.recommendations(rows, _next_day(spark, folder))
+    chosen = recommend.recommendations(recommend.product_outlook(rows, _next_day(spark, folder)))
     return recommend.high_confidence_products(rows, chosen)
 
 
 @query
 def prediction_summary(spark, folder):
-    rows = _pair_forecast(spark, folder)
-    chosen = recommend.recommendations(rows, _next_day(spark, folder))
-    return recommend.prediction_summary(rows, chosen)
+    return recommend.prediction_summary(_outlook(spark, folder))
 
 
 @query
@@ -730,9 +741,7 @@ def procurement_top_quantities(spark, folder):
 
 @query
 def prediction_bundle(spark, folder):
-    rows, as_of = _pair_forecast(spark, folder), _next_day(spark, folder)
-    chosen = recommend.recommendations(rows, as_of)
-    bundle = recommend.prediction_bundle(rows, chosen, as_of)
+    bundle = recommend.prediction_bundle(_outlook(spark, folder), _next_day(spark, folder))
     return bundle.select(
         "customerId",
         "facilityId",
@@ -747,8 +756,7 @@ def prediction_bundle(spark, folder):
 
 @query
 def recommendation_defaults(spark, folder):
-    rows, as_of = _pair_forecast(spark, folder), _next_day(spark, folder)
-    bundle = recommend.prediction_bundle(rows, recommend.recommendations(rows, as_of), as_of)
+    bundle = recommend.prediction_bundle(_outlook(spark, folder), _next_day(spark, folder))
     kind = F.pmod(F.col("facilityId"), F.lit(3))
     # one pair in three answered without insights, one in three with only a part of them
     partial = F.to_json(F.struct(F.struct(F.lit("Steady").alias("seasonal_trends")).alias("insights")))

@@ -259,13 +259,13 @@ def _checks(source: str) -> str:
     """Check rows (without messages) of a line table."""
     dates = f'SELECT min("Date") AS lo, max("Date") AS hi, count(*) - count("Date") AS bad FROM {source}'
     values = " UNION ALL ".join(
-        f"""SELECT '{kind}_values' AS "check", '{c}' AS scope, CAST(count(*) AS DOUBLE) AS "value", 0.0 AS threshold,
+        f"""SELECT '{kind}_values' AS "check", '{c}' AS scope, CAST(count(*) AS DOUBLE) AS "value", 0.0::DOUBLE AS threshold,
           CASE WHEN count(*) > 0 THEN 'warning' ELSE 'ok' END AS status FROM {source} WHERE "{c}" {test}"""
         for c in ("OrderUnits", "Price")
         for kind, test in (("negative", "< 0"), ("zero", "= 0"))
     )
     return f"""
-      SELECT 'nulls' AS "check", column_name AS scope, CAST(null_count AS DOUBLE) AS "value", 0.0 AS threshold,
+      SELECT 'nulls' AS "check", column_name AS scope, CAST(null_count AS DOUBLE) AS "value", 0.0::DOUBLE AS threshold,
         CASE WHEN null_count > 0 THEN 'warning' ELSE 'ok' END AS status FROM ({_null_rows(source)})
       UNION ALL
       SELECT 'excessive_nulls', column_name, round(100.0 * null_count / total, 6), 10.0,
@@ -348,7 +348,7 @@ ADVICE = [
     ("missing_critical > 0", "Missing values found in critical columns. Data cleaning recommended."),
     ("validity_issues > 0", "Data validity issues detected. Review data formats and business rules."),
 ]
-ADVICE_LIST = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{m}' END" for c, m in ADVICE) + "], x -> x IS NOT NULL)"
+ADVICE_LIST = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{m}' END" for c, m in ADVICE) + "], lambda x: x IS NOT NULL)"
 ADVICE_GIVEN = f"""CASE WHEN len({ADVICE_LIST}) > 0 THEN {ADVICE_LIST}
       ELSE ['Data quality is acceptable. Continue with regular monitoring.'] END"""
 
@@ -415,7 +415,8 @@ def oracle() -> dict[str, str]:
     q["daily_demand_dense"] = f"""WITH {lines()}, {DAILY},
       spans AS (SELECT {SERIES}, min("Date") AS a, max("Date") AS b FROM daily GROUP BY ALL),
       every AS (SELECT {SERIES}, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS "Date" FROM spans)
-      SELECT {SERIES}, "Date", round(coalesce("Quantity", 0), 6) AS "Quantity" FROM every LEFT JOIN daily USING ({SERIES}, "Date")"""
+      SELECT {SERIES}, count(*) AS n_days, count(*) FILTER (coalesce("Quantity", 0) = 0) AS n_empty,
+        round(sum("Quantity"), 6) AS total FROM every LEFT JOIN daily USING ({SERIES}, "Date") GROUP BY {SERIES}"""
     q["daily_demand_enriched"] = f"""WITH {lines()}, {DAILY}, {PRODUCTS}
       SELECT {SERIES}, "Date", round("Quantity", 6) AS "Quantity", "ProductName", "CategoryName", "VendorName"
       FROM daily LEFT JOIN products USING ("ProductID")"""

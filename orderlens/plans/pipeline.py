@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,18 +39,17 @@ def build_outputs(lines: DataFrame, root: str, run_ts: str) -> list[str]:
     keep("processed/order_lines", featured)
     featured = stored("processed/order_lines", featured)
 
-    daily = demand.daily_demand(featured)
-    keep("processed/daily_demand", daily)
-    daily = stored("processed/daily_demand", daily)
+    activity = demand.daily_activity(featured)
+    keep("processed/daily_activity", activity)
+    activity = stored("processed/daily_activity", activity)
+    daily = activity.select(*SERIES, "Date", "Quantity")
 
     products = demand.product_table(featured)
     keep("processed/product_features", demand.demand_patterns(daily, products))
     lookup = lookups.product_lookup(featured)
     keep("lookup/product_lookup", lookup)
-    keep(
-        "lookup/customer_product_lookup",
-        lookups.customer_product_lookup(lookups.relationships(featured), lookup),
-    )
+    relations = lookups.relationships_of(activity)
+    keep("lookup/customer_product_lookup", lookups.customer_product_lookup(relations, lookup))
     keep("forecast_format/product_forecast_data", demand.by_series(demand.product_forecast_long(daily, products)))
     totals = demand.customer_daily(featured)
     keep("forecast_format/customer_forecast_data", demand.by_series(demand.customer_forecast_long(totals)))
@@ -65,31 +63,25 @@ def validate_lines(lines: DataFrame, as_of: dt.date, path: str) -> DataFrame:
     return lines.sparkSession.read.json(f"{path}/summary")
 
 
-# --- lookups and history to forecasts and recommendations ------------------------------
+# --- history to forecasts and recommendations ------------------------------------------
 
 
-def forecast_pairs(long: DataFrame, lookup: DataFrame, as_of: Column, k: int = 10) -> DataFrame:
+def forecast_pairs(activity: DataFrame, products: DataFrame, as_of: Column, k: int = 10) -> DataFrame:
     """Forecasts of the top products of every customer and facility, all in one job.
 
-    The history is cut to the chosen series before any of it is grouped.
+    ``activity`` is the daily activity table, ``products`` the product lookup. Order
+    counts and histories come from the same rows; the ranking cuts every pair to k
+    series before anything is forecast or joined.
     """
-    chosen = lookups.top_products(lookup, k).withColumn("item_id", demand.item_id(*SERIES))
-    history = long.join(chosen.select("item_id"), "item_id", "left_semi")
-    return forecast.seasonal_forecast(history, as_of).join(chosen, "item_id")
-
-
-@dataclass(frozen=True)
-class PairResults:
-    forecast: DataFrame
-    recommended: DataFrame
-    bundle: DataFrame
+    chosen = lookups.top_products(demand.series_histories(activity), k).drop("rank")
+    rows = forecast.forecast_histories(chosen, SERIES, as_of)
+    return rows.join(products, "ProductID", "left")
 
 
-def recommend_pairs(long: DataFrame, lookup: DataFrame, as_of: Column) -> PairResults:
-    """Forecast, recommendations and nested bundle of every customer and facility."""
-    rows = forecast_pairs(long, lookup, as_of)
-    recommended = recommend.recommendations(rows, as_of)
-    return PairResults(rows, recommended, recommend.prediction_bundle(rows, recommended, as_of))
+def recommend_pairs(activity: DataFrame, products: DataFrame, as_of: Column) -> DataFrame:
+    """Nested predictions and recommendations of every customer and facility."""
+    rows = forecast_pairs(activity, products, as_of)
+    return recommend.prediction_bundle(recommend.product_outlook(rows, as_of), as_of)
 
 
 # --- history to training sets and accuracy --------------------------------------------
