@@ -47,7 +47,13 @@ def main() -> None:
     spark = build_session(
         "bench",
         f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"},
+        **{
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.driver.memory": "16g",
+            # one machine: every shuffle read is local, and a table of one file would
+            # otherwise be joined by the one task that scanned it
+            "spark.sql.adaptive.localShuffleReader.enabled": "false",
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     # start the executors' threads and the code cache on something small

@@ -41,21 +41,14 @@ def clean_id(raw: Column) -> Column:
     return F.trim(raw.cast("string"))
 
 
-def json_span(text: Column) -> Column:
-    """From the first opening to the last closing brace, NULL when there is none."""
-    span = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(span != "", span)
-
-
 def json_from_text(text: Column, schema: T.StructType | str, default: Column | None = None) -> Column:
     """JSON object found in free text, parsed; ``default`` when absent or broken.
 
     In the permissive mode of ``from_json`` a broken text gives a struct of NULLs,
     so whether it parses is asked first.
     """
-    span = json_span(text)
-    sound = F.try_parse_json(span).isNotNull()
-    parsed = F.when(sound, F.from_json(span, schema))
+    span = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    parsed = F.when(F.try_parse_json(span).isNotNull(), F.from_json(span, schema))
     return parsed if default is None else F.coalesce(parsed, default)
 
 

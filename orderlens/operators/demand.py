@@ -70,12 +70,11 @@ def product_table(lines: DataFrame) -> DataFrame:
     joined to, hence one row, picked by value and not by arrival.
     """
     text = [name for name in PRODUCT_TEXT if name in lines.columns]
-    return (
-        lines.where(F.col("ProductID").isNotNull())
-        .groupBy("ProductID")
-        .agg(F.min(F.struct(*text)).alias("info"))
-        .select("ProductID", *[F.col(f"info.{name}").alias(name) for name in text])
-    )
+    # distinct first: a hash aggregation of plain columns, which leaves little to sort
+    # for the minimum over a struct
+    listed = lines.where(F.col("ProductID").isNotNull()).select("ProductID", *text).distinct()
+    least = listed.groupBy("ProductID").agg(F.min(F.struct(*text)).alias("info"))
+    return least.select("ProductID", *[F.col(f"info.{name}").alias(name) for name in text])
 
 
 def enrich(daily: DataFrame, products: DataFrame) -> DataFrame:

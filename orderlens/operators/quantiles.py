@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Below this many values the built-in exact percentile, which keeps a count per
 # distinct value in one task, is the cheaper way.
-SINGLE_TASK_VALUES = 1_000_000
+SINGLE_TASK_VALUES = 50_000
 BUCKETS = 4096
 
 
@@ -88,27 +88,30 @@ def _values_at_ranks(frame: DataFrame, ranks, facts, buckets: int) -> dict[tuple
             return done
         intervals = sorted({(c, low, high) for (c, _), (low, high, _) in open_ranks.items()})
         number = {interval: i for i, interval in enumerate(intervals)}
-        hits = []
+        # the intervals of a column are disjoint, so a value falls into one at most
+        places: dict[str, Column] = {}
         for (c, low, high), i in number.items():
             value = F.col(f"`{c}`")
             # halved, so that the width of the widest interval is still finite
-            place = (value / 2 - low / 2) / (high / 2 - low / 2) * buckets
-            bucket = F.least(F.floor(place), F.lit(buckets - 1)).cast("int")
-            hits.append(
-                F.when(
-                    value.between(low, high),
-                    F.struct(
-                        F.lit(i).alias("interval"), bucket.alias("bucket"), value.alias("value")
-                    ),
-                )
-            )
+            share = (value / 2 - low / 2) / (high / 2 - low / 2)
+            bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1))
+            branch = (value.between(low, high), bucket + i * buckets)
+            places[c] = places[c].when(*branch) if c in places else F.when(*branch)
+        hits = [F.struct(place.alias("place"), F.col(f"`{c}`").alias("value")) for c, place in places.items()]
         counts = (
-            frame.select(F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-            .groupBy("hit.interval", "hit.bucket")
+            frame.select(F.inline(F.array(*hits)))
+            .where("place is not null")
+            .groupBy("place")
             .agg(
                 F.count(F.lit(1)).alias("n"),
-                F.min("hit.value").alias("low"),
-                F.max("hit.value").alias("high"),
+                F.min("value").alias("low"),
+                F.max("value").alias("high"),
+            )
+            .withColumns(
+                {
+                    "interval": F.floor(F.col("place") / buckets).cast("int"),
+                    "bucket": F.col("place") % buckets,
+                }
             )
         )
         below = F.coalesce(

@@ -48,14 +48,12 @@ def holdout_split(
 
 
 def series_arrays(long: DataFrame) -> DataFrame:
-    """One row per series: ids, text, and its points in time order."""
+    """One row per series: ids, text, and its points in time order.
+
+    Ids and text follow from the item, so grouping by them too changes nothing.
+    """
     point = F.struct("timestamp", F.col("target_value").cast("double").alias("y"))
-    # ids and text of the earliest point
-    head = F.min_by(F.struct(*IDS, *TEXT), "timestamp").alias("head")
-    grouped = long.groupBy("item_id").agg(
-        head, F.sort_array(F.collect_list(point)).alias("points")
-    )
-    return grouped.select("item_id", "head.*", "points")
+    return long.groupBy("item_id", *IDS, *TEXT).agg(F.sort_array(F.collect_list(point)).alias("points"))
 
 
 def _dynamic(days: Column) -> Column:
@@ -95,15 +93,9 @@ def kept_codes_input(
     long: DataFrame, horizon: int = PREDICTION_LENGTH, context: int = CONTEXT_LENGTH
 ) -> DataFrame:
     """Ids and category of each long enough series, one row per series."""
-    return (
-        long.groupBy("item_id")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min_by(F.struct("customer_id", "facility_id", "category_name"), "timestamp").alias("head"),
-        )
-        .where(F.col("n") >= context + horizon)
-        .select("item_id", "head.*")
-    )
+    keys = ["item_id", "customer_id", "facility_id", "category_name"]
+    counted = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") >= context + horizon).drop("n")
 
 
 def inference_instances(
@@ -159,8 +151,7 @@ def request_payload(instances: DataFrame) -> DataFrame:
 
 def product_info(long: DataFrame) -> DataFrame:
     """Product of each item, one row per item."""
-    info = F.min(F.struct("product_id", *TEXT)).alias("info")
-    return long.groupBy("item_id").agg(info).select("item_id", "info.*")
+    return long.select("item_id", "product_id", *TEXT).distinct()
 
 
 def with_product_info(results: DataFrame, info: DataFrame) -> DataFrame:

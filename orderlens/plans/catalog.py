@@ -35,6 +35,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 DAY_COLUMNS = [*SERIES, "CreateDate", "OrderUnits"]
+DAILY_COLUMNS = [*SERIES, "Date", "OrderUnits"]
 TEXT_COLUMNS = ["ProductID", "ProductName", "CategoryName", "VendorName"]
 AS_OF = dt.date(2001, 8, 2)
 
@@ -59,7 +60,7 @@ def query(run: Query) -> Query:
 
 
 def _daily(spark: SparkSession, folder: str, grain: str = "brand") -> DataFrame:
-    return demand.daily_demand(order_lines(spark, folder, grain, DAY_COLUMNS))
+    return demand.daily_demand(order_lines(spark, folder, grain, DAILY_COLUMNS))
 
 
 def _products(spark: SparkSession, folder: str, grain: str = "brand") -> DataFrame:
@@ -113,7 +114,7 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pair_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    activity = demand.daily_activity(order_lines(spark, folder, "brand", DAY_COLUMNS))
+    activity = demand.daily_activity(order_lines(spark, folder, "brand", [*DAY_COLUMNS, "Date"]))
     products = lookups.product_lookup(order_lines(spark, folder, "brand", TEXT_COLUMNS))
     return pipeline.forecast_pairs(activity, products, _next_day(spark, folder))
 
@@ -237,7 +238,7 @@ def daily_demand(spark, folder):
 
 @query
 def daily_demand_count(spark, folder):
-    lines = order_lines(spark, folder, "brand", [*SERIES, "CreateDate"])
+    lines = order_lines(spark, folder, "brand", [*SERIES, "Date"])
     return demand.daily_demand(lines)
 
 
@@ -282,12 +283,12 @@ def merge_patterns_mean(spark, folder):
 
 @query
 def customer_daily(spark, folder):
-    return demand.customer_daily(order_lines(spark, folder, "brand", [*DAY_COLUMNS, "Price"]))
+    return demand.customer_daily(order_lines(spark, folder, "brand", [*DAILY_COLUMNS, "Price"]))
 
 
 @query
 def customer_forecast_long(spark, folder):
-    lines = order_lines(spark, folder, "brand", [*DAY_COLUMNS, "Price"])
+    lines = order_lines(spark, folder, "brand", [*DAILY_COLUMNS, "Price"])
     return demand.customer_forecast_long(demand.customer_daily(lines))
 
 
