@@ -19,7 +19,7 @@ from orderlens.functions.stats import (
     sample_skewness,
     total,
 )
-from orderlens.operators.quantiles import SINGLE_TASK_VALUES, exact_quantiles
+from orderlens.operators.quantiles import SINGLE_TASK_VALUES, find_quantiles
 from orderlens.schema import ORDER_LINE
 
 # Columns whose nulls are checked, and those the score counts.
@@ -99,29 +99,31 @@ def _null_facts(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def _null_rows(df: DataFrame) -> list[Column]:
+def _null_rows(df: DataFrame) -> list[tuple[str, Column, Column, Column]]:
+    """Column name, null count, null percentage and status, given the facts."""
     rows = []
     for c in CRITICAL_COLUMNS:
         if c in df.columns:
-            n, total_rows = F.col(f"null_{c}"), F.col("total")
-            status = (
-                F.when(n > total_rows * EXCESSIVE_NULL_SHARE, "issue").when(n > 0, "warning").otherwise("ok")
-            )
-            rows.append(
-                F.struct(
-                    F.lit(c).alias("column_name"),
-                    n.alias("null_count"),
-                    ratio(n * 100.0, total_rows, 0.0).alias("null_pct"),
-                    status.alias("status"),
-                )
-            )
+            n, records = F.col(f"null_{c}"), F.col("total")
+            excessive = n > records * EXCESSIVE_NULL_SHARE
+            status = F.when(excessive, "issue").when(n > 0, "warning").otherwise("ok")
+            rows.append((c, n, ratio(n * 100.0, records, 0.0), status))
     return rows
 
 
+def _rows(values: list[tuple], names: list[str]) -> Column:
+    """Rows given as tuples of columns or constants, one record each."""
+    records = [
+        F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(name) for v, name in zip(row, names)])
+        for row in values
+    ]
+    return F.inline(F.array(*records))
+
+
 def null_checks(df: DataFrame) -> DataFrame:
     """Null count and share of each critical column; any is a warning, over a tenth an issue."""
     facts = df.agg(*[fact.alias(name) for name, fact in _null_facts(df).items()])
-    return facts.select(F.inline(F.array(*_null_rows(df))))
+    return facts.select(_rows(_null_rows(df), ["column_name", "null_count", "null_pct", "status"]))
 
 
 def _date_facts(df: DataFrame, column: str) -> dict[str, Column]:
@@ -159,14 +161,10 @@ def _value_facts(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def _value_rows(df: DataFrame) -> list[Column]:
+def _value_rows(df: DataFrame) -> list[tuple[str, str, Column, Column]]:
+    """Column name, problem, row count and status, given the facts."""
     return [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.lit(kind).alias("problem"),
-            F.col(name).alias("row_count"),
-            F.when(F.col(name) > 0, "warning").otherwise("ok").alias("status"),
-        )
+        (c, kind, F.col(name), F.when(F.col(name) > 0, "warning").otherwise("ok"))
         for name, (c, kind) in _value_kinds(df).items()
     ]
 
@@ -174,7 +172,7 @@ def _value_rows(df: DataFrame) -> list[Column]:
 def value_checks(df: DataFrame) -> DataFrame:
     """Negative and zero units and prices, one row per kind."""
     facts = df.agg(*[fact.alias(name) for name, fact in _value_facts(df).items()])
-    return facts.select(F.inline(F.array(*_value_rows(df))))
+    return facts.select(_rows(_value_rows(df), ["column_name", "problem", "row_count", "status"]))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -202,17 +200,6 @@ def dependency_violations(df: DataFrame, key: str = "ProductID", dependent: str
     )
 
 
-def _check(check: str, scope: Column | str, value: Column, threshold: float, status: Column, message: Column) -> Column:
-    return F.struct(
-        F.lit(check).alias("check"),
-        (F.lit(scope) if isinstance(scope, str) else scope).alias("scope"),
-        value.cast("double").alias("value"),
-        F.lit(threshold).alias("threshold"),
-        status.alias("status"),
-        message.alias("message"),
-    )
-
-
 def _flagged(condition: Column, status: str = "warning") -> Column:
     return F.when(condition, status).otherwise("ok")
 
@@ -223,6 +210,7 @@ def validation_checks(df: DataFrame, as_of: dt.date) -> DataFrame:
     Schema checks read metadata only. All value checks come out of one aggregate
     that shuffles a row per task; names per product need a second one.
     """
+    names = ["check", "scope", "value", "threshold", "status", "message"]
     schema_rows = [
         ("required_columns", c, 1.0, 0.0, "issue", f"Missing required column {c}")
         for c in missing_columns(df)
@@ -230,50 +218,35 @@ def validation_checks(df: DataFrame, as_of: dt.date) -> DataFrame:
         ("data_type", c, 1.0, 0.0, "warning", f"Column {c} has unexpected data type {kind}")
         for c, kind in unexpected_types(df)
     ]
+    number = lambda c: c.cast("double")
     facts = _null_facts(df) | _value_facts(df)
-    rows = []
-    for row in _null_rows(df):
-        name, n, share = row["column_name"], row["null_count"], row["null_pct"]
+    rows: list[tuple] = list(schema_rows)
+    for c, n, share, status in _null_rows(df):
         text = F.format_string("%d null values (%.2f%%)", n, share)
-        rows.append(_check("nulls", name, n, 0.0, _flagged(n > 0), text))
-        rows.append(
-            _check(
-                "excessive_nulls", name, share, EXCESSIVE_NULL_SHARE * 100,
-                _flagged(row["status"] == "issue", "issue"), text,
-            )
-        )
+        rows.append(("nulls", c, number(n), 0.0, _flagged(n > 0), text))
+        excessive = F.when(status == "issue", "issue").otherwise("ok")
+        rows.append(("excessive_nulls", c, share, EXCESSIVE_NULL_SHARE * 100, excessive, text))
     if "CreateDate" in df.columns:
         facts |= _date_facts(df, "CreateDate")
         bad, flags = F.col("invalid_dates"), _date_flags(as_of)
-        rows.append(
-            _check("invalid_dates", "CreateDate", bad, 0.0, _flagged(bad > 0),
-                   F.format_string("%d invalid dates", bad))
-        )
-        for name, edge, text in [("too_old", "min_date", "First date "), ("too_new", "max_date", "Last date ")]:
-            rows.append(
-                _check(f"dates_{name}", "CreateDate", flags[name].cast("int"), 0.0, _flagged(flags[name]),
-                       F.concat(F.lit(text), F.coalesce(F.col(edge).cast("string"), F.lit("unknown"))))
-            )
-    for row in _value_rows(df):
-        name, kind, n = row["column_name"], row["problem"], row["row_count"]
-        text = F.format_string("%d records with %s %s", n, kind, name)
-        rows.append(_check("values", name, n, 0.0, row["status"], text).withField(
-            "check", F.concat(kind, F.lit("_values"))))
+        text = F.format_string("%d invalid dates", bad)
+        rows.append(("invalid_dates", "CreateDate", number(bad), 0.0, _flagged(bad > 0), text))
+        for name, edge, label in [("too_old", "min_date", "First date "), ("too_new", "max_date", "Last date ")]:
+            text = F.concat(F.lit(label), F.coalesce(F.col(edge).cast("string"), F.lit("unknown")))
+            value = flags[name].cast("int").cast("double")
+            rows.append((f"dates_{name}", "CreateDate", value, 0.0, _flagged(flags[name]), text))
+    for c, kind, n, status in _value_rows(df):
+        text = F.format_string(f"%d records with {kind} {c}", n)
+        rows.append((f"{kind}_values", c, number(n), 0.0, status, text))
     table = df.agg(*[fact.alias(name) for name, fact in facts.items()])
-    result = table.select(F.inline(F.array(*rows))) if rows else None
+    result = table.select(_rows(rows, names)) if rows else df.sparkSession.createDataFrame([], CHECK_ROW)
     if {"ProductID", "ProductName"} <= set(df.columns):
         n = F.col("n")
         broken = dependency_violations(df).agg(F.count(F.lit(1)).alias("n"))
-        names = broken.select(
-            F.inline(F.array(_check(
-                "one_name_per_product", "ProductID", n, 0.0, _flagged(n > 0),
-                F.format_string("%d products with several names", n))))
-        )
-        result = names if result is None else result.unionByName(names)
-    schema_part = df.sparkSession.createDataFrame(schema_rows, CHECK_ROW)
-    if result is None:
-        return schema_part
-    return result.unionByName(schema_part) if schema_rows else result
+        text = F.format_string("%d products with several names", n)
+        row = ("one_name_per_product", "ProductID", number(n), 0.0, _flagged(n > 0), text)
+        result = result.unionByName(broken.select(_rows([row], names)))
+    return result
 
 
 def verdict(checks: DataFrame) -> DataFrame:
@@ -298,19 +271,15 @@ def numeric_profile(
     """Distribution of each numeric column, one row per column.
 
     Moments of all columns come from a single pass that shuffles one row per task;
-    quartiles from :func:`exact_quantiles`, which runs when this is called; the
+    quartiles from :func:`find_quantiles`, which runs when this is called; the
     outliers from one more pass against the two bounds per column.
     """
     names = columns or numeric_columns(df)
-    quartiles = exact_quantiles(df, names, [0.25, 0.5, 0.75], single_task_values)
-    # at most three rows per column
-    found: dict[str, dict[float, float]] = {}
-    for row in quartiles.collect():
-        found.setdefault(row["column"], {})[row["probability"]] = row["value"]
+    found = find_quantiles(df, names, [0.25, 0.5, 0.75], single_task_values)
     records = []
     for name in names:
         value = F.col(f"`{name}`").cast("double")
-        q25, q50, q75 = (F.lit(found[name][p]).cast("double") for p in (0.25, 0.5, 0.75))
+        q25, q50, q75 = (F.lit(found[name, p]).cast("double") for p in (0.25, 0.5, 0.75))
         low, high = iqr_bounds(q25, q75)
         records.append(
             F.struct(

@@ -26,7 +26,20 @@ def exact_quantiles(
     single_task_values: int = SINGLE_TASK_VALUES,
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Linearly interpolated quantiles as rows (column, probability, value).
+    """Linearly interpolated quantiles as rows (column, probability, value)."""
+    found = find_quantiles(df, columns, probabilities, single_task_values, buckets)
+    rows = [(c, p, value) for (c, p), value in found.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, probability double, value double")
+
+
+def find_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    single_task_values: int = SINGLE_TASK_VALUES,
+    buckets: int = BUCKETS,
+) -> dict[tuple[str, float], float | None]:
+    """Linearly interpolated quantile of each (column, probability).
 
     Runs jobs when called. Large columns are narrowed down rank by rank: count the
     values of the interval known to hold the rank in equal buckets, move to the
@@ -34,8 +47,6 @@ def exact_quantiles(
     pass ships at most ``buckets`` counts per rank and task whatever the skew, and
     two or three passes settle ordinary prices and quantities.
     """
-    spark = df.sparkSession
-    schema = "column string, probability double, value double"
     frame = df.select(*[_value(c).alias(c) for c in columns])
     sizes = frame.agg(
         *[F.struct(F.count(f"`{c}`"), F.min(f"`{c}`"), F.max(f"`{c}`")).alias(c) for c in columns]
@@ -44,28 +55,25 @@ def exact_quantiles(
 
     small = [c for c in columns if 0 < facts[c][0] <= single_task_values]
     large = [c for c in columns if facts[c][0] > single_task_values]
-    rows: list[tuple[str, float, float | None]] = [
-        (c, float(p), None) for c in columns if facts[c][0] == 0 for p in probabilities
-    ]
+    found: dict[tuple[str, float], float | None] = {
+        (c, float(p)): None for c in columns for p in probabilities
+    }
     if small:
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        found = frame.agg(*[F.percentile(f"`{c}`", wanted).alias(c) for c in small]).first()
-        rows += [(c, float(p), v) for c in small for p, v in zip(probabilities, found[c])]
+        values = frame.agg(*[F.percentile(f"`{c}`", wanted).alias(c) for c in small]).first()
+        found |= {(c, float(p)): v for c in small for p, v in zip(probabilities, values[c])}
     if large:
         ranks = {
-            (c, rank)
-            for c in large
-            for p in probabilities
-            for rank in _ranks(facts[c][0], p)
+            (c, rank) for c in large for p in probabilities for rank in _ranks(facts[c][0], p)
         }
-        values = _values_at_ranks(frame, ranks, facts, buckets)
+        placed = _values_at_ranks(frame, ranks, facts, buckets)
         for c in large:
             for p in probabilities:
                 low, high = _ranks(facts[c][0], p)
                 share = p * (facts[c][0] - 1) - low
-                a, b = values[c, low], values[c, high]
-                rows.append((c, float(p), a + (b - a) * share))
-    return spark.createDataFrame(rows, schema)
+                a, b = placed[c, low], placed[c, high]
+                found[c, float(p)] = a + (b - a) * share
+    return found
 
 
 def _ranks(n: int, p: float) -> tuple[int, int]:
@@ -75,7 +83,6 @@ def _ranks(n: int, p: float) -> tuple[int, int]:
 
 def _values_at_ranks(frame: DataFrame, ranks, facts, buckets: int) -> dict[tuple[str, int], float]:
     """Value at each (column, zero-based rank). The driver sees one row per rank and pass."""
-    spark = frame.sparkSession
     # what is known of a rank: interval, and how many values lie below it
     open_ranks = {key: (facts[key[0]][1], facts[key[0]][2], 0) for key in ranks}
     done: dict[tuple[str, int], float] = {}
@@ -122,21 +129,23 @@ def _values_at_ranks(frame: DataFrame, ranks, facts, buckets: int) -> dict[tuple
             ),
             F.lit(0),
         )
-        wanted = spark.createDataFrame(
-            [
-                (number[c, low, high], c, rank, under)
+        wanted = F.array(
+            *[
+                F.struct(
+                    F.lit(number[c, low, high]).alias("of"),
+                    F.lit(c).alias("column"),
+                    F.lit(rank).alias("rank"),
+                    F.lit(under).alias("under"),
+                )
                 for (c, rank), (low, high, under) in open_ranks.items()
-            ],
-            "interval int, column string, rank long, under long",
+            ]
         )
+        first = F.col("under") + F.col("below")
         chosen = (
             counts.withColumn("below", below)
-            .join(F.broadcast(wanted), "interval")
-            .where(
-                (F.col("rank") >= F.col("under") + F.col("below"))
-                & (F.col("rank") < F.col("under") + F.col("below") + F.col("n"))
-            )
-            .select("column", "rank", "low", "high", (F.col("under") + F.col("below")).alias("under"))
+            .select("*", F.inline(wanted))
+            .where((F.col("of") == F.col("interval")) & F.col("rank").between(first, first + F.col("n") - 1))
+            .select("column", "rank", "low", "high", first.alias("under"))
             .collect()
         )
         for row in chosen:

@@ -69,17 +69,24 @@ def series_instances(
     codes: DataFrame,
     horizon: int = PREDICTION_LENGTH,
     context: int = CONTEXT_LENGTH,
-    withhold: bool = False,
 ) -> DataFrame:
-    """Training instances of the long enough series; test ones with ``withhold``.
+    """Training and test instances of the long enough series, told apart by ``part``.
 
-    ``codes`` should come from the kept series only: see :func:`kept_codes_input`.
+    A test instance withholds the last ``horizon`` points. Both are made from the
+    same row, so the history is grouped once. ``codes`` should come from the kept
+    series only: see :func:`kept_codes_input`.
     """
     kept = series_arrays(long).where(F.size("points") >= context + horizon)
-    if withhold:
-        kept = kept.withColumn("points", F.slice("points", 1, F.size("points") - horizon))
+    points = F.col("points")
+    parts = F.array(
+        F.struct(F.lit("train").alias("part"), points.alias("points")),
+        F.struct(F.lit("test").alias("part"), F.slice(points, 1, F.size(points) - horizon).alias("points")),
+    )
+    encoded = encode(kept, codes)
+    rows = encoded.select(*[c for c in encoded.columns if c != "points"], F.inline(parts))
     days = F.col("points.timestamp")
-    return encode(kept, codes).select(
+    return rows.select(
+        "part",
         F.date_format(days[0], "yyyy-MM-dd").alias("start"),
         F.col("points.y").alias("target"),
         _cat().alias("cat"),

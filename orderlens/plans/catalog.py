@@ -555,6 +555,7 @@ def _instance_totals(instances: DataFrame) -> DataFrame:
 
     return instances.select(
         "item_id",
+        "part",
         "start",
         F.size("target").alias("n_points"),
         added(F.col("target")).alias("target_sum"),
@@ -569,15 +570,8 @@ def _instance_totals(instances: DataFrame) -> DataFrame:
 
 @query
 def series_instances(spark, folder):
-    history = _long(spark, folder)
-    mapping = _codes(history)
-    parts = [
-        _instance_totals(series.series_instances(history, mapping, withhold=withhold)).withColumn(
-            "part", F.lit("test" if withhold else "train")
-        )
-        for withhold in (False, True)
-    ]
-    return parts[0].unionByName(parts[1])
+    instances, _ = pipeline.training_sets(_long(spark, folder))
+    return _instance_totals(instances)
 
 
 @query

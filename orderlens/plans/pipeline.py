@@ -87,14 +87,10 @@ def recommend_pairs(activity: DataFrame, products: DataFrame, as_of: Column) ->
 # --- history to training sets and accuracy --------------------------------------------
 
 
-def training_sets(long: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Training instances, test instances and the category codes both use."""
+def training_sets(long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Training and test instances, and the category codes they use."""
     mapping = codes.category_codes(series.kept_codes_input(long))
-    return (
-        series.series_instances(long, mapping),
-        series.series_instances(long, mapping, withhold=True),
-        mapping,
-    )
+    return series.series_instances(long, mapping), mapping
 
 
 def evaluate(long: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,6 +16,8 @@ SETTINGS = {
     # Split a hot join key even where that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.ui.enabled": "false",
+    # do not record the call site of every column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -109,9 +109,11 @@ def read_latest_lookups(spark: SparkSession, root: str) -> tuple[DataFrame, Data
 def write_instances(df: DataFrame, path: str) -> None:
     """Series instances as JSON lines, without product information.
 
-    The JSON writer leaves null fields out by itself.
+    The JSON writer leaves null fields out by itself. Training and test instances
+    go to a folder each, in one job.
     """
-    df.drop("product_info").write.mode("overwrite").json(path)
+    writer = df.drop("product_info").write.mode("overwrite")
+    (writer.partitionBy("part") if "part" in df.columns else writer).json(path)
 
 
 def read_instances(spark: SparkSession, path: str) -> DataFrame:
