@@ -41,14 +41,24 @@ def clean_id(raw: Column) -> Column:
     return F.trim(raw.cast("string"))
 
 
+def json_object(text: Column, schema: T.StructType | str) -> Column:
+    """Fields of a text that is exactly one JSON object; NULL for any other text.
+
+    Read as the only element of an array: alone, an object would be accepted with
+    anything behind it, and a broken one would give a struct of NULLs.
+    """
+    fields = schema if isinstance(schema, str) else schema.simpleString()
+    kind = fields if fields.startswith("struct<") else f"struct<{fields}>"
+    elements = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{kind}>")
+    return F.when(F.size(elements) == 1, elements[0])
+
+
 def json_from_text(text: Column, schema: T.StructType | str, default: Column | None = None) -> Column:
-    """JSON object found in free text, parsed; ``default`` when absent or broken.
+    """JSON object found in free text, from the first opening to the last closing brace.
 
-    In the permissive mode of ``from_json`` a broken text gives a struct of NULLs,
-    so whether it parses is asked first.
+    ``default`` when there is none or it is broken.
     """
-    span = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    parsed = F.when(F.try_parse_json(span).isNotNull(), F.from_json(span, schema))
+    parsed = json_object(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema)
     return parsed if default is None else F.coalesce(parsed, default)
 
 

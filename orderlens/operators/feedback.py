@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.parsing import clean_id, lenient_double
+from orderlens.functions.parsing import clean_id, json_object, lenient_double
 
 # Required fields, accepted types, error codes.
 REQUIRED = ["customer_id", "facility_id", "prediction_id", "feedback_type", "rating"]
@@ -22,10 +22,8 @@ FEEDBACK_JSON = ", ".join(
 
 def parse_feedback(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Fields of JSON feedback bodies; an unreadable body leaves them all NULL."""
-    sound = F.try_parse_json(body).isNotNull()
-    return bodies.withColumns(
-        {"valid_json": sound, "fields": F.from_json(F.when(sound, F.col(body)), FEEDBACK_JSON)}
-    ).select(*bodies.columns, "valid_json", "fields.*")
+    parsed = bodies.withColumn("_fields", json_object(F.col(body), FEEDBACK_JSON))
+    return parsed.select(*bodies.columns, F.col("_fields").isNotNull().alias("valid_json"), "_fields.*")
 
 
 def _rating() -> Column:
