@@ -45,7 +45,8 @@ def find_quantiles(
     values of the interval known to hold the rank in equal buckets, move to the
     bucket the rank falls into, and repeat until that interval is one value. A
     pass ships at most ``buckets`` counts per rank and task whatever the skew, and
-    two or three passes settle ordinary prices and quantities.
+    two or three passes settle ordinary prices and quantities. ``df`` is read once
+    per pass: store it first if it is costly to make.
     """
     frame = df.select(*[_value(c).alias(c) for c in columns])
     sizes = frame.agg(

@@ -594,7 +594,24 @@ def inference_instances(spark, folder):
 @query
 def request_payload(spark, folder):
     history = _long(spark, folder)
-    return series.request_payload(series.inference_instances(history, _codes(history)))
+    requests = series.request_payload(series.inference_instances(history, _codes(history)))
+    # read back what was sent
+    instance = "struct<start:string,target:array<double>,cat:array<int>,dynamic_feat:array<array<double>>>"
+    settings = "struct<num_samples:int,output_types:array<string>,quantiles:array<string>>"
+    body = parsing.json_object(F.col("payload"), f"instances array<{instance}>, configuration {settings}")
+    sent = requests.select("item_id", body.alias("body")).select(
+        "item_id", F.inline("body.instances"), F.col("body.configuration").alias("configuration")
+    )
+    return sent.select(
+        "item_id",
+        "start",
+        F.size("target").alias("n_points"),
+        F.aggregate("target", F.lit(0.0), lambda total, y: total + y).alias("target_sum"),
+        F.size(F.col("dynamic_feat")[1]).alias("n_days"),
+        F.array_join(F.col("cat").cast("array<string>"), ",").alias("cat"),
+        "configuration.num_samples",
+        F.array_join("configuration.quantiles", ",").alias("quantiles"),
+    )
 
 
 @query
@@ -661,7 +678,12 @@ def forecast_insight_stats(spark, folder):
 @query
 def analyst_payload(spark, folder):
     stats = forecast.forecast_stats(_pair_forecast(spark, folder), SERIES)
-    return forecast.analyst_payload(stats, PAIR)
+    payloads = forecast.analyst_payload(stats, PAIR)
+    product = "struct<ProductID:string,p50_avg:double,trend:string,confidence_score:double>"
+    products = F.from_json("payload", f"array<{product}>")
+    return payloads.select(*PAIR, F.posexplode(products).alias("position", "p")).select(
+        *PAIR, "position", "p.*"
+    )
 
 
 @query
@@ -676,8 +698,10 @@ def forecast_accuracy_total(spark, folder):
 
 @query
 def result_records(spark, folder):
-    return forecast.result_records(_scored(spark, folder)).select(
-        "item_id", F.to_json(F.struct("metrics", "actual_values", "predicted_values")).alias("record")
+    records = forecast.result_records(_scored(spark, folder))
+    values = F.arrays_zip("actual_values", "predicted_values", "p10_values", "p90_values")
+    return records.select("item_id", "metrics.rmse", F.posexplode(values).alias("position", "v")).select(
+        "item_id", "rmse", "position", "v.*"
     )
 
 

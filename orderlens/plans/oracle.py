@@ -589,6 +589,14 @@ def oracle() -> dict[str, str]:
       SELECT item_id, strftime(a, '%Y-%m-%d') AS start, CAST(position AS INTEGER) AS position, round(y, 6) AS target,
         round((isodow(ts) - 1) / 6.0, 6) AS weekday_share, round((month(ts) - 1) / 11.0, 6) AS month_share
       FROM every JOIN ends USING (item_id)"""
+    q["request_payload"] = f"""WITH {KEPT_CHAIN},
+      placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ts DESC) AS back, count(*) OVER (PARTITION BY item_id) AS n FROM long),
+      recent AS (SELECT item_id, customer_id, facility_id, category_name, strftime(min(ts), '%Y-%m-%d') AS start,
+        CAST(count(*) AS INTEGER) AS n_points, round(sum(y), 6) AS target_sum FROM placed WHERE n >= 28 AND back <= 28 GROUP BY ALL)
+      SELECT k.item_id, start, n_points, target_sum, CAST(42 AS INTEGER) AS n_days,
+        concat_ws(',', coalesce(c.code, 0), coalesce(f.code, 0), coalesce(g.code, 0)) AS cat,
+        CAST(100 AS INTEGER) AS num_samples, '0.1,0.5,0.9' AS quantiles
+      FROM recent k {encoded.replace('JOIN', 'LEFT JOIN')}"""
     q["series_product_info"] = f"""WITH {LONG_CHAIN} SELECT item_id, count(*) AS length, product_id, product_name, category_name
       FROM long GROUP BY ALL"""
 
@@ -611,6 +619,9 @@ def oracle() -> dict[str, str]:
         round(stddev_pop(p50), 6) AS volatility,
         round(CASE WHEN avg(p50) > 0 THEN greatest(0.0, least(100.0, 100 - avg(p90 - p10) / avg(p50) * 100)) ELSE 50.0 END, 6) AS confidence_score"""
     q["forecast_stats"] = f"WITH {PAIR_CHAIN} SELECT {stats} FROM forecast GROUP BY {SERIES}"
+    q["analyst_payload"] = f"""WITH {PAIR_CHAIN}, stats AS (SELECT {stats} FROM forecast GROUP BY {SERIES})
+      SELECT {SERIES}, CAST(row_number() OVER (PARTITION BY "CustomerID", "FacilityID" ORDER BY "ProductID") - 1 AS INTEGER) AS position,
+        p50_avg, trend, confidence_score FROM stats"""
     q["forecast_insight_stats"] = f"""WITH {SCORED_CHAIN}
       SELECT item_id, CASE WHEN arg_max(p50, ts) > arg_min(p50, ts) THEN 'increasing' ELSE 'decreasing' END AS trend,
         round(CASE WHEN avg(p50) > 0 THEN stddev_pop(p50) / avg(p50) ELSE 0 END, 6) AS volatility,
@@ -623,6 +634,10 @@ def oracle() -> dict[str, str]:
         f"round(2 * sum(greatest({s} * (y - p{n}), ({s} - 1) * (y - p{n}))) / sum(abs(y)), 6) AS wql_p{n}"
         for n, s in [(10, "0.1::DOUBLE"), (50, "0.5::DOUBLE"), (90, "0.9::DOUBLE")]
     )
+    q["result_records"] = f"""WITH {SCORED_CHAIN}
+      SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY ts) - 1 AS INTEGER) AS position,
+        round(sqrt(avg((y - p50) * (y - p50)) OVER (PARTITION BY item_id)), 6) AS rmse, round(y, 6) AS actual_values,
+        round(p50, 6) AS predicted_values, round(p10, 6) AS p10_values, round(p90, 6) AS p90_values FROM scored"""
     q["quantile_loss"] = f"WITH {SCORED_CHAIN} SELECT {losses}, round(sum(abs(y - p50)) / sum(abs(y)), 6) AS wape FROM scored"
 
     # recommendations

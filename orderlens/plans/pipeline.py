@@ -20,16 +20,18 @@ def build_outputs(lines: DataFrame, root: str, run_ts: str) -> list[str]:
 
     The lines and the daily demand are written first and read back: later tables
     then scan only the columns they need, no text is parsed twice, and a lost
-    executor costs a re-read and not a rebuild. Empty tables are not written;
-    the names of the written ones are returned.
+    executor costs a re-read and not a rebuild. Without lines nothing is written,
+    without any usable line only these two are; the written names are returned.
     """
     spark = lines.sparkSession
     written: list[str] = []
+    # the one look ahead; a derived table is empty only if the activity is
+    if lines.isEmpty():
+        return written
 
     def keep(name: str, df: DataFrame) -> None:
-        if not df.isEmpty():
-            files.write_snapshot(df, f"{root}/{name}", run_ts)
-            written.append(name)
+        files.write_snapshot(df, f"{root}/{name}", run_ts)
+        written.append(name)
 
     def stored(name: str, like: DataFrame) -> DataFrame:
         runs = files.read_snapshots(spark, f"{root}/{name}", like.schema)
@@ -42,12 +44,14 @@ def build_outputs(lines: DataFrame, root: str, run_ts: str) -> list[str]:
     activity = demand.daily_activity(featured)
     keep("processed/daily_activity", activity)
     activity = stored("processed/daily_activity", activity)
+    if activity.isEmpty():
+        return written
     daily = activity.select(*SERIES, "Date", "Quantity")
 
     products = demand.product_table(featured)
     keep("processed/product_features", demand.demand_patterns(daily, products))
-    lookup = lookups.product_lookup(featured)
-    keep("lookup/product_lookup", lookup)
+    keep("lookup/product_lookup", lookups.product_lookup(featured))
+    lookup = stored("lookup/product_lookup", lookups.product_lookup(featured))
     relations = lookups.relationships_of(activity)
     keep("lookup/customer_product_lookup", lookups.customer_product_lookup(relations, lookup))
     keep("forecast_format/product_forecast_data", demand.by_series(demand.product_forecast_long(daily, products)))
@@ -66,21 +70,35 @@ def validate_lines(lines: DataFrame, as_of: dt.date, path: str) -> DataFrame:
 # --- history to forecasts and recommendations ------------------------------------------
 
 
-def forecast_pairs(activity: DataFrame, products: DataFrame, as_of: Column, k: int = 10) -> DataFrame:
+def forecast_pairs(
+    activity: DataFrame,
+    products: DataFrame,
+    as_of: Column,
+    k: int = 10,
+    relations: DataFrame | None = None,
+) -> DataFrame:
     """Forecasts of the top products of every customer and facility, all in one job.
 
-    ``activity`` is the daily activity table, ``products`` the product lookup. Order
-    counts and histories come from the same rows; the ranking cuts every pair to k
-    series before anything is forecast or joined.
+    ``activity`` is the daily activity table, ``products`` the product lookup. The
+    ranking cuts every pair to k series before anything is forecast or joined.
+    With a stored customer-product lookup as ``relations`` it works on that narrow
+    table, and only the chosen series are gathered from the activity; without one,
+    order counts and histories come from a single pass over the activity.
     """
-    chosen = lookups.top_products(demand.series_histories(activity), k).drop("rank")
+    if relations is None:
+        chosen = lookups.top_products(demand.series_histories(activity), k).drop("rank")
+    else:
+        wanted = lookups.top_products(relations.select(*SERIES, "OrderCount"), k).select(*SERIES)
+        chosen = demand.series_histories(activity.join(wanted, SERIES, "left_semi"))
     rows = forecast.forecast_histories(chosen, SERIES, as_of)
     return rows.join(products, "ProductID", "left")
 
 
-def recommend_pairs(activity: DataFrame, products: DataFrame, as_of: Column) -> DataFrame:
+def recommend_pairs(
+    activity: DataFrame, products: DataFrame, as_of: Column, relations: DataFrame | None = None
+) -> DataFrame:
     """Nested predictions and recommendations of every customer and facility."""
-    rows = forecast_pairs(activity, products, as_of)
+    rows = forecast_pairs(activity, products, as_of, relations=relations)
     return recommend.prediction_bundle(recommend.product_outlook(rows, as_of), as_of)
 
 

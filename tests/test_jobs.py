@@ -83,8 +83,12 @@ def test_build_outputs_and_recommend(spark, folder, tmp_path):
     lookup = pipeline.latest_lookup(spark, root)
     assert lookup.count() == 150
     products = files.read_latest_lookups(spark, f"{root}/lookup")[0]
-    bundles = pipeline.recommend_pairs(activity.drop("run_ts"), products, F.lit(dt.date(2001, 8, 2)))
-    assert bundles.count() == 25
+    as_of, activity = F.lit(dt.date(2001, 8, 2)), activity.drop("run_ts")
+    bundles = [
+        sorted(map(str, pipeline.recommend_pairs(activity, products, as_of, relations).collect()))
+        for relations in (None, lookup)
+    ]
+    assert len(bundles[0]) == 25 and bundles[0] == bundles[1]
     summary = pipeline.validate_lines(lines, dt.date(2001, 8, 2), str(tmp_path / "report")).first()
     assert summary["validation_summary"] == "PASSED" and summary["total_records"] == 6000
 
