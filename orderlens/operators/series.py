@@ -47,13 +47,28 @@ def holdout_split(
     return ranked.withColumn("split", label).drop("_back")
 
 
-def series_arrays(long: DataFrame) -> DataFrame:
+def series_arrays(long: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """One row per series: ids, text, and its points in time order.
 
     Ids and text follow from the item, so grouping by them too changes nothing.
+    With ``products`` the text is joined from there, to series and not to days.
     """
+    keys = ["item_id", *IDS, *([] if products is not None else TEXT)]
     point = F.struct("timestamp", F.col("target_value").cast("double").alias("y"))
-    return long.groupBy("item_id", *IDS, *TEXT).agg(F.sort_array(F.collect_list(point)).alias("points"))
+    arrays = long.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("points"))
+    if products is None:
+        return arrays
+    text = products.select(
+        F.col("ProductID").alias("product_id"),
+        F.col("ProductName").alias("product_name"),
+        F.col("CategoryName").alias("category_name"),
+    )
+    return arrays.join(text, "product_id", "left")
+
+
+def at_least(arrays: DataFrame, points: int = CONTEXT_LENGTH + PREDICTION_LENGTH) -> DataFrame:
+    """Series with at least that many points."""
+    return arrays.where(F.size("points") >= points)
 
 
 def _dynamic(days: Column) -> Column:
@@ -65,7 +80,7 @@ def _cat() -> Column:
 
 
 def series_instances(
-    long: DataFrame,
+    arrays: DataFrame,
     codes: DataFrame,
     horizon: int = PREDICTION_LENGTH,
     context: int = CONTEXT_LENGTH,
@@ -73,10 +88,9 @@ def series_instances(
     """Training and test instances of the long enough series, told apart by ``part``.
 
     A test instance withholds the last ``horizon`` points. Both are made from the
-    same row, so the history is grouped once. ``codes`` should come from the kept
-    series only: see :func:`kept_codes_input`.
+    same row. ``codes`` should come from the long enough series only.
     """
-    kept = series_arrays(long).where(F.size("points") >= context + horizon)
+    kept = at_least(arrays, context + horizon)
     points = F.col("points")
     parts = F.array(
         F.struct(F.lit("train").alias("part"), points.alias("points")),
@@ -96,25 +110,14 @@ def series_instances(
     )
 
 
-def kept_codes_input(
-    long: DataFrame, horizon: int = PREDICTION_LENGTH, context: int = CONTEXT_LENGTH
-) -> DataFrame:
-    """Ids and category of each long enough series, one row per series."""
-    keys = ["item_id", "customer_id", "facility_id", "category_name"]
-    counted = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") >= context + horizon).drop("n")
-
-
 def inference_instances(
-    long: DataFrame,
+    arrays: DataFrame,
     codes: DataFrame,
     horizon: int = PREDICTION_LENGTH,
     context: int = CONTEXT_LENGTH,
 ) -> DataFrame:
     """Last ``context`` points of each series plus calendar features of the days to come."""
-    recent = series_arrays(long).where(F.size("points") >= context).withColumn(
-        "points", F.slice("points", -context, context)
-    )
+    recent = at_least(arrays, context).withColumn("points", F.slice("points", -context, context))
     days = F.col("points.timestamp")
     coming = following_days(F.date_add(F.element_at(days, -1), 1), horizon)
     return encode(recent, codes).select(

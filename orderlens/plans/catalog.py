@@ -520,20 +520,24 @@ def validation_report(spark, folder):
 # --- series ---------------------------------------------------------------------------
 
 
-def _codes(history: DataFrame) -> DataFrame:
-    return codes.category_codes(series.kept_codes_input(history))
+def _series(spark: SparkSession, folder: str) -> DataFrame:
+    history = demand.product_forecast_long(_daily(spark, folder))
+    return pipeline.stored_series(history, _products(spark, folder))
+
+
+def _codes(arrays: DataFrame) -> DataFrame:
+    return codes.category_codes(series.at_least(arrays))
 
 
 @query
 def category_codes(spark, folder):
-    return _codes(_long(spark, folder))
+    return _codes(_series(spark, folder))
 
 
 @query
 def encode_categories(spark, folder):
-    history = _long(spark, folder)
-    items = series.kept_codes_input(history, 0, 0)
-    encoded = codes.encode(items, _codes(history), codes.DEFAULT_CARDINALITY)
+    arrays = _series(spark, folder)
+    encoded = codes.encode(arrays, _codes(arrays), codes.DEFAULT_CARDINALITY)
     return encoded.select("item_id", "customer_cat", "facility_cat", "category_cat")
 
 
@@ -570,14 +574,14 @@ def _instance_totals(instances: DataFrame) -> DataFrame:
 
 @query
 def series_instances(spark, folder):
-    instances, _ = pipeline.training_sets(_long(spark, folder))
+    instances, _ = pipeline.training_sets(_series(spark, folder))
     return _instance_totals(instances)
 
 
 @query
 def inference_instances(spark, folder):
-    history = _long(spark, folder)
-    instances = series.inference_instances(history, _codes(history))
+    arrays = _series(spark, folder)
+    instances = series.inference_instances(arrays, _codes(arrays))
     rows = instances.select(
         "item_id", "start", "target", "dynamic_feat", F.posexplode(F.col("dynamic_feat")[0]).alias("position", "weekday_share")
     )
@@ -593,8 +597,8 @@ def inference_instances(spark, folder):
 
 @query
 def request_payload(spark, folder):
-    history = _long(spark, folder)
-    requests = series.request_payload(series.inference_instances(history, _codes(history)))
+    arrays = _series(spark, folder)
+    requests = series.request_payload(series.inference_instances(arrays, _codes(arrays)))
     # read back what was sent
     instance = "struct<start:string,target:array<double>,cat:array<int>,dynamic_feat:array<array<double>>>"
     settings = "struct<num_samples:int,output_types:array<string>,quantiles:array<string>>"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlens.operators import calendar, codes, demand, forecast, lookups, quality, recommend, series
 from orderlens.schema import SERIES
+from orderlens.session import ensure_checkpoint_dir
 from orderlens.sources import files
 
 
@@ -105,10 +106,20 @@ def recommend_pairs(
 # --- history to training sets and accuracy --------------------------------------------
 
 
-def training_sets(long: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Training and test instances, and the category codes they use."""
-    mapping = codes.category_codes(series.kept_codes_input(long))
-    return series.series_instances(long, mapping), mapping
+def training_sets(arrays: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Training and test instances, and the category codes they use.
+
+    ``arrays`` holds one row per series and is read for the codes and for the
+    instances: take it from :func:`stored_series` or a table.
+    """
+    mapping = codes.category_codes(series.at_least(arrays))
+    return series.series_instances(arrays, mapping), mapping
+
+
+def stored_series(long: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """One row per series, checkpointed, so that the history is grouped once."""
+    ensure_checkpoint_dir(long.sparkSession)
+    return series.series_arrays(long, products).checkpoint()
 
 
 def evaluate(long: DataFrame) -> tuple[DataFrame, DataFrame]:

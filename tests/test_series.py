@@ -31,7 +31,7 @@ def long(spark):
 
 @pytest.fixture(scope="module")
 def instances(spark, long):
-    rows, mapping = pipeline.training_sets(long)
+    rows, mapping = pipeline.training_sets(pipeline.stored_series(long))
     return {(r["part"], r["item_id"]): r for r in rows.collect()}, mapping
 
 
@@ -52,7 +52,7 @@ def test_instances_of_kept_series_only(instances):
 
 def test_inference_and_payload(spark, long, instances):
     _, mapping = instances
-    frame = series.inference_instances(long, mapping)
+    frame = series.inference_instances(series.series_arrays(long), mapping)
     rows = {r["item_id"]: r for r in frame.collect()}
     assert set(rows) == {"A_1_P", "B_1_P", "C_1_P", "D_1_P"}
     d = rows["D_1_P"]
@@ -66,7 +66,7 @@ def test_inference_and_payload(spark, long, instances):
 
 
 def test_json_lines_round_trip(spark, instances, long, tmp_path):
-    rows, _ = pipeline.training_sets(long)
+    rows, _ = pipeline.training_sets(series.series_arrays(long))
     files.write_instances(rows, str(tmp_path / "i"))
     back = files.read_instances(spark, str(tmp_path / "i" / "part=test"))
     assert back.count() == 2 and back.columns == ["start", "target", "cat", "dynamic_feat", "item_id"]
