@@ -83,15 +83,8 @@ def _from_profile(day: Column) -> dict[str, Column]:
     return {**columns, "mean": columns["p50"]}
 
 
-def _forecast_days(profiled: DataFrame, as_of: Column, horizon: int) -> DataFrame:
-    days = profiled.withColumn("ds", F.explode(following_days(as_of, horizon)))
-    return days.withColumns(_from_profile(F.col("ds"))).drop("weekdays")
-
-
-def forecast_histories(
-    histories: DataFrame, keys: list[str], as_of: Column, horizon: int = PREDICTION_LENGTH
-) -> DataFrame:
-    """Forecast rows for series with their ``points``; all other columns are kept.
+def profile_histories(histories: DataFrame, keys: list[str]) -> DataFrame:
+    """Weekday quantiles of series with their ``points``; all other columns are kept.
 
     Unpacking the points keeps rows where they are, so the aggregation by key
     needs no shuffle after one by the key or a part of it.
@@ -99,7 +92,13 @@ def forecast_histories(
     rest = [name for name in histories.columns if name not in (*keys, "points")]
     rows = histories.select(*keys, *rest, F.inline("points"))
     along = [F.max(name).alias(name) for name in rest]
-    return _forecast_days(_profile(rows, keys, F.lit(True), *along), as_of, horizon)
+    return _profile(rows, keys, F.lit(True), *along)
+
+
+def forecast_days(profiled: DataFrame, as_of: Column, horizon: int = PREDICTION_LENGTH) -> DataFrame:
+    """One row per profiled series and day of the ``horizon`` days from ``as_of`` on."""
+    days = profiled.withColumn("ds", F.explode(following_days(as_of, horizon)))
+    return days.withColumns(_from_profile(F.col("ds"))).drop("weekdays")
 
 
 def _points(history: DataFrame) -> DataFrame:
@@ -111,7 +110,7 @@ def seasonal_forecast(
 ) -> DataFrame:
     """Forecast of the ``horizon`` days from ``as_of`` on for every item of a long table."""
     profiled = _profile(_points(history), ["item_id"], F.lit(True))
-    return _forecast_days(profiled, as_of, horizon)
+    return forecast_days(profiled, as_of, horizon)
 
 
 def evaluate_holdout(split: DataFrame) -> DataFrame:

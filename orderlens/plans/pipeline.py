@@ -91,8 +91,8 @@ def forecast_pairs(
     else:
         wanted = lookups.top_products(relations.select(*SERIES, "OrderCount"), k).select(*SERIES)
         chosen = demand.series_histories(activity.join(wanted, SERIES, "left_semi"))
-    rows = forecast.forecast_histories(chosen, SERIES, as_of)
-    return rows.join(products, "ProductID", "left")
+    profiled = forecast.profile_histories(chosen, SERIES)
+    return forecast.forecast_days(profiled.join(products, "ProductID", "left"), as_of)
 
 
 def recommend_pairs(

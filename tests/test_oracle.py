@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import duckdb
 import pytest
 
@@ -14,6 +16,12 @@ TABLES = (
 QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
 
 
+@pytest.fixture(scope="module")
+def folder():
+    """Larger than the other tests' data: its series are long enough for a hold-out."""
+    return os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
+
+
 @pytest.fixture(scope="module")
 def duck(folder):
     con = duckdb.connect()
