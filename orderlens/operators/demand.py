@@ -70,11 +70,9 @@ def product_table(lines: DataFrame) -> DataFrame:
     joined to, hence one row, picked by value and not by arrival.
     """
     text = [name for name in PRODUCT_TEXT if name in lines.columns]
+    # combined within each task, so that at most one row per task and product is shuffled
     known = lines.where(F.col("ProductID").isNotNull())
-    # A minimum over text sorts its input, so the lines are first reduced by a hash
-    # aggregation; the filter on its count keeps the optimizer from merging the two.
-    listed = known.groupBy("ProductID", *text).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
-    least = listed.groupBy("ProductID").agg(F.min(F.struct(*text)).alias("info"))
+    least = known.groupBy("ProductID").agg(F.min(F.struct(*text)).alias("info"))
     return least.select("ProductID", *[F.col(f"info.{name}").alias(name) for name in text])
 
 

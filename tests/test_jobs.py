@@ -26,7 +26,7 @@ def _write_csv(path, rows, header=HEADER):
 
 def _raw(n, start=0):
     return [
-        ("HYB", f"2/{i % 28 + 1}/25", f"C{i % 3}", i % 2, 1876 + i % 4, i % 5 + 1, 4.97, i, "HYB", '"BINAXNOW: CARD, 2"')
+        ("P1", f"2/{i % 28 + 1}/25", f"C{i % 3}", i % 2, 1876 + i % 4, i % 5 + 1, 4.97, i, "P1", '"BINAXNOW: CARD, 2"')
         for i in range(start, start + n)
     ]
 
