@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination
+from orderlens.llm import decontamination, language_model
+from orderlens.llm.text import in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +23,22 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(decontamination.match_items(docs, items))
 
 
+def op3_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    held_out = in_fold(F.col("doc_id"), 7, 2)
+    model = language_model.count_filter(docs.where(~held_out))
+    return language_model.scored(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.n_tokens).cast("bigint").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op3_language_model": op3_language_model,
 }

@@ -144,7 +144,7 @@ def space_words(data: np.ndarray, offsets: np.ndarray, piece: int = PIECE_BYTES)
     return np.concatenate(hashes), np.diff(at)
 
 
-def text_slices(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+def text_slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about this many bytes; a longer text stands alone."""
     start, n = 0, len(offsets) - 1
     while start < n:
