@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination, language_model
+from orderlens.llm import decontamination, language_model, url_rules, warc
+from orderlens.llm.storage import shared_folder
 from orderlens.llm.text import in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +39,30 @@ def op3_language_model(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.with_originals(read(spark, folder, "pages", "page_id", "url", "html"))
+    manifest = warc.write_archives(records, shared_folder(spark, "warc"))
+    return warc.read_archives(spark, manifest).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+    )
+
+
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judged(read(spark, folder, "pages", "page_id", "url"), URL_RULES)
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op2_warc": op2_warc,
     "op3_language_model": op3_language_model,
+    "op7_url_rules": op7_url_rules,
 }

@@ -33,6 +33,37 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+# DuckDB has no base32: 20 bits, so 5 hex and 4 base32 digits, at a time
+OP2 = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (
+  SELECT hex, array_to_string(list_transform(range(32), lambda i:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || hex[(i // 4) * 5 + 1:(i // 4) * 5 + 5])::INTEGER >> (5 * (3 - i % 4))) & 31)]), '') AS digest,
+    min(page_id) AS first_id
+  FROM p GROUP BY hex)
+SELECT page_id, url, CAST(strlen(body) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p JOIN g USING (hex)
+"""
+
+OP7 = f"""
+WITH r(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+  ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+best AS (
+  SELECT page_id, u.host, u.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+    arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+  GROUP BY ALL)
+SELECT u.page_id, u.host, u.path, best.rule, coalesce(best.verdict, 'allow') AS verdict
+FROM u LEFT JOIN best USING (page_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_decontamination": OP1,
+    "op2_warc": OP2,
+    "op7_url_rules": OP7,
 }
