@@ -20,6 +20,7 @@ percent-encoded. No rows give no records. Other columns are not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -223,8 +224,6 @@ def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> dict:
 
 
 def _digest(payload: bytes) -> str:
-    import base64
-
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
@@ -260,5 +259,5 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = SPLI
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, fields)
 
-    # ranges are few and small rows, their work is large: deal them out singly
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(read, schema)
+    # ranges are few and small rows, their work is large: as many tasks, whatever adaptive execution would join
+    return ranges.repartition(max(1, ranges.count())).mapInArrow(read, schema)
