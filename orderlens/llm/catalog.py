@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination, language_model, url_rules, warc
+from orderlens.llm import decontamination, language_model, near_dedup, url_rules, warc
 from orderlens.llm.storage import shared_folder
 from orderlens.llm.text import in_fold
 
@@ -47,6 +47,10 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, folder, "documents", "doc_id", "text"))
+
+
 URL_RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -64,5 +68,6 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
     "op3_language_model": op3_language_model,
+    "op6_near_dedup": op6_near_dedup,
     "op7_url_rules": op7_url_rules,
 }
