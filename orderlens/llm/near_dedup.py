@@ -40,7 +40,7 @@ SHINGLE = 5
 PERCENT = 85
 SYMBOLS, CHUNKS, RADIUS = 60, 12, 21
 #: Rows of one key, and documents or shingles of one group, that a task compares at once.
-BLOCK_ROWS, BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1024, 1 << 20
+BLOCK_ROWS, BLOCK_DOCS, BLOCK_SHINGLES = 512, 256, 1 << 19
 SLICE_BYTES = 4 << 20
 
 _rng = np.random.default_rng(20240607)
