@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination, language_model, near_dedup, url_rules, warc
+from orderlens.llm import decontamination, language_model, near_dedup, toxicity, url_rules, warc
 from orderlens.llm.storage import shared_folder
 from orderlens.llm.text import in_fold
 
@@ -47,6 +47,23 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def toxic_model(spark: SparkSession, docs: DataFrame, folder: str) -> toxicity.ToxicModel:
+    """Learnt from the documents and labels outside of the held-out fold."""
+    labels = read(spark, folder, "labels", "doc_id", "toxic")
+    return toxicity.train(docs, labels, ~in_fold(F.col("doc_id"), 5, 0))
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    scores = toxicity.scored(docs, toxic_model(spark, docs, folder))
+    return scores.select(
+        "doc_id",
+        in_fold(F.col("doc_id"), 5, 0).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, folder, "documents", "doc_id", "text"))
 
@@ -68,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
     "op3_language_model": op3_language_model,
+    "op4_toxicity": op4_toxicity,
     "op6_near_dedup": op6_near_dedup,
     "op7_url_rules": op7_url_rules,
 }
