@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination, language_model, near_dedup, toxicity, url_rules, warc
+from orderlens.llm import decontamination, language_model, near_dedup, secrets, toxicity, url_rules, warc
 from orderlens.llm.storage import shared_folder
 from orderlens.llm.text import in_fold
 
@@ -81,6 +81,25 @@ def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judged(read(spark, folder, "pages", "page_id", "url"), URL_RULES)
 
 
+def is_kind(rank: int) -> Callable[[Column], Column]:
+    return lambda span: span["rank"] == rank
+
+
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    found = secrets.with_spans(docs, secrets.log_ratios(docs))
+    counts = [
+        F.size(F.filter("base_spans", is_kind(i))).cast("bigint").alias(f"n_{kind}")
+        for i, kind in enumerate(secrets.KINDS[:3])
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.joined_spans("base_spans"), 256).alias("base_sha256"),
+        secrets.joined_spans("spans").alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -88,4 +107,5 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op6_near_dedup": op6_near_dedup,
     "op7_url_rules": op7_url_rules,
+    "op8_secrets": op8_secrets,
 }
