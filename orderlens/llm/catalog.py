@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination, language_model, near_dedup, secrets, toxicity, url_rules, warc
+from orderlens.llm import decontamination, language_model, near_dedup, personal_data, secrets, toxicity, url_rules, warc
 from orderlens.llm.storage import shared_folder
 from orderlens.llm.text import in_fold
 
@@ -81,8 +81,8 @@ def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judged(read(spark, folder, "pages", "page_id", "url"), URL_RULES)
 
 
-def is_kind(rank: int) -> Callable[[Column], Column]:
-    return lambda span: span["rank"] == rank
+def is_kind(kind: int | str) -> Callable[[Column], Column]:
+    return lambda span: span["rank" if isinstance(kind, int) else "kind"] == kind
 
 
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,6 +100,18 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    found = personal_data.found(docs, personal_data.train(docs))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [
+        F.size(F.filter("base_spans", is_kind(kind))).cast("bigint").alias(f"n_{kind}") for kind in personal_data.BASE
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -108,4 +120,5 @@ QUERIES: dict[str, Query] = {
     "op6_near_dedup": op6_near_dedup,
     "op7_url_rules": op7_url_rules,
     "op8_secrets": op8_secrets,
+    "op9_personal_data": op9_personal_data,
 }
