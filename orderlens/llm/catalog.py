@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination, language_model, near_dedup, personal_data, secrets, toxicity, url_rules, warc
+from orderlens.llm import decontamination, language_model, near_dedup, personal_data, pieces, secrets, toxicity, url_rules, warc
 from orderlens.llm.storage import shared_folder
 from orderlens.llm.text import in_fold
 
@@ -64,6 +64,18 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def piece_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, ids of the pieces, their number, and whether they decode to the text."""
+    vocabulary = pieces.read_vocabulary()
+    rows = pieces.decoded(pieces.encoded(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", same.alias("round_trip"))
+
+
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_rows(read(spark, folder, "documents", "doc_id", "text"))
+
+
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, folder, "documents", "doc_id", "text"))
 
@@ -117,6 +129,7 @@ QUERIES: dict[str, Query] = {
     "op2_warc": op2_warc,
     "op3_language_model": op3_language_model,
     "op4_toxicity": op4_toxicity,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_near_dedup": op6_near_dedup,
     "op7_url_rules": op7_url_rules,
     "op8_secrets": op8_secrets,

@@ -312,7 +312,7 @@ def decontaminated(
                 new = {i: clean(texts[i], found[i]) for i in hit}
                 keep = [i not in new or new[i] is not None for i in range(len(texts))]
                 columns = batch.columns
-                columns[place] = pa.array([new.get(i, t) for i, t in enumerate(texts)], pa.string())
+                columns[place] = pa.array([new.get(i, t) for i, t in enumerate(texts)], batch.schema.field(place).type)
                 if sized is not None:
                     old = batch.column(sized)
                     sizes = [len(new[i]) if new.get(i) is not None else x for i, x in enumerate(old.to_pylist())]

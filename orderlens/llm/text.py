@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,6 +39,14 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """A column name like this one that the frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def in_fold(key: Column, modulus: int, fold: int) -> Column:
     """Whether crc32 of the key as text leaves this remainder; a null key leaves none."""
     return F.coalesce(F.crc32(key.cast("string")) % modulus == fold, F.lit(False))

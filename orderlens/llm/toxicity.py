@@ -170,8 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column) -> ToxicModel
     return ToxicModel({word: float(w[i]) for word, i in vocabulary.items()}, float(w[-1]))
 
 
-def scored(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """All columns, and the score; the model holds ``WORDS`` words at most."""
+def scored(docs: DataFrame, model: ToxicModel, name: str = "toxic_score") -> DataFrame:
+    """All columns, and the score under this name; the model holds ``WORDS`` words at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,5 +183,5 @@ def scored(docs: DataFrame, model: ToxicModel) -> DataFrame:
     renamed = docs.select(F.col("text"), *(F.col(c).alias(n) for c, n in place.items()))
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in place.items())
     return renamed.mapInArrow(run, f"{kinds}, score double").select(
-        *(F.col(n).alias(c) for c, n in place.items()), F.col("score").alias("toxic_score")
+        *(F.col(n).alias(c) for c, n in place.items()), F.col("score").alias(name)
     )
