@@ -1,18 +1,77 @@
-"""Stages that turn the documents table into a training corpus."""
+"""Stages that turn the documents table into a training corpus.
+
+Every stage takes what the one before it kept, and all but the last return the columns of
+documents. Rejected: toxic documents, all but one document of each near-duplicate group, and
+documents that are mostly benchmark text; benchmark passages and secrets inside other
+documents are cut out or masked. The last stage returns the pieces of each text.
+
+Nulls and edges: a null or empty text passes every stage unchanged and has no pieces. Rows that
+repeat under one doc_id are copies: one stays. Rows without doc_id are kept. Columns beside
+those of documents are carried along, whatever their names. No rows give no rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from orderlens.llm import catalog, decontamination, near_dedup, secrets, toxicity
 from orderlens.llm.storage import stored
+from orderlens.llm.text import unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+#: Score from which a document is rejected as toxic.
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below ``TOXIC``."""
+    score = unused(docs, "score")
+    scored = toxicity.scored(docs, catalog.toxic_model(spark, docs, sf_dir), score)
+    return scored.where(F.col(score) < TOXIC).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, and one row of each doc_id."""
+    found = near_dedup.near_duplicates(docs).where("doc_id IS NOT NULL")
+    ids = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    special = ids.where("NOT kept OR n > 1").select("doc_id", "kept")
+    kept, place = unused(docs, "kept"), unused(docs, "place")
+    special = stored(special, "doubtful-ids").withColumnRenamed("kept", kept)
+    marked = docs.join(special, "doc_id", "left")
+    single = marked.where(F.col(kept).isNull()).select(*docs.columns)
+    order = Window.partitionBy("doc_id").orderBy(F.col("text"))
+    repeated = marked.where(F.col(kept)).withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return single.unionByName(repeated.select(*docs.columns))
+
+
+def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of benchmark items."""
+    return decontamination.decontaminated(docs, catalog.read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets masked."""
+    return secrets.redacted(docs, secrets.log_ratios(docs))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, pieces and whether they decode to the text."""
+    return catalog.piece_rows(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", cut_benchmarks),
+    ("secret_scan", mask_secrets),
+    ("sentencepiece", encode_pieces),
+]
 
-#: Training a classifier and the tokenizer's merges are beyond SQL.
+#: A trained classifier and BPE are beyond SQL; the tests hold run() against its stages done plainly.
 ORACLE_SQL: str | None = None
 
 
