@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination, language_model, near_dedup, personal_data, pieces, secrets, toxicity, url_rules, warc
+from orderlens.llm import decontamination, language_model, near_dedup, personal_data, pieces, search, secrets, toxicity, url_rules, warc
 from orderlens.llm.storage import shared_folder
 from orderlens.llm.text import in_fold
 
@@ -124,6 +124,10 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.top_k(read(spark, folder, "documents", "doc_id", "text"), F.col("doc_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -134,4 +138,5 @@ QUERIES: dict[str, Query] = {
     "op7_url_rules": op7_url_rules,
     "op8_secrets": op8_secrets,
     "op9_personal_data": op9_personal_data,
+    "op10_search": op10_search,
 }
