@@ -33,7 +33,7 @@ from orderlens.llm.text import text_bytes, text_slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of distinct units in one suffix array, and of texts handled at once.
-BLOCK_BYTES, SLICE_BYTES = 1 << 20, 4 << 20
+BLOCK_BYTES, SLICE_BYTES = 1 << 18, 1 << 20
 
 _UNITS = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
 _NONE, _BEGIN, _BYTES = -3, -2, -1  # nothing reached; start of a unit; a character without a piece
