@@ -19,7 +19,6 @@ from orderlens.functions.stats import (
     wape,
     weighted_quantile_loss,
 )
-from orderlens.operators.lookups import top_products
 from orderlens.schema import FORECAST_ROW, PREDICTION_LENGTH
 
 # Forecast quantiles by column.
@@ -30,14 +29,12 @@ QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
 
 
 def baseline_forecast(
-    lookup: DataFrame, as_of: Column, divisor: int = 10, days: int = 7, k: int = 10
+    lookup: DataFrame, as_of: Column, divisor: int = 10, days: int = 7
 ) -> DataFrame:
-    """A flat forecast of the coming days for the k most ordered products of each pair."""
+    """A flat forecast of the coming days for every product of each pair."""
     base = F.greatest(F.lit(1), F.floor(F.col("OrderCount") / divisor)).cast("double")
     return (
-        top_products(lookup, k)
-        .drop("rank")
-        .withColumns(
+        lookup.withColumns(
             {
                 "p10": F.greatest(F.lit(0.0), base * 0.5),
                 "p50": base,
@@ -50,9 +47,9 @@ def baseline_forecast(
     )
 
 
-def fallback_forecast(lookup: DataFrame, as_of: Column, days: int = 7, k: int = 10) -> DataFrame:
+def fallback_forecast(lookup: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """The variant used when scoring a product fails: the whole order count, flagged."""
-    return baseline_forecast(lookup, as_of, divisor=1, days=days, k=k)
+    return baseline_forecast(lookup, as_of, divisor=1, days=days)
 
 
 # --- the built-in model: quantiles per weekday ----------------------------------------

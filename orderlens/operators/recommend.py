@@ -209,15 +209,14 @@ def _priority(level: Column) -> Column:
     )
 
 
-def procurement_report(items: DataFrame, ties: list[str], k: int | None = 10) -> DataFrame:
-    """Recommendations by priority if they have one, else by confidence; best k."""
+def procurement_report(items: DataFrame, ties: list[str]) -> DataFrame:
+    """All recommendations, by priority if they have one, else by confidence."""
     if "priority_level" in items.columns:
         items = items.withColumn("priority_value", _priority(F.col("priority_level")))
         lead = F.desc("priority_value")
     else:
         lead = F.desc("confidence")
-    ordered = items.orderBy(lead, *ties)
-    return ordered if k is None else ordered.limit(k)
+    return items.orderBy(lead, *ties)
 
 
 def top_quantities(items: DataFrame, ties: list[str], k: int = 10) -> DataFrame:

@@ -62,6 +62,8 @@ TOP = f"""ranked AS (
         ORDER BY "OrderCount" DESC, "ProductID") AS rnk FROM lookup),
     top AS (SELECT * FROM ranked WHERE rnk <= 10)"""
 
+ALL_PRODUCTS = "top AS (SELECT * FROM lookup)"
+
 NEXT = "next_day AS (SELECT CAST(max(o_orderdate) AS DATE) + 1 AS as_of FROM orders)"
 
 SPLIT = """split AS (
@@ -134,7 +136,7 @@ RECOMMENDED = f"""per_product AS (
 LONG_CHAIN = ", ".join([lines(), DAILY, PRODUCTS, LONG])
 LOOKUP_CHAIN = ", ".join([lines(), PRODUCTS, LOOKUP])
 SCORED_CHAIN = ", ".join([LONG_CHAIN, SPLIT, SCORED])
-PAIR_CHAIN = ", ".join([lines(), DAILY, PRODUCTS, LONG, LOOKUP, TOP, NEXT, PAIR_FORECAST])
+PAIR_CHAIN = ", ".join([lines(), DAILY, PRODUCTS, LONG, LOOKUP, ALL_PRODUCTS, NEXT, PAIR_FORECAST])
 RECOMMENDED_CHAIN = ", ".join([PAIR_CHAIN, RECOMMENDED])
 
 KEPT = """kept AS (SELECT DISTINCT item_id, customer_id, facility_id, category_name, product_id FROM split),
@@ -605,8 +607,8 @@ def oracle() -> dict[str, str]:
       items AS (SELECT DISTINCT "CustomerID" || '_' || "FacilityID" || '_' || "ProductID" AS item_id FROM lines),
       days AS (SELECT item_id, as_of + CAST(i AS INTEGER) AS ds FROM items, next_day, generate_series(0, 13) g(i))
       SELECT item_id, ds, round((isodow(ds) - 1) / 6.0, 6) AS weekday_share, round((month(ds) - 1) / 11.0, 6) AS month_share FROM days"""
-    q["baseline_forecast"] = f"WITH {LOOKUP_CHAIN}, {TOP}, {NEXT} " + BASELINE.format(base='"OrderCount" // 10', extra="")
-    q["baseline_forecast_fallback"] = f"WITH {LOOKUP_CHAIN}, {TOP}, {NEXT} " + BASELINE.format(
+    q["baseline_forecast"] = f"WITH {LOOKUP_CHAIN}, {ALL_PRODUCTS}, {NEXT} " + BASELINE.format(base='"OrderCount" // 10', extra="")
+    q["baseline_forecast_fallback"] = f"WITH {LOOKUP_CHAIN}, {ALL_PRODUCTS}, {NEXT} " + BASELINE.format(
         base='"OrderCount"', extra=", CAST(1 AS INTEGER) AS mock_data")
     future = f"""{LONG_CHAIN}, {NEXT}, {profile('long')},
       days AS (SELECT DISTINCT item_id, as_of + CAST(i AS INTEGER) AS ds, CAST(i AS INTEGER) AS i FROM long, next_day, generate_series(0, 13) g(i)),
@@ -667,7 +669,7 @@ def oracle() -> dict[str, str]:
     level = "CASE trend WHEN 'increasing' THEN 3 WHEN 'stable' THEN 2 ELSE 1 END"
     q["procurement_report"] = f"""WITH {RECOMMENDED_CHAIN}
       SELECT * EXCLUDE (reasoning, combined_score), CASE trend WHEN 'increasing' THEN 'High' WHEN 'stable' THEN 'Medium' ELSE 'Low' END AS priority_level,
-        {level} AS priority_value FROM recommended ORDER BY {level} DESC, product_id, "CustomerID", "FacilityID" LIMIT 10"""
+        {level} AS priority_value FROM recommended"""
     q["procurement_top_quantities"] = f"""WITH {RECOMMENDED_CHAIN}
       SELECT "CustomerID", "FacilityID", product_id, recommended_quantity, confidence FROM recommended
       ORDER BY recommended_quantity DESC, product_id, "CustomerID", "FacilityID" LIMIT 10"""

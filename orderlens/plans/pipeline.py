@@ -75,22 +75,16 @@ def forecast_pairs(
     activity: DataFrame,
     products: DataFrame,
     as_of: Column,
-    k: int = 10,
     relations: DataFrame | None = None,
 ) -> DataFrame:
-    """Forecasts of the top products of every customer and facility, all in one job.
+    """Forecasts of all products of every customer and facility, in one job.
 
-    ``activity`` is the daily activity table, ``products`` the product lookup. The
-    ranking cuts every pair to k series before anything is forecast or joined.
-    With a stored customer-product lookup as ``relations`` it works on that narrow
-    table, and only the chosen series are gathered from the activity; without one,
-    order counts and histories come from a single pass over the activity.
+    ``activity`` is the daily activity table, ``products`` the product lookup. With a
+    stored customer-product lookup as ``relations`` only its series are forecast.
     """
-    if relations is None:
-        chosen = lookups.top_products(demand.series_histories(activity), k).drop("rank")
-    else:
-        wanted = lookups.top_products(relations.select(*SERIES, "OrderCount"), k).select(*SERIES)
-        chosen = demand.series_histories(activity.join(wanted, SERIES, "left_semi"))
+    if relations is not None:
+        activity = activity.join(relations.select(*SERIES), SERIES, "left_semi")
+    chosen = demand.series_histories(activity)
     profiled = forecast.profile_histories(chosen, SERIES)
     return forecast.forecast_days(profiled.join(products, "ProductID", "left"), as_of)
 
