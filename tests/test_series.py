@@ -175,7 +175,7 @@ def test_baseline_forecast(spark):
     lookup = _lookup(spark, {"a": 3, "b": 25, **{f"x{i}": 1 for i in range(12)}})
     as_of = F.lit(dt.date(2024, 3, 1))
     rows = forecast.baseline_forecast(lookup, as_of).collect()
-    assert len(rows) == 70 and {r["ProductID"] for r in rows if r["OrderCount"] > 1} == {"a", "b"}
+    assert len(rows) == 14 * 7 and {r["ProductID"] for r in rows if r["OrderCount"] > 1} == {"a", "b"}
     b = next(r for r in rows if r["ProductID"] == "b")
     assert (b["p10"], b["p50"], b["p90"], b["mean"], b["mock_data"]) == (1.0, 2.0, 4.0, 2.0, False)
     fallback = next(r for r in forecast.fallback_forecast(lookup, as_of).collect() if r["ProductID"] == "b")
@@ -218,7 +218,7 @@ def test_report_order(spark):
     frame = spark.createDataFrame(rows, "product_id string, priority_level string, confidence int, recommended_quantity int")
     ids = lambda df: [r["product_id"] for r in df.collect()]
     assert ids(recommend.procurement_report(frame, ["product_id"])) == ["b", "d", "a", "c"]
-    assert ids(recommend.procurement_report(frame.drop("priority_level"), ["product_id"], 2)) == ["c", "a"]
+    assert ids(recommend.procurement_report(frame.drop("priority_level"), ["product_id"])) == ["c", "a", "d", "b"]
     assert ids(recommend.top_quantities(frame, ["product_id"], 2)) == ["c", "b"]
 
 
