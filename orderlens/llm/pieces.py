@@ -1,7 +1,7 @@
 """SentencePiece (BPE) encoding and decoding by suffix-array matching.
 
-The distinct space-separated units of a batch are joined into one text per block and indexed
-by a suffix array. Every piece of the vocabulary is looked up by binary search, which gives
+The distinct space-separated units of a batch that its task has not encoded yet are joined into
+one text per block and indexed by a suffix array. Every piece of the vocabulary is looked up by binary search, which gives
 all its occurrences; these are the edges of a lattice over byte positions. Edges are sorted by
 position and relaxed from left to right, for all units at once.
 
@@ -21,7 +21,9 @@ one. Repeated rows are encoded each. Other columns are passed on.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ from orderlens.llm.text import text_bytes, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Bytes of distinct units in one suffix array, and of texts handled at once.
-BLOCK_BYTES, SLICE_BYTES = 1 << 18, 1 << 20
+#: Bytes of distinct units in one suffix array, of texts handled at once, and of encoded units kept for later texts.
+BLOCK_BYTES, SLICE_BYTES, KEPT_BYTES = 1 << 18, 1 << 20, 1 << 21
 
 _UNITS = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
 _NONE, _BEGIN, _BYTES = -3, -2, -1  # nothing reached; start of a unit; a character without a piece
@@ -277,30 +279,55 @@ def encode_units(v: dict, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out_id[order].astype(np.int32), np.bincount(out_unit, minlength=len(units))
 
 
+class Encoder:
+    """Encodes batch after batch; units of earlier batches are kept, up to ``KEPT_BYTES`` of them."""
+
+    def __init__(self, vocabulary: dict):
+        self.vocabulary = vocabulary
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.size = 0
+        self.ids, self.counts = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+
+    def _index(self, units: list[bytes]) -> None:
+        """Encode new units block by block, each block through its own suffix array."""
+        ids, counts, start, size = [self.ids], [self.counts], 0, 0
+        for i, unit in enumerate(units):
+            size += len(unit)
+            if size >= BLOCK_BYTES or i == len(units) - 1:
+                part = encode_units(self.vocabulary, units[start : i + 1])
+                ids.append(part[0])
+                counts.append(part[1])
+                self.size, start, size = self.size + size, i + 1, 0
+        self.ids, self.counts = np.concatenate(ids), np.concatenate(counts)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        if self.size > KEPT_BYTES:
+            self._forget()
+        number, old = self.number, len(self.number)
+        used, per_text = [], []
+        for text in texts:
+            units = _UNITS.findall(b" " + text.replace(SPACE, " ").encode()) if text else []
+            per_text.append(len(units))
+            used.append(np.fromiter(map(number.__getitem__, units), dtype=np.int64, count=len(units)))
+        if len(number) > old:
+            self._index(list(islice(number, old, None)))
+        if not sum(per_text):
+            return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
+        used = np.concatenate(used)
+        first, n = (np.cumsum(self.counts) - self.counts)[used], self.counts[used]
+        total = np.concatenate([[0], np.cumsum(n)])
+        taken = self.ids[np.arange(total[-1]) + np.repeat(first - total[:-1], n)]
+        edges = np.concatenate([[0], np.cumsum(per_text)])
+        return taken, np.diff(total[edges])
+
+
 def encode_texts(v: dict, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and how many each has."""
-    number: dict[bytes, int] = {}
-    used, per_text = [], []
-    for text in texts:
-        units = _UNITS.findall(b" " + text.replace(SPACE, " ").encode()) if text else []
-        per_text.append(len(units))
-        used.append(np.fromiter((number.setdefault(u, len(number)) for u in units), dtype=np.int64, count=len(units)))
-    units, ids, counts, start, size = list(number), [], [], 0, 0
-    for i, unit in enumerate(units):
-        size += len(unit)
-        if size >= BLOCK_BYTES or i == len(units) - 1:
-            part = encode_units(v, units[start : i + 1])
-            ids.append(part[0])
-            counts.append(part[1])
-            start, size = i + 1, 0
-    if not units:
-        return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
-    ids, counts, used = np.concatenate(ids), np.concatenate(counts), np.concatenate(used)
-    first, n = (np.cumsum(counts) - counts)[used], counts[used]
-    total = np.concatenate([[0], np.cumsum(n)])
-    taken = ids[np.arange(total[-1]) + np.repeat(first - total[:-1], n)]
-    edges = np.concatenate([[0], np.cumsum(per_text)])
-    return taken, np.diff(total[edges])
+    return Encoder(v).encode(texts)
 
 
 def decode_ids(v: dict, ids: np.ndarray, counts: np.ndarray) -> list[str]:
@@ -316,13 +343,14 @@ def decode_ids(v: dict, ids: np.ndarray, counts: np.ndarray) -> list[str]:
     return out
 
 
-def _with_column(docs: DataFrame, source: str, name: str, kind: str, make) -> DataFrame:
-    """All columns and one made of ``source``, batch by batch."""
+def _with_column(docs: DataFrame, source: str, name: str, kind: str, begin, make) -> DataFrame:
+    """All columns and one made of ``source``, batch by batch, with the state that a task begins with."""
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = begin()
         for batch in batches:
-            for part, column in make(batch):
+            for part, column in make(state, batch):
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], column], names=[*inner, "made"])
 
     inner = [f"c{i}" for i in range(len(columns))]
@@ -336,26 +364,26 @@ def encoded(docs: DataFrame, vocabulary: dict, text: str = "text", name: str = "
     """All columns, and the ids of the text's pieces."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def make(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    def make(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         _, offsets = text_bytes(batch.column(0))
         for a, b in text_slices(offsets, SLICE_BYTES):
             part = batch.slice(a, b - a)
-            ids, counts = encode_texts(shared.value, part.column(0).to_pylist())
+            ids, counts = encoder.encode(part.column(0).to_pylist())
             yield part, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
 
-    return _with_column(docs, text, name, "array<int>", make)
+    return _with_column(docs, text, name, "array<int>", lambda: Encoder(shared.value), make)
 
 
 def decoded(docs: DataFrame, vocabulary: dict, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """All columns, and the text of the ids; null ids are no text."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def make(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    def make(vocabulary: dict, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         for a in range(0, batch.num_rows, 512):
             part = batch.slice(a, 512)
             column = part.column(0).fill_null([]) if part.column(0).null_count else part.column(0)
             values = column.flatten().to_numpy()
             counts = np.diff(column.offsets.to_numpy())
-            yield part, pa.array(decode_ids(shared.value, values, counts), pa.string())
+            yield part, pa.array(decode_ids(vocabulary, values, counts), pa.string())
 
-    return _with_column(docs, ids, name, "string", make)
+    return _with_column(docs, ids, name, "string", lambda: shared.value, make)
