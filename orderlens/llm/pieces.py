@@ -376,7 +376,8 @@ def encoded(docs: DataFrame, vocabulary: dict, text: str = "text", name: str = "
 
 def decoded(docs: DataFrame, vocabulary: dict, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """All columns, and the text of the ids; null ids are no text."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    # of the tables, those that decoding reads
+    shared = docs.sparkSession.sparkContext.broadcast({k: vocabulary[k] for k in ("piece_bytes", "piece_sizes")})
 
     def make(vocabulary: dict, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         for a in range(0, batch.num_rows, 512):
