@@ -19,7 +19,7 @@ from orderlens.functions.stats import (
     sample_skewness,
     total,
 )
-from orderlens.operators.quantiles import SINGLE_TASK_VALUES, find_quantiles
+from orderlens.operators.quantiles import find_quantiles
 from orderlens.schema import ORDER_LINE
 
 # Columns whose nulls are checked, and those the score counts.
@@ -263,11 +263,7 @@ def verdict(checks: DataFrame) -> DataFrame:
 # --- profiles -------------------------------------------------------------------------
 
 
-def numeric_profile(
-    df: DataFrame,
-    columns: list[str] | None = None,
-    single_task_values: int = SINGLE_TASK_VALUES,
-) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Distribution of each numeric column, one row per column.
 
     Moments of all columns come from a single pass that shuffles one row per task;
@@ -275,7 +271,7 @@ def numeric_profile(
     outliers from one more pass against the two bounds per column.
     """
     names = columns or numeric_columns(df)
-    found = find_quantiles(df, names, [0.25, 0.5, 0.75], single_task_values)
+    found = find_quantiles(df, names, [0.25, 0.5, 0.75])
     records = []
     for name in names:
         value = F.col(f"`{name}`").cast("double")
@@ -302,13 +298,9 @@ def numeric_profile(
     return wide.select(F.inline(F.array(*[F.col(f"`{name}`") for name in names]))).where("n > 0")
 
 
-def iqr_outliers(
-    df: DataFrame,
-    columns: list[str] | None = None,
-    single_task_values: int = SINGLE_TASK_VALUES,
-) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Bounds and number of values outside 1.5 interquartile ranges, per column."""
-    profile = numeric_profile(df, columns, single_task_values)
+    profile = numeric_profile(df, columns)
     low, high = iqr_bounds(F.col("q25"), F.col("q75"))
     return profile.select(
         "column_name", low.alias("lower_bound"), high.alias("upper_bound"), "outliers"

@@ -8,10 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Below this many values the built-in exact percentile, which keeps a count per
-# distinct value in one task, is the cheaper way.
-SINGLE_TASK_VALUES = 50_000
 BUCKETS = 4096
+# Room for one place per sign and power of two of a double, zero and the infinities.
+POWERS = 8192
 
 
 def _value(column: str):
@@ -20,60 +19,48 @@ def _value(column: str):
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    single_task_values: int = SINGLE_TASK_VALUES,
-    buckets: int = BUCKETS,
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], buckets: int = BUCKETS
 ) -> DataFrame:
     """Linearly interpolated quantiles as rows (column, probability, value)."""
-    found = find_quantiles(df, columns, probabilities, single_task_values, buckets)
+    found = find_quantiles(df, columns, probabilities, buckets)
     rows = [(c, p, value) for (c, p), value in found.items()]
     return df.sparkSession.createDataFrame(rows, "column string, probability double, value double")
 
 
 def find_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    single_task_values: int = SINGLE_TASK_VALUES,
-    buckets: int = BUCKETS,
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], buckets: int = BUCKETS
 ) -> dict[tuple[str, float], float | None]:
-    """Linearly interpolated quantile of each (column, probability).
-
-    Runs jobs when called. Large columns are narrowed down rank by rank: count the
-    values of the interval known to hold the rank in equal buckets, move to the
-    bucket the rank falls into, and repeat until that interval is one value. A
-    pass ships at most ``buckets`` counts per rank and task whatever the skew, and
-    two or three passes settle ordinary prices and quantities. ``df`` is read once
-    per pass: store it first if it is costly to make.
+    """Linearly interpolated quantile of each (column, probability); None without values.
+
+    Runs jobs when called. Ranks are narrowed down: the first pass counts the values
+    by sign and power of two, every later one counts the values of the interval known
+    to hold a rank in equal buckets and moves to the rank's bucket, until that is one
+    value. A pass ships at most ``buckets`` counts per rank and task whatever the
+    skew. Within a power of two there are 2^52 values at most, so six passes settle
+    any column, infinities and the smallest numbers included. ``df`` is read once per
+    pass: store it first if it is costly to make.
     """
     frame = df.select(*[_value(c).alias(c) for c in columns])
     sizes = frame.agg(
         *[F.struct(F.count(f"`{c}`"), F.min(f"`{c}`"), F.max(f"`{c}`")).alias(c) for c in columns]
     ).first()
-    facts = {c: tuple(sizes[c]) for c in columns}
-
-    small = [c for c in columns if 0 < facts[c][0] <= single_task_values]
-    large = [c for c in columns if facts[c][0] > single_task_values]
-    found: dict[tuple[str, float], float | None] = {
-        (c, float(p)): None for c in columns for p in probabilities
-    }
-    if small:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        values = frame.agg(*[F.percentile(f"`{c}`", wanted).alias(c) for c in small]).first()
-        found |= {(c, float(p)): v for c in small for p, v in zip(probabilities, values[c])}
-    if large:
-        ranks = {
-            (c, rank) for c in large for p in probabilities for rank in _ranks(facts[c][0], p)
-        }
-        placed = _values_at_ranks(frame, ranks, facts, buckets)
-        for c in large:
-            for p in probabilities:
+    facts = {c: tuple(sizes[c]) for c in columns if sizes[c][0]}
+    ranks = {(c, rank) for c in facts for p in probabilities for rank in _ranks(facts[c][0], p)}
+    placed = _values_at_ranks(frame, ranks, facts, buckets)
+    found: dict[tuple[str, float], float | None] = {}
+    for c in columns:
+        for p in probabilities:
+            found[c, float(p)] = None
+            if c in facts:
                 low, high = _ranks(facts[c][0], p)
-                share = p * (facts[c][0] - 1) - low
                 a, b = placed[c, low], placed[c, high]
-                found[c, float(p)] = a + (b - a) * share
+                share = p * (facts[c][0] - 1) - low
+                if a == b or share == 0:
+                    found[c, float(p)] = a
+                elif math.isinf(a) or math.isinf(b):  # a difference would not be a number
+                    found[c, float(p)] = a * (1 - share) + b * share
+                else:
+                    found[c, float(p)] = a + (b - a) * share
     return found
 
 
@@ -82,11 +69,29 @@ def _ranks(n: int, p: float) -> tuple[int, int]:
     return math.floor(place), math.ceil(place)
 
 
+def _power(value: Column) -> Column:
+    """Place of a value by sign and power of two; never falls as the value rises."""
+    size = F.abs(value)
+    step = (
+        F.when(size == 0, F.lit(0))
+        .when(size == float("inf"), F.lit(2300))
+        .otherwise(F.floor(F.log2(size)) + 1100)
+    )
+    return F.when(value < 0, -step).otherwise(step) + POWERS // 2
+
+
+def _bucket(value: Column, low: float, high: float, buckets: int) -> Column:
+    """Place of a value among equal buckets; the ends fall into different ones."""
+    share = (value - low) / (F.lit(high) - low)
+    return F.least(F.floor(share * buckets), F.lit(buckets - 1))
+
+
 def _values_at_ranks(frame: DataFrame, ranks, facts, buckets: int) -> dict[tuple[str, int], float]:
     """Value at each (column, zero-based rank). The driver sees one row per rank and pass."""
     # what is known of a rank: interval, and how many values lie below it
     open_ranks = {key: (facts[key[0]][1], facts[key[0]][2], 0) for key in ranks}
     done: dict[tuple[str, int], float] = {}
+    passes = 0
     while True:
         for key, (low, high, _) in list(open_ranks.items()):
             if low == high:
@@ -96,15 +101,15 @@ def _values_at_ranks(frame: DataFrame, ranks, facts, buckets: int) -> dict[tuple
             return done
         intervals = sorted({(c, low, high) for (c, _), (low, high, _) in open_ranks.items()})
         number = {interval: i for i, interval in enumerate(intervals)}
+        width = buckets if passes else POWERS
         # the intervals of a column are disjoint, so a value falls into one at most
         places: dict[str, Column] = {}
         for (c, low, high), i in number.items():
             value = F.col(f"`{c}`")
-            # halved, so that the width of the widest interval is still finite
-            share = (value / 2 - low / 2) / (high / 2 - low / 2)
-            bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1))
-            branch = (value.between(low, high), bucket + i * buckets)
+            bucket = _bucket(value, low, high, buckets) if passes else _power(value)
+            branch = (value.between(low, high), bucket + i * width)
             places[c] = places[c].when(*branch) if c in places else F.when(*branch)
+        passes += 1
         hits = [F.struct(place.alias("place"), F.col(f"`{c}`").alias("value")) for c, place in places.items()]
         counts = (
             frame.select(F.inline(F.array(*hits)))
@@ -117,8 +122,8 @@ def _values_at_ranks(frame: DataFrame, ranks, facts, buckets: int) -> dict[tuple
             )
             .withColumns(
                 {
-                    "interval": F.floor(F.col("place") / buckets).cast("int"),
-                    "bucket": F.col("place") % buckets,
+                    "interval": F.floor(F.col("place") / width).cast("int"),
+                    "bucket": F.col("place") % width,
                 }
             )
         )
@@ -130,22 +135,17 @@ def _values_at_ranks(frame: DataFrame, ranks, facts, buckets: int) -> dict[tuple
             ),
             F.lit(0),
         )
-        wanted = F.array(
-            *[
-                F.struct(
-                    F.lit(number[c, low, high]).alias("of"),
-                    F.lit(c).alias("column"),
-                    F.lit(rank).alias("rank"),
-                    F.lit(under).alias("under"),
-                )
-                for (c, rank), (low, high, under) in open_ranks.items()
-            ]
+        rows = [
+            (number[c, low, high], c, rank, under) for (c, rank), (low, high, under) in open_ranks.items()
+        ]
+        wanted = frame.sparkSession.createDataFrame(
+            rows, "interval int, column string, rank bigint, under bigint"
         )
         first = F.col("under") + F.col("below")
         chosen = (
             counts.withColumn("below", below)
-            .select("*", F.inline(wanted))
-            .where((F.col("of") == F.col("interval")) & F.col("rank").between(first, first + F.col("n") - 1))
+            .join(wanted, "interval")
+            .where(F.col("rank").between(first, first + F.col("n") - 1))
             .select("column", "rank", "low", "high", first.alias("under"))
             .collect()
         )

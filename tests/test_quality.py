@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlens.operators import quality
-from orderlens.operators.quantiles import exact_quantiles
+from orderlens.operators.quantiles import exact_quantiles, find_quantiles
 from orderlens.sources.conform import conform
 from orderlens.sources.files import empty_order_lines
 
@@ -126,7 +126,7 @@ def test_constant_column_has_no_skewness(spark):
 
 @pytest.mark.parametrize("shape", ["uniform", "hot", "heavy", "wide", "few"])
 def test_quantiles_by_narrowing(spark, shape):
-    """The narrowing path against numpy, with few buckets so that it takes several passes."""
+    """Against numpy, with few buckets so that it takes several passes."""
     rng = np.random.default_rng(5)
     x = {
         "uniform": rng.uniform(-5, 5, 5000),
@@ -137,12 +137,41 @@ def test_quantiles_by_narrowing(spark, shape):
     }[shape]
     frame = spark.createDataFrame([(float(v), float(-v)) for v in x], "x double, y double")
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    found = exact_quantiles(frame, ["x", "y"], probabilities, single_task_values=0, buckets=64)
+    found = exact_quantiles(frame, ["x", "y"], probabilities, buckets=64)
     for row in found.collect():
         data = x if row["column"] == "x" else -x
         assert row["value"] == pytest.approx(np.quantile(data, row["probability"]), rel=1e-12)
 
 
+@pytest.mark.parametrize("shape", ["infinite", "tiny", "magnitudes", "zeros"])
+def test_quantiles_of_odd_values_end_in_six_passes(spark, monkeypatch, shape):
+    rng = np.random.default_rng(6)
+    x = {
+        "infinite": np.array([np.inf, np.inf, -np.inf, *rng.normal(0, 1, 198)]),
+        "tiny": np.array([0.0, 5e-324, 1e-323, -5e-324, 1e-310]),
+        "magnitudes": np.array([s * 10.0**e for e in range(-300, 299) for s in (1, -1)] + [0.0]),
+        "zeros": np.array([0.0, -0.0, 0.0]),
+    }[shape]
+    passes = []
+    counted = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: passes.append(1) or counted(self))
+    frame = spark.createDataFrame([(float(v),) for v in [*x, float("nan")]] + [(None,)], "x double")
+    probabilities = [0.0, 0.25, 0.5, 0.75, 1.0]
+    found = find_quantiles(frame, ["x"], probabilities)
+    assert len(passes) <= 6 + 1  # and the facts
+    ordered = sorted(x.tolist())
+    for p in probabilities:
+        place = p * (len(ordered) - 1)
+        a, b = ordered[int(place)], ordered[-int(-place // 1)] if place % 1 else ordered[int(place)]
+        expected = a if a == b else a * (1 - place % 1) + b * (place % 1)
+        assert found["x", p] == pytest.approx(expected, rel=1e-12, abs=0)
+
+
+def test_quantiles_without_values(spark):
+    frame = spark.createDataFrame([(None,), (float("nan"),)], "x double")
+    assert find_quantiles(frame, ["x"], [0.5]) == {("x", 0.5): None}
+
+
 def test_categorical_ties_and_nulls(spark):
     frame = spark.createDataFrame([(v,) for v in ["b", "a", "a", "b", "c", None]], "x string")
     row = quality.categorical_profile(frame).first()
