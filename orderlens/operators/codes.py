@@ -20,56 +20,42 @@ FEATURE_COLUMNS = {
 }
 CODE_TABLE = "feature string, value string, code int"
 
-# Up to this many distinct values they are ranked in one window per feature.
-SINGLE_TASK_VALUES = 200_000
-
 
 def _distinct_values(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """Distinct (feature, value) with a sort key that keeps numbers in number order."""
+    """Distinct (feature, value) with sort keys that keep numbers in number order, exactly."""
     entries = []
     for feature, column in columns.items():
-        numeric = isinstance(df.schema[column].dataType, T.NumericType)
-        number = F.col(column).cast("double") if numeric else F.lit(None).cast("double")
+        kind, value = df.schema[column].dataType, F.col(column)
+        whole = isinstance(kind, T.IntegralType)
+        number = isinstance(kind, T.NumericType) and not whole
         entries.append(
             F.struct(
                 F.lit(feature).alias("feature"),
-                number.alias("number"),
-                F.col(column).cast("string").alias("value"),
+                (value if whole else F.lit(None)).cast("bigint").alias("whole"),
+                (value if number else F.lit(None)).cast("double").alias("number"),
+                value.cast("string").alias("value"),
             )
         )
     return df.select(F.inline(F.array(*entries))).where("value is not null").distinct()
 
 
-def category_codes(
-    df: DataFrame,
-    columns: Mapping[str, str] = FEATURE_COLUMNS,
-    single_task_values: int = SINGLE_TASK_VALUES,
-) -> DataFrame:
+def category_codes(df: DataFrame, columns: Mapping[str, str] = FEATURE_COLUMNS) -> DataFrame:
     """Codes 0..n-1 in value order for each feature, as (feature, value, code).
 
-    The distinct values are checkpointed when this is called: they are counted,
-    numbered and then joined once per feature, and ``df`` is read for that only
-    once. Up to the bound a window numbers them and the result is marked for
-    broadcast. Past it they are range-partitioned and numbered by partition offset
-    plus position, and joins are left to Spark.
+    The distinct values are range-partitioned and numbered by partition offset plus
+    position, whatever their number; the sorted values are checkpointed when this is
+    called. Joins with the codes are left to Spark.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    values = _distinct_values(df, columns).checkpoint()
-    few = values.count() <= single_task_values
-    if few:
-        order = Window.partitionBy("feature").orderBy("number", "value")
-        coded = values.withColumn("code", F.row_number().over(order) - 1)
-    else:
-        coded = _codes_by_offset(values)
-    table = coded.select("feature", "value", F.col("code").cast("int").alias("code"))
-    return F.broadcast(table) if few else table
+    coded = _codes_by_offset(_distinct_values(df, columns))
+    return coded.select("feature", "value", F.col("code").cast("int").alias("code"))
 
 
 def _codes_by_offset(values: DataFrame) -> DataFrame:
     # checkpointed, as counting and numbering must see the same partitions even after an
     # executor is lost; a monotonic id is the partition number in the high bits, the position in the low 33
     placed = (
-        values.orderBy("feature", "number", "value")
+        values.orderBy("feature", "whole", "number", "value")
         .withColumn("id", F.monotonically_increasing_id())
         .withColumns(
             {

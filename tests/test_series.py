@@ -79,16 +79,17 @@ def test_json_lines_round_trip(spark, instances, long, tmp_path):
     assert row["dynamic_feat"][1][28] == pytest.approx((first.month - 1) / 11)
 
 
-def test_codes_by_offset_equal_codes_by_window(spark):
+def test_codes_follow_value_order(spark):
     frame = spark.range(1000).select(
         F.concat(F.lit("c"), F.col("id") % 37).alias("customer_id"),
         (F.col("id") % 101).alias("facility_id"),
-        F.col("id").cast("string").alias("category_name"),
+        (F.col("id") + 2**53).alias("category_name"),
     )
-    few = sorted(map(tuple, codes.category_codes(frame).collect()))
-    many = sorted(map(tuple, codes.category_codes(frame, single_task_values=5).collect()))
-    assert few == many and len(few) == 37 + 101 + 1000
-    assert ("facility", "100", 100) in few  # numbers keep their order
+    found = sorted(map(tuple, codes.category_codes(frame).collect()))
+    expected = [("customer", v, i) for i, v in enumerate(sorted({f"c{i % 37}" for i in range(1000)}))]
+    expected += [("facility", str(i), i) for i in range(101)]  # numbers keep their order, large ones too
+    expected += [("category", str(i + 2**53), i) for i in range(1000)]
+    assert found == sorted(expected)
 
 
 def test_codes_stored_and_defaults(spark, instances, tmp_path):
