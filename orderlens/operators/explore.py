@@ -33,24 +33,6 @@ def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def limit_series(daily: DataFrame, series: list[str], n: int | None) -> DataFrame:
-    """Keep the rows of the first n series by key; all of them when n is None."""
-    if n is None:
-        return daily
-    return daily.join(daily.select(*series).distinct().orderBy(*series).limit(n), series, "left_semi")
-
-
-def sample_per_group(df: DataFrame, keys: list[str], n: int, identity: list[str], seed: int = 42) -> DataFrame:
-    """At most n rows of each group, chosen by a hash of the identity columns.
-
-    The same rows come out on every run. The rank filter is applied before the
-    shuffle too, so a hot group sends at most n rows per task.
-    """
-    lot = F.xxhash64(F.lit(seed), *identity)
-    order = Window.partitionBy(*keys).orderBy(lot, *identity)
-    return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank")
-
-
 def dataset_overview(lines: DataFrame, ts: str = "CreateDate") -> DataFrame:
     """Row count, date range, null counts and distinct ids of a table, in one row."""
     ids = ["CustomerID", "FacilityID", "ProductID", "OrderID", "VendorID"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.parsing import clean_id
-from orderlens.operators.demand import product_table
+from orderlens.operators.demand import daily_activity, product_table
 from orderlens.schema import CUSTOMER_PRODUCT_COLUMNS, PAIR, SERIES
 from orderlens.sources.conform import with_default_names
 
@@ -30,17 +30,10 @@ def merge_product_lookups(*tables: DataFrame) -> DataFrame:
 
 
 def relationships(lines: DataFrame, ts: str = "CreateDate") -> DataFrame:
-    """Order-line count and first and last order of each series."""
-    counted = F.count("OrderUnits") if "OrderUnits" in lines.columns else F.count(ts)
-    return (
-        lines.na.drop(subset=SERIES)
-        .groupBy(*SERIES)
-        .agg(
-            counted.alias("OrderCount"),
-            F.min(ts).alias("FirstOrderDate"),
-            F.max(ts).alias("LastOrderDate"),
-        )
-    )
+    """Order-line count and first and last order of each series; lines without a date do not count."""
+    if "OrderUnits" not in lines.columns:
+        lines = lines.withColumn("OrderUnits", F.lit(1.0))
+    return relationships_of(daily_activity(lines, ts))
 
 
 def relationships_of(activity: DataFrame) -> DataFrame:

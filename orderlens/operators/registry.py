@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +23,23 @@ def retention(
 ) -> DataFrame:
     """Mark the newest ``keep`` runs of each kind ``keep``, all others ``delete``.
 
-    The survivors are found with a rank filter that works before the shuffle. The
-    rest is marked by joining them back on the run itself, so that a kind with
-    very many runs is never sorted in one place.
+    Equal rows are one run and share their mark; runs without a creation time are the
+    oldest. The survivors are found with a rank filter that works before the shuffle.
+    The rest is marked by joining them back on the run itself, nulls included, so that
+    a kind with very many runs is never sorted in one place.
     """
     newest = Window.partitionBy(kind).orderBy(F.desc(created), name)
     key = [kind, name, created]
     kept = (
         runs.select(*key)
+        .distinct()
         .withColumn("_rank", F.row_number().over(newest))
         .where(F.col("_rank") <= keep)
-        .drop("_rank")
-        .withColumn("action", F.lit("keep"))
+        .select(*[F.col(c).alias(f"_kept_{c}") for c in key], F.lit("keep").alias("_action"))
     )
-    return runs.join(kept, key, "left").withColumn("action", F.coalesce("action", F.lit("delete")))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_kept_{c}")) for c in key])
+    action = F.coalesce("_action", F.lit("delete")).alias("action")
+    return runs.join(kept, same, "left").select(*runs.columns, action)
 
 
 def run_metrics(metrics: DataFrame, run: str = "name", end: str = "end_time") -> DataFrame:

@@ -4,7 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.operators import demand, explore, lookups
+from orderlens.operators import demand, explore, lookups, registry
 from orderlens.schema import CUSTOMER_PRODUCT_COLUMNS, PATTERN_COLUMNS, SERIES
 from orderlens.sources.conform import conform
 from orderlens.sources.warehouse import order_lines
@@ -147,15 +147,24 @@ def test_lookup_items_are_unique(spark, example, tmp_path):
     assert lookups.items_of_pair(back, "C1#F1").count() == 2
 
 
-def test_sampling_is_repeatable(spark):
-    frame = spark.range(100).withColumn("g", F.col("id") % 2)
-    once = sorted(map(tuple, explore.sample_per_group(frame, ["g"], 10, ["id"]).collect()))
-    again = sorted(map(tuple, explore.sample_per_group(frame.repartition(7), ["g"], 10, ["id"]).collect()))
-    assert once == again and len(once) == 20
-
-
-def test_series_limit_is_off_by_default(example):
+def test_first_rows(example):
     daily = demand.daily_demand(example)
-    assert explore.limit_series(daily, SERIES, None).count() == 5
-    assert explore.limit_series(daily, SERIES, 1).count() == 2
     assert explore.first_rows(daily, [*SERIES, "Date"], 3).count() == 3
+
+
+def test_relationships_count_dated_lines_only(spark):
+    columns = "CreateDate timestamp, CustomerID string, FacilityID string, ProductID string, OrderUnits double"
+    lines = spark.createDataFrame([(dt.datetime(2024, 1, 1, 9), "c", "f", "p", 2.0), (None, "c", "f", "p", 1.0)], columns)
+    direct = lookups.relationships(lines).collect()
+    assert direct == lookups.relationships_of(demand.daily_activity(lines)).collect()
+    assert direct[0]["OrderCount"] == 1
+    known = spark.createDataFrame([("q", "n", "g", "v")], "ProductID string, ProductName string, CategoryName string, vendorName string")
+    assert lookups.customer_product_lookup(lookups.relationships(lines), known, "inner").count() == 0
+
+
+def test_retention_of_equal_runs_and_missing_times(spark):
+    day = lambda d: dt.datetime(2024, 1, d)
+    runs = [("m", "a", day(3)), ("m", "a", day(3)), ("m", "b", day(2)), ("m", "c", day(1)), ("e", "x", None), (None, "y", day(1))]
+    found = registry.retention(spark.createDataFrame(runs, "kind string, name string, created timestamp"))
+    assert found.columns == ["kind", "name", "created", "action"] and found.count() == 6
+    assert {r["name"] for r in found.where("action = 'keep'").collect()} == {"a", "b", "x", "y"}
