@@ -1,4 +1,7 @@
-"""Daily demand kept up to date without going back to earlier files."""
+"""Daily demand kept up to date without going back to earlier files.
+
+Every batch adds its own sums, so files may arrive in any order: no watermark, no row lost.
+"""
 
 from __future__ import annotations
 
@@ -9,39 +12,53 @@ from pyspark.sql.streaming import StreamingQuery
 from orderlens.schema import SERIES
 from orderlens.streaming.ingest import run_name
 
-DAILY = "CustomerID string, FacilityID string, ProductID string, Date date, Quantity double, batch string"
+DAILY = (
+    "CustomerID string, FacilityID string, ProductID string, Date date, Quantity double, "
+    "line string, batch string"
+)
 
 
 def daily_demand_stream(
-    lines: DataFrame,
-    late: str = "2 days",
-    identity: list[str] | None = None,
-    ts: str = "CreateDate",
+    lines: DataFrame, identity: list[str] | None = None, ts: str = "CreateDate"
 ) -> DataFrame:
-    """Quantity per series and day of a stream of order lines.
+    """Quantity, series and day of each order line of a stream.
 
-    State is one sum per series and day, dropped once the watermark has passed the
-    day. With ``identity`` a line that is delivered again within the watermark
-    counts once. Rows later than the watermark are not counted.
+    With ``identity`` a line keeps the text of these columns, by which it counts once
+    however often it is delivered. Lines without a series key or a date are left out.
     """
-    known = lines.withWatermark(ts, late).na.drop(subset=SERIES)
-    if identity:
-        known = known.dropDuplicatesWithinWatermark(identity)
-    grouped = known.groupBy(F.window(ts, "1 day").alias("day"), *SERIES).agg(
-        F.coalesce(F.sum("OrderUnits"), F.lit(0.0)).alias("Quantity")
+    line = F.to_json(F.struct(*identity), {"ignoreNullFields": "false"}) if identity else F.lit(None)
+    return lines.na.drop(subset=[*SERIES, ts]).select(
+        *SERIES,
+        F.to_date(ts).alias("Date"),
+        F.coalesce(F.col("OrderUnits"), F.lit(0.0)).alias("Quantity"),
+        line.cast("string").alias("line"),
     )
-    return grouped.select(*SERIES, F.to_date("day.start").alias("Date"), "Quantity")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*SERIES, "Date").agg(F.sum("Quantity").alias("Quantity"))
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One row per line, the first delivered; ties go to the least row."""
+    lead = [c for c in ["batch"] if c in rows.columns]
+    row = F.min(F.struct(*lead, *SERIES, "Date", "Quantity")).alias("row")
+    return rows.groupBy("line").agg(row).select(*[f"row.{c}" for c in [*SERIES, "Date", "Quantity"]], "line")
 
 
 def store_daily_demand(daily: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the days each batch changed, under the batch's number."""
+    """Write what each batch adds under the batch's number; a repeated batch replaces itself.
+
+    Lines with an identity are kept one by one, all others as sums by series and day.
+    """
 
-    def work(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={run_name(batch)}")
+    def work(rows: DataFrame, batch: int) -> None:
+        sums = _summed(rows.where("line IS NULL")).withColumn("line", F.lit(None).cast("string"))
+        added = sums.unionByName(_once(rows.where("line IS NOT NULL")))
+        added.write.mode("overwrite").parquet(f"{path}/batch={run_name(batch)}")
 
     return (
-        daily.writeStream.outputMode("update")
-        .foreachBatch(work)
+        daily.writeStream.foreachBatch(work)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -49,6 +66,7 @@ def store_daily_demand(daily: DataFrame, path: str, checkpoint: str) -> Streamin
 
 
 def current_daily_demand(spark: SparkSession, path: str, schema: str = DAILY) -> DataFrame:
-    """Newest quantity of every series and day written so far."""
-    changes = spark.read.schema(schema).parquet(path)
-    return changes.groupBy(*SERIES, "Date").agg(F.max_by("Quantity", "batch").alias("Quantity"))
+    """Quantity of every series and day from all batches written so far."""
+    rows = spark.read.schema(schema).parquet(path)
+    lines = _once(rows.where("line IS NOT NULL"))
+    return _summed(rows.where("line IS NULL").select(*lines.columns).unionByName(lines))
