@@ -15,24 +15,26 @@ def _two_digit_year(text: Column, layout: str) -> Column:
     """Two-digit years from 69 on belong to the last century."""
     parsed = _attempt(text, layout)
     late = F.pmod(F.year(parsed), F.lit(100)) >= 69
-    return F.when(late, F.add_months(parsed, -1200).cast("timestamp")).otherwise(parsed)
+    return F.when(late, parsed - F.make_ym_interval(F.lit(100))).otherwise(parsed)
 
 
 def parse_order_date(raw: Column) -> Column:
     """Timestamp of a date text in any accepted layout, NULL for anything else.
 
     The shape of the text picks the layout, so a value is parsed once or, where
-    month and day could be swapped, twice. Month first wins.
+    month and day could be swapped, twice. Month first wins. A time of day may follow;
+    one with a zone is converted to the session's.
     """
-    text = F.trim(raw)
+    text, clock = F.trim(raw), "[ H:mm[:ss]]"
+    behind = r"( \d{1,2}:\d{2}(:\d{2})?)?$"
     return (
-        F.when(text.rlike(r"^\d{4}-"), F.coalesce(
-            _attempt(text, "yyyy-M-d[ HH:mm[:ss]]"), _attempt(text, "yyyy-M-d'T'HH:mm:ss")))
-        .when(text.rlike(r"^\d{4}/"), _attempt(text, "yyyy/M/d"))
-        .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.coalesce(
-            _attempt(text, "M/d/yyyy"), _attempt(text, "d/M/yyyy")))
-        .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.coalesce(
-            _two_digit_year(text, "M/d/yy"), _two_digit_year(text, "d/M/yy")))
+        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"), text.try_cast("timestamp"))
+        .when(text.rlike(r"^\d{4}/"), _attempt(text, f"yyyy/M/d{clock}"))
+        .when(text.rlike(r"^\d{8}$"), _attempt(text, "yyyyMMdd"))
+        .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}" + behind), F.coalesce(
+            _attempt(text, f"M/d/yyyy{clock}"), _attempt(text, f"d/M/yyyy{clock}")))
+        .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}" + behind), F.coalesce(
+            _two_digit_year(text, f"M/d/yy{clock}"), _two_digit_year(text, f"d/M/yy{clock}")))
     )
 
 

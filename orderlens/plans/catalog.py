@@ -157,10 +157,11 @@ def holiday_flags(spark, folder):
 @query
 def parse_dates(spark, folder):
     ts, key = F.col("o_orderdate"), F.col("o_orderkey")
-    layouts = ["yyyy-MM-dd", "MM/dd/yyyy", "M/d/yy", "yyyy/MM/dd"]
-    raw = F.when(key % 5 == 4, F.lit("invalid-date"))
+    layouts = ["yyyy-MM-dd", "MM/dd/yyyy", "M/d/yy", "yyyy/MM/dd", "MM/dd/yyyy HH:mm", "yyyy/MM/dd HH:mm"]
+    layouts += ["yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss.'000'", "yyyy-MM-dd'T'HH:mm"]
+    raw = F.when(key % 10 == 9, F.lit("invalid-date"))
     for i, layout in enumerate(layouts):
-        raw = raw.when(key % 5 == i, F.date_format(ts, layout))
+        raw = raw.when(key % 10 == i, F.date_format(ts, layout))
     orders = table(spark, folder, "orders").select("o_orderkey", raw.alias("raw"))
     return orders.withColumn("parsed", F.to_date(parsing.parse_order_date(F.col("raw"))))
 
@@ -322,7 +323,7 @@ def customer_product_lookup(spark, folder):
 @query
 def customer_product_inner(spark, folder):
     lines = order_lines(spark, folder, "fine", DAY_COLUMNS)
-    known = table(spark, folder, "part").where("p_size <= 25").select(
+    known = table(spark, folder, "part").select(
         F.col("p_partkey").alias("ProductID"),
         F.col("p_name").alias("ProductName"),
         F.col("p_brand").alias("CategoryName"),
@@ -666,7 +667,7 @@ def quantiles_to_rows(spark, folder):
     history = demand.product_forecast_long(_daily(spark, folder))
     as_of = _next_day(spark, folder)
     arrays = forecast.quantile_arrays(forecast.seasonal_forecast(history, as_of), ["item_id"])
-    return forecast.quantiles_to_rows(arrays, as_of, 10)
+    return forecast.quantiles_to_rows(arrays, as_of)
 
 
 @query

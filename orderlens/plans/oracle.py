@@ -390,10 +390,13 @@ def oracle() -> dict[str, str]:
     q["holiday_flags"] = f"""WITH {_dated('orders', 'o_orderdate', 'o_orderkey')}
       SELECT o_orderkey, CAST(ts AS DATE) AS "Date", holiday AS "HolidayName",
         CAST(CASE WHEN holiday <> '' THEN 1 ELSE 0 END AS INTEGER) AS "IsHoliday" FROM named"""
-    q["parse_dates"] = """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d')
+    q["parse_dates"] = """SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d')
         WHEN 1 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 2 THEN strftime(o_orderdate, '%-m/%-d/%y')
-        WHEN 3 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE 'invalid-date' END AS raw,
-        CASE WHEN o_orderkey % 5 < 4 THEN CAST(o_orderdate AS DATE) END AS parsed FROM orders"""
+        WHEN 3 THEN strftime(o_orderdate, '%Y/%m/%d')
+        WHEN 4 THEN strftime(o_orderdate, '%m/%d/%Y %H:%M') WHEN 5 THEN strftime(o_orderdate, '%Y/%m/%d %H:%M')
+        WHEN 6 THEN strftime(o_orderdate, '%Y%m%d') WHEN 7 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000')
+        WHEN 8 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M') ELSE 'invalid-date' END AS raw,
+        CASE WHEN o_orderkey % 10 < 9 THEN CAST(o_orderdate AS DATE) END AS parsed FROM orders"""
     q["default_columns"] = """SELECT 'PROD' || p_partkey AS "ProductID",
         CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'Product PROD' || p_partkey END AS "ProductName",
         CASE WHEN p_size % 3 = 0 THEN p_brand ELSE 'General' END AS "CategoryName",
@@ -458,7 +461,7 @@ def oracle() -> dict[str, str]:
       FROM (SELECT * FROM b UNION ALL SELECT * FROM t) GROUP BY 1, 2, 3"""
     q["customer_product_lookup"] = f"WITH {LOOKUP_CHAIN} {LOOKUP_SELECT} lookup"
     q["customer_product_inner"] = f"""WITH {lines('fine')}, {PRODUCTS}, {LOOKUP},
-      known AS (SELECT r.*, p_name, p_brand FROM relations r JOIN part ON p_partkey = "ProductID" AND p_size <= 25)
+      known AS (SELECT r.*, p_name, p_brand FROM relations r JOIN part ON p_partkey = "ProductID")
       SELECT "ProductID", p_name AS "ProductName", p_brand AS "CategoryName", 'Vendor' || "ProductID" AS "vendorName",
         "CustomerID", "FacilityID", "OrderCount", CAST("FirstOrderDate" AS DATE) AS "FirstOrderDate",
         CAST("LastOrderDate" AS DATE) AS "LastOrderDate" FROM known"""
@@ -615,7 +618,7 @@ def oracle() -> dict[str, str]:
       forecast AS ({predicted('days', 'ds')})"""
     forecast_columns = 'item_id, ds, round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90, round(p50, 6) AS "mean"'
     q["seasonal_quantile_forecast"] = f"WITH {future} SELECT {forecast_columns} FROM forecast"
-    q["quantiles_to_rows"] = f"WITH {future} SELECT {forecast_columns} FROM forecast WHERE i < 10"
+    q["quantiles_to_rows"] = f"WITH {future} SELECT {forecast_columns} FROM forecast"
     stats = f"""{SERIES}, round(avg(p10), 6) AS p10_avg, round(avg(p50), 6) AS p50_avg, round(avg(p90), 6) AS p90_avg,
         CASE WHEN arg_max(p50, ds) > arg_min(p50, ds) THEN 'increasing' ELSE 'decreasing' END AS trend,
         round(stddev_pop(p50), 6) AS volatility,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +42,25 @@ CUSTOMER_PRODUCT_TABLE = T.StructType(
 
 
 def read_raw_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Order CSV as text columns named by its header; nothing is inferred."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """Order CSV as text columns named by its header; nothing is inferred.
+
+    Files whose header differs from the first one's are refused when they are read.
+    """
+    reader = spark.read.option("header", True).option("inferSchema", False)
+    return reader.option("enforceSchema", False).csv(path)
 
 
 def read_orders_csv(spark: SparkSession, path: str | list[str], fill_absent: bool = True) -> DataFrame:
-    return conform(read_raw_csv(spark, path), fill_absent)
+    """Order lines of CSV files, read by name.
+
+    The paths of a list may have different headers; those with the same one are scanned
+    together. The files of one path share their header.
+    """
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for one in [path] if isinstance(path, str) else path:
+        by_header.setdefault(tuple(read_raw_csv(spark, one).columns), []).append(one)
+    frames = [conform(read_raw_csv(spark, paths), fill_absent) for paths in by_header.values()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def header_schema(header: list[str]) -> T.StructType:

@@ -21,10 +21,14 @@ from orderlens.sources.files import header_schema
 def raw_order_files(
     spark: SparkSession, folder: str, header: list[str], files_per_batch: int | None = None
 ) -> DataFrame:
-    """Stream of the CSV files that appear in a folder, conformed."""
+    """Stream of the CSV files that appear in a folder, conformed.
+
+    A file with another header than this one stops the stream instead of being misread.
+    """
     reader = (
         spark.readStream.schema(header_schema(header))
         .option("header", True)
+        .option("enforceSchema", False)
         .option("pathGlobFilter", "*.csv")
     )
     if files_per_batch:

@@ -69,6 +69,18 @@ def test_date_layouts(spark):
         " 7/9/24 ": dt.date(2024, 7, 9),
         "2024/07/09": dt.date(2024, 7, 9),
         "25/12/2024": dt.date(2024, 12, 25),
+        "07/08/2024 10:30": dt.date(2024, 7, 8),
+        "7/8/2024 10:30:00": dt.date(2024, 7, 8),
+        "25/12/2024 9:05": dt.date(2024, 12, 25),
+        "1/2/99 23:59": dt.date(1999, 1, 2),
+        "2024/07/08 10:30": dt.date(2024, 7, 8),
+        "20240708": dt.date(2024, 7, 8),
+        "20241345": None,
+        "2024-07-08T10:30": dt.date(2024, 7, 8),
+        "2024-07-08T10:30:00.123": dt.date(2024, 7, 8),
+        "2024-07-08T10:30:00.5Z": dt.date(2024, 7, 8),
+        "2024-07-08 10:30:00 soon": None,
+        "2024-07": None,
         "25/12/24": dt.date(2024, 12, 25),
         "1/2/68": dt.date(2068, 1, 2),
         "1/2/69": dt.date(1969, 1, 2),

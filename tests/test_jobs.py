@@ -167,13 +167,25 @@ def test_daily_demand_stream_equals_batch(spark, tmp_path, identity):
         (str(i), dt.datetime(2024, 1, 1 + i // 10, i % 24), f"c{i % 2}", "f", f"p{i % 3}", float(i)) for i in range(60)
     ]
     source, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
-    for i, part in enumerate([lines[:25], lines[25:40], lines[40:]]):
+    for i, part in enumerate([lines[40:], lines[:25], lines[25:40]]):  # files go back in time
         again = part[:5] if identity else []  # delivered twice
         spark.createDataFrame(part + again, columns).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(columns).parquet(source)
-        daily = demand_stream.daily_demand_stream(stream, "10 days", identity)
+        daily = demand_stream.daily_demand_stream(stream, identity)
         demand_stream.store_daily_demand(daily, out, mark).awaitTermination()
     batch = demand.daily_demand(spark.createDataFrame(lines, columns))
     names = [*SERIES, "Date", "Quantity"]
     found = demand_stream.current_daily_demand(spark, out)
     assert sorted(map(tuple, found.select(*names).collect())) == sorted(map(tuple, batch.select(*names).collect()))
+
+
+def test_files_with_different_headers(spark, tmp_path):
+    swap = [0, 1, 3, 2, *range(4, len(HEADER))]  # customer and facility
+    rows = _raw(3)
+    _write_csv(tmp_path / "a.csv", rows)
+    _write_csv(tmp_path / "b.csv", [[r[i] for i in swap] for r in rows], [HEADER[i] for i in swap])
+    one = files.read_orders_csv(spark, str(tmp_path / "a.csv"))
+    both = files.read_orders_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert sorted(map(str, both.collect())) == sorted(map(str, one.collect() * 2))
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_orders_csv(spark, str(tmp_path / "*.csv")).collect()
