@@ -66,8 +66,7 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def piece_rows(docs: DataFrame) -> DataFrame:
     """doc_id, ids of the pieces, their number, and whether they decode to the text."""
-    vocabulary = pieces.read_vocabulary()
-    rows = pieces.decoded(pieces.encoded(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    rows = pieces.round_trip(docs.select("doc_id", "text"), pieces.read_vocabulary())
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", same.alias("round_trip"))
 

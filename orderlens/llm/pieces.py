@@ -343,21 +343,33 @@ def decode_ids(v: dict, ids: np.ndarray, counts: np.ndarray) -> list[str]:
     return out
 
 
-def _with_column(docs: DataFrame, source: str, name: str, kind: str, begin, make) -> DataFrame:
-    """All columns and one made of ``source``, batch by batch, with the state that a task begins with."""
+def _with_columns(docs: DataFrame, source: str, made: dict[str, str], begin, make) -> DataFrame:
+    """All columns and those made of ``source`` (name to type), batch by batch, with the state that a task begins with."""
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = begin()
         for batch in batches:
-            for part, column in make(state, batch):
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], column], names=[*inner, "made"])
+            for part, *new in make(state, batch):
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *new], names=[*inner, *outer])
 
-    inner = [f"c{i}" for i in range(len(columns))]
+    inner, outer = [f"c{i}" for i in range(len(columns))], [f"made{i}" for i in range(len(made))]
     renamed = docs.select(F.col(source).alias("source"), *(F.col(c).alias(i) for c, i in zip(columns, inner, strict=True)))
     kinds = [f"{i} {docs.schema[c].dataType.simpleString()}" for c, i in zip(columns, inner, strict=True)]
-    made = renamed.mapInArrow(run, ", ".join([*kinds, f"made {kind}"]))
-    return made.select(*(F.col(i).alias(c) for c, i in zip(columns, inner, strict=True)), F.col("made").alias(name))
+    kinds += [f"{i} {kind}" for i, kind in zip(outer, made.values(), strict=True)]
+    names = zip([*inner, *outer], [*columns, *made], strict=True)
+    return renamed.mapInArrow(run, ", ".join(kinds)).select(*(F.col(i).alias(c) for i, c in names))
+
+
+def _id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
+
+
+def _encoded_slices(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    _, offsets = text_bytes(batch.column(0))
+    for a, b in text_slices(offsets, SLICE_BYTES):
+        part = batch.slice(a, b - a)
+        yield part, *encoder.encode(part.column(0).to_pylist())
 
 
 def encoded(docs: DataFrame, vocabulary: dict, text: str = "text", name: str = "ids") -> DataFrame:
@@ -365,13 +377,10 @@ def encoded(docs: DataFrame, vocabulary: dict, text: str = "text", name: str = "
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-        _, offsets = text_bytes(batch.column(0))
-        for a, b in text_slices(offsets, SLICE_BYTES):
-            part = batch.slice(a, b - a)
-            ids, counts = encoder.encode(part.column(0).to_pylist())
-            yield part, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
+        for part, ids, counts in _encoded_slices(encoder, batch):
+            yield part, _id_lists(ids, counts)
 
-    return _with_column(docs, text, name, "array<int>", lambda: Encoder(shared.value), make)
+    return _with_columns(docs, text, {name: "array<int>"}, lambda: Encoder(shared.value), make)
 
 
 def decoded(docs: DataFrame, vocabulary: dict, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -379,12 +388,23 @@ def decoded(docs: DataFrame, vocabulary: dict, ids: str = "ids", name: str = "de
     # of the tables, those that decoding reads
     shared = docs.sparkSession.sparkContext.broadcast({k: vocabulary[k] for k in ("piece_bytes", "piece_sizes")})
 
-    def make(vocabulary: dict, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    def make(tables: dict, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         for a in range(0, batch.num_rows, 512):
             part = batch.slice(a, 512)
             column = part.column(0).fill_null([]) if part.column(0).null_count else part.column(0)
             values = column.flatten().to_numpy()
             counts = np.diff(column.offsets.to_numpy())
-            yield part, pa.array(decode_ids(vocabulary, values, counts), pa.string())
+            yield part, pa.array(decode_ids(tables, values, counts), pa.string())
+
+    return _with_columns(docs, ids, {name: "string"}, lambda: shared.value, make)
+
+
+def round_trip(docs: DataFrame, vocabulary: dict, text: str = "text", names: tuple[str, str] = ("ids", "decoded")) -> DataFrame:
+    """All columns, the ids of the text's pieces and the text of these ids: encoded() and decoded() in one task."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def make(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array, pa.Array]]:
+        for part, ids, counts in _encoded_slices(encoder, batch):
+            yield part, _id_lists(ids, counts), pa.array(decode_ids(shared.value, ids, counts), pa.string())
 
-    return _with_column(docs, ids, name, "string", lambda: shared.value, make)
+    return _with_columns(docs, text, dict(zip(names, ("array<int>", "string"), strict=True)), lambda: Encoder(shared.value), make)

@@ -134,6 +134,22 @@ def test_pieces_equal_the_library(spark, docs, rows):
         assert ids[a:b].tolist() == model.encode(text or "")
     got = catalog.piece_rows(docs).collect()
     assert len(got) == len(rows) and all(r.round_trip and r.n_pieces == len(r.ids) for r in got)
+    apart = pieces.decoded(pieces.encoded(docs, vocabulary), vocabulary)
+    at_once = pieces.round_trip(docs, vocabulary)
+    assert apart.columns == at_once.columns and sorted(map(repr, apart.collect())) == sorted(map(repr, at_once.collect()))
+
+
+def test_pieces_kept_between_batches(rows, monkeypatch):
+    """Kept units, and forgetting them, change no result."""
+    vocabulary = pieces.read_vocabulary()
+    texts = [t for _, t in rows]
+    whole = pieces.encode_texts(vocabulary, texts)
+    for kept in (1 << 21, 0):
+        monkeypatch.setattr(pieces, "KEPT_BYTES", kept)
+        encoder = pieces.Encoder(vocabulary)
+        parts = [encoder.encode(texts[i : i + 7]) for i in range(0, len(texts), 7)]
+        for i in range(2):
+            assert np.array_equal(np.concatenate([p[i] for p in parts]), whole[i])
 
 
 def test_near_duplicates(spark, docs, rows):
