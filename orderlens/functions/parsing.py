@@ -43,6 +43,17 @@ def clean_id(raw: Column) -> Column:
     return F.trim(raw.cast("string"))
 
 
+def joined_key(separator: str, *parts: Column) -> Column:
+    """Parts as one text that no other parts give: a separator within a part is escaped by a backslash."""
+    mark = "\\"
+    return F.concat_ws(separator, *[
+        F.replace(
+            F.replace(part.cast("string"), F.lit(mark), F.lit(mark * 2)), F.lit(separator), F.lit(mark + separator)
+        )
+        for part in parts
+    ])
+
+
 def json_object(text: Column, schema: T.StructType | str) -> Column:
     """Fields of a text that is exactly one JSON object; NULL for any other text.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderlens.functions.parsing import joined_key
 from orderlens.functions.stats import coefficient_of_variation, ratio
 from orderlens.schema import PAIR, PATTERN_COLUMNS, PRODUCT_TEXT, SERIES
 
@@ -224,7 +225,8 @@ def merge_patterns_by_mean(patterns: DataFrame) -> DataFrame:
 
 
 def item_id(*parts: str | Column) -> Column:
-    return F.concat_ws("_", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
+    """Label of a series; different series never share one, so it can be grouped and joined by."""
+    return joined_key("_", *[F.col(p) if isinstance(p, str) else p for p in parts])
 
 
 def densify(daily: DataFrame) -> DataFrame:
@@ -302,7 +304,7 @@ def customer_forecast_long(totals: DataFrame) -> DataFrame:
         [*PAIR, "Date"], [metric for metric, _ in metrics], "metric_type", "target_value"
     )
     return long.select(
-        item_id(*PAIR, F.col("metric_type")).alias("item_id"),
+        F.concat_ws("_", item_id(*PAIR), "metric_type").alias("item_id"),
         F.col("Date").alias("timestamp"),
         "target_value",
         F.col("CustomerID").alias("customer_id"),

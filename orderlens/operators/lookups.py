@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.functions.parsing import clean_id
+from orderlens.functions.parsing import clean_id, joined_key
 from orderlens.operators.demand import daily_activity, product_table
 from orderlens.schema import CUSTOMER_PRODUCT_COLUMNS, PAIR, SERIES
 from orderlens.sources.conform import with_default_names
@@ -73,7 +73,8 @@ def top_products(lookup: DataFrame, k: int = 10) -> DataFrame:
 def lookup_items(products: DataFrame, relations: DataFrame) -> DataFrame:
     """Both tables as keyed records in one layout, unique by key.
 
-    Duplicates of a key are resolved by value, not by arrival.
+    Duplicates of a key are resolved by value, not by arrival. A ``#`` within an id is escaped
+    in the composed keys.
     """
     iso = "yyyy-MM-dd'T'HH:mm:ss"
     text = [
@@ -81,14 +82,14 @@ def lookup_items(products: DataFrame, relations: DataFrame) -> DataFrame:
         F.col("CategoryName").alias("category_name"),
         F.col("vendorName").alias("vendor_name"),
     ]
-    pair = F.concat_ws("#", *[F.col(name).cast("string") for name in PAIR])
+    pair = joined_key("#", *[F.col(name) for name in PAIR])
     of_product = products.select(
         F.col("ProductID").cast("string").alias("product_id"),
         F.lit("PRODUCT").alias("record_type"),
         *text,
     )
     of_pair = relations.select(
-        F.concat_ws("#", F.col("ProductID").cast("string"), pair).alias("product_id"),
+        F.concat_ws("#", joined_key("#", F.col("ProductID")), pair).alias("product_id"),
         F.lit("CUSTOMER_PRODUCT").alias("record_type"),
         *text,
         pair.alias("customer_facility"),

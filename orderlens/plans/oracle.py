@@ -236,8 +236,8 @@ ITEMS = """items AS (
         NULL AS customer_id, NULL AS facility_id, NULL AS base_product_id, NULL::BIGINT AS order_count,
         NULL AS first_order_date, NULL AS last_order_date FROM products
       UNION ALL
-      SELECT "ProductID" || '#' || "CustomerID" || '#' || "FacilityID", 'CUSTOMER_PRODUCT', "ProductName",
-        "CategoryName", "vendorName", "CustomerID" || '#' || "FacilityID", "CustomerID",
+      SELECT replace(CAST("ProductID" AS VARCHAR), '#', '\\#') || '#' || replace("CustomerID", '#', '\\#') || '#' || replace(CAST("FacilityID" AS VARCHAR), '#', '\\#'), 'CUSTOMER_PRODUCT', "ProductName",
+        "CategoryName", "vendorName", replace("CustomerID", '#', '\\#') || '#' || replace(CAST("FacilityID" AS VARCHAR), '#', '\\#'), "CustomerID",
         CAST("FacilityID" AS VARCHAR), "ProductID", "OrderCount",
         strftime("FirstOrderDate", '%Y-%m-%dT%H:%M:%S'), strftime("LastOrderDate", '%Y-%m-%dT%H:%M:%S')
       FROM lookup)"""

@@ -168,3 +168,12 @@ def test_retention_of_equal_runs_and_missing_times(spark):
     found = registry.retention(spark.createDataFrame(runs, "kind string, name string, created timestamp"))
     assert found.columns == ["kind", "name", "created", "action"] and found.count() == 6
     assert {r["name"] for r in found.where("action = 'keep'").collect()} == {"a", "b", "x", "y"}
+
+
+def test_lookup_keys_with_separators(spark):
+    text = "ProductID string, ProductName string, CategoryName string, vendorName string, CustomerID string, FacilityID string"
+    kinds = f"{text}, OrderCount bigint, FirstOrderDate timestamp, LastOrderDate timestamp"
+    rows = [(p, "n", "g", "v", c, f, 1, None, None) for p, c, f in [("a#b", "c", "d"), ("a", "b#c", "d"), ("a", "b", "c#d")]]
+    table = spark.createDataFrame(rows, kinds)
+    products = table.select("ProductID", "ProductName", "CategoryName", "vendorName").distinct()
+    assert lookups.lookup_items(products, table).where("record_type = 'CUSTOMER_PRODUCT'").count() == 3

@@ -262,3 +262,21 @@ def test_evaluation_job(spark, folder):
     lengths = explore.series_lengths(daily, ["CustomerID", "FacilityID", "ProductID"])
     assert per_series.count() == lengths.where("length >= 42").count() == 22
     assert total.first()["n"] == 22 * 14
+
+
+def test_ids_with_separators_do_not_mix_series(spark):
+    """(a_b, c, p) and (a, b_c, p), with the same days, stay two series in every step."""
+    ids = [("a_b", "c", "p", 1.0), ("a", "b_c", "p", 100.0), ("a\\", "_b_c", "p", 7.0)]
+    day = dt.date(2024, 1, 1)
+    rows = [(*i[:3], day + dt.timedelta(days=n), i[3] + n % 7) for i in ids for n in range(42)]
+    daily = spark.createDataFrame(rows, "CustomerID string, FacilityID string, ProductID string, Date date, Quantity double")
+    long = demand.product_forecast_long(daily)
+    assert long.select("item_id").distinct().count() == 3
+    split = series.holdout_split(long)
+    assert {r["count"] for r in split.where("split = 'test'").groupBy("customer_id").count().collect()} == {14}
+    accuracy = forecast.forecast_accuracy(forecast.evaluate_holdout(split)).collect()
+    assert len(accuracy) == 3 and all(r["n"] == 14 and r["rmse"] == 0 for r in accuracy)
+    assert series.series_context(long).groupBy("item_id").count().where("count = 28").count() == 3
+    assert series.product_info(long).count() == 3
+    plain = spark.range(1).select(demand.item_id(F.lit("x"), F.lit("1"), F.lit("p")).alias("i")).first()
+    assert plain["i"] == "x_1_p"
