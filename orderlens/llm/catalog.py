@@ -76,7 +76,7 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dedup.near_duplicates(read(spark, folder, "documents", "doc_id", "text"))
+    return near_dedup.near_duplicates(read(spark, folder, "documents", "doc_id", "text"), percent=85)
 
 
 URL_RULES = [

@@ -12,8 +12,8 @@
 4. The groups so found are compared on full shingle sets, block by block of a group; again
    only links that join two parts are put out. Their components are the answer.
 
-A pair at similarity 0.85 exceeds 21 differing symbols of 60 with probability 2e-5, a closer
-pair far more rarely; such a link may still be found through others.
+A pair at similarity 0.85 exceeds 21 differing symbols of 60 with probability 3.1e-5, one at 0.80
+exceeds 26 with 1.1e-5, a closer pair far more rarely; such a link may still be found through others.
 
 Nulls and edges: a null or empty text has an empty set and links with nothing; one of fewer words
 than a shingle has its whole sequence as its set. Rows under one doc_id are one document, linked
@@ -36,7 +36,7 @@ from orderlens.llm.storage import stored
 from orderlens.llm.text import mixed, space_words, text_bytes, text_slices
 
 SHINGLE = 5
-#: Links: at least this many hundredths of the union of two sets are in both.
+#: Links by default: at least this many hundredths of the union of two sets are in both.
 PERCENT = 85
 SYMBOLS, CHUNKS, RADIUS = 60, 12, 21
 #: Rows of one key, and documents or shingles of one group, that a task compares at once.
@@ -128,9 +128,9 @@ def key_plan(symbols: int = SYMBOLS, chunks: int = CHUNKS, radius: int = RADIUS)
     return plan
 
 
-def index_keys(classes: DataFrame) -> DataFrame:
+def index_keys(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(key, id) for every class and every entry of the key plan."""
-    plan = key_plan()
+    plan = key_plan(radius=radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,11 +208,11 @@ def _same_run(table: pa.Table, n_key: int) -> np.ndarray:
     return np.cumsum(change)
 
 
-def _close(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
+def _close(n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
 
 
-def near_pairs(rows: DataFrame) -> DataFrame:
+def near_pairs(rows: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """Pairs within the radius that join two groups, of rows (key, b1, b2, id, n, signature)."""
     names = ["key", "b1", "b2", "id", "n", "signature"]
 
@@ -225,10 +225,10 @@ def near_pairs(rows: DataFrame) -> DataFrame:
             for step in range(1, int(np.bincount(group).max())):
                 flat = groups.flat()
                 a = np.flatnonzero((group[:-step] == group[step:]) & (flat[:-step] != flat[step:]))
-                a = a[_close(n, a, a + step)]
+                a = a[_close(n, a, a + step, percent)]
                 for i in range(0, len(a), 1 << 16):
                     part = a[i : i + (1 << 16)]
-                    part = part[(signed[part] != signed[part + step]).sum(axis=1) <= RADIUS]
+                    part = part[(signed[part] != signed[part + step]).sum(axis=1) <= radius]
                     found += [(x, x + step) for x in part.tolist() if groups.join(x, x + step)]
             if found:
                 at = np.array(found)
@@ -239,7 +239,7 @@ def near_pairs(rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def confirmed_links(rows: DataFrame) -> DataFrame:
+def confirmed_links(rows: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """Links on full sets that join two parts, of rows (component, b1, b2, id, signature, shingles)."""
     names = ["component", "b1", "b2", "id", "signature", "shingles"]
 
@@ -254,11 +254,11 @@ def confirmed_links(rows: DataFrame) -> DataFrame:
             for step in range(1, int(np.bincount(group).max())):
                 flat = groups.flat()
                 a = np.flatnonzero((group[:-step] == group[step:]) & (flat[:-step] != flat[step:]))
-                a = a[_close(n, a, a + step)]
-                a = a[(signed[a] != signed[a + step]).sum(axis=1) <= RADIUS]
+                a = a[_close(n, a, a + step, percent)]
+                a = a[(signed[a] != signed[a + step]).sum(axis=1) <= radius]
                 for x in a.tolist():
                     both = len(np.intersect1d(sets[x], sets[x + step], assume_unique=True))
-                    if 100 * both >= PERCENT * (n[x] + n[x + step] - both) and groups.join(x, x + step):
+                    if 100 * both >= percent * (n[x] + n[x + step] - both) and groups.join(x, x + step):
                         found.append((x, x + step))
             if found:
                 at = np.array(found)
@@ -290,8 +290,13 @@ def with_sets(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept."""
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, radius: int = RADIUS
+) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept.
+
+    Sets link from ``percent`` hundredths of similarity on; a lower one needs a larger ``radius``.
+    """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sketches = stored(sketched(docs), "sketches")
     classes = (
@@ -301,12 +306,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
     classes = stored(classes, "set-classes")
     # a set of so few shingles can reach the similarity only with its equal
-    keys = stored(index_keys(classes.where(F.col("n") * 100 >= PERCENT * (F.col("n") + 1))), "index-keys")
+    keys = stored(index_keys(classes.where(F.col("n") * 100 >= percent * (F.col("n") + 1)), radius), "index-keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("least"), F.max("id").alias("most"))
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks")
     shared = stored(shared.where("least <> most").select("key", blocks), "shared-keys")
     rows = keys.join(shared, "key").join(classes.select("id", "n", "signature"), "id")
-    candidates = components(near_pairs(in_blocks(rows, "key", "blocks")))
+    candidates = components(near_pairs(in_blocks(rows, "key", "blocks"), percent, radius))
 
     candidates = stored(candidates, "candidate-groups")
     sizes = candidates.join(classes.select("id", "n"), "id").groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
@@ -314,7 +319,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sizes = stored(sizes.select("component", blocks), "candidate-sizes")
     members = stored(candidates.join(sizes, "component"), "candidate-members")
     texts = docs.withColumnRenamed("doc_id", "id").join(members, "id")
-    links = components(confirmed_links(in_blocks(stored(with_sets(texts), "candidate-sets"), "component", "blocks")))
+    sets = in_blocks(stored(with_sets(texts), "candidate-sets"), "component", "blocks")
+    links = components(confirmed_links(sets, percent, radius))
 
     named = classes.join(links, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
     named = stored(named, "class-components")

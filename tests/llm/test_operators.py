@@ -197,6 +197,31 @@ def test_key_plan_finds_all_pairs_within_the_radius():
         assert any(not errors & set(used.tolist()) for used in plan)
 
 
+def pair_of(rng, shingles, changes):
+    """Two texts whose sets have this many shingles each; each change costs both sides five of them."""
+    words = [str(rng.random()) for _ in range(shingles + 4)]
+    copy = list(words)
+    for k in range(changes):
+        copy[10 + 10 * k] = str(rng.random())
+    return " ".join(words), " ".join(copy)
+
+
+def test_stage_links_from_80_hundredths_on(spark, folder):
+    """202 shingles: four changes leave 182 of 222 (0.82), three 0.86, five 0.78."""
+    rng = random.Random(12)
+    texts = [pair_of(rng, 202, (4, 3, 5)[k % 3]) for k in range(24)]
+    docs = frame(spark, [(2 * k + i, t) for k, pair in enumerate(texts) for i, t in enumerate(pair)])
+    stage = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()}
+    query = {r.doc_id for r in near_dedup.near_duplicates(docs).where("kept").collect()}
+    assert stage == {2 * k for k in range(24)} | {2 * k + 1 for k in range(24) if k % 3 == 2}
+    assert query == {2 * k for k in range(24)} | {2 * k + 1 for k in range(24) if k % 3 != 1}
+    plan = near_dedup.key_plan(radius=corpus_pipeline.NEAR_RADIUS)
+    draws = np.random.default_rng(2)
+    for _ in range(300):
+        errors = set(draws.choice(near_dedup.SYMBOLS, corpus_pipeline.NEAR_RADIUS, replace=False).tolist())
+        assert any(not errors & set(used.tolist()) for used in plan)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91), (91, 90), (7, 7)], "a bigint, b bigint")
     got = {r.id: r.component for r in components(links).collect()}
