@@ -5,7 +5,8 @@ and report each finished file; the reports are stored as a table (the manifest),
 files named there count, so files of lost or repeated attempts are never read.
 
 A reading task owns a byte range of a file. It looks for gzip magic from the range's start,
-takes a place for a member only if it can be unpacked into a record's header, and from the
+takes a place for a member only if it can be unpacked into a record's header (in steps, a
+header may be of any length), and from the
 first such place on follows member after member. It owns the records that start inside its
 range and reads on past the end for the last one. After a damaged member the search for
 magic starts anew, one byte further. UTF-8 payloads cannot contain the magic, and a chance
@@ -36,11 +37,11 @@ from pyspark.sql import functions as F
 from orderlens.llm.storage import stored
 
 MAGIC = b"\x1f\x8b\x08"
-VERSION = b"WARC/1.1"
+VERSION, _START = b"WARC/1.1", b"WARC/1."
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A file is closed once it has this many bytes; a reading task owns this many of a file.
 FILE_BYTES, SPLIT_BYTES = 256 << 20, 32 << 20
-#: Bytes read at once, and the longest header of a record.
+#: Bytes read at once, and the bytes of a header read or unpacked in one step.
 CHUNK_BYTES, HEADER_BYTES = 1 << 20, 64 << 10
 #: Rows that leave a reading task in one batch hold about this much payload.
 BATCH_BYTES = 8 << 20
@@ -147,27 +148,46 @@ class _Source:
         return self.file.read_at(min(n, self.size - at), at) if at < self.size else b""
 
 
-def _member(source: _Source, at: int, header_only: bool = False) -> tuple[bytes, int] | None:
+def _member(source: _Source, at: int) -> tuple[bytes, int] | None:
     """The unpacked member that starts here and the place after it; None if it is no whole member."""
     unpack = zlib.decompressobj(31)
     out, place = [], at
     try:
         while not unpack.eof:
-            data = source.chunk(place, HEADER_BYTES if header_only else CHUNK_BYTES)
+            data = source.chunk(place)
             if not data:
                 return None
             place += len(data)
-            out.append(unpack.decompress(data, HEADER_BYTES if header_only else 0))
-            if header_only:
-                break
+            out.append(unpack.decompress(data))
     except zlib.error:
         return None
     return b"".join(out), place - len(unpack.unused_data)
 
 
 def _starts_record(source: _Source, at: int) -> bool:
-    found = _member(source, at, header_only=True)
-    return bool(found) and found[0].startswith(b"WARC/1.") and b"\r\n\r\n" in found[0]
+    """Whether a member here unpacks to a record's header, however long; only its last step is held."""
+    unpack = zlib.decompressobj(31)
+    data, place, head, version = b"", at, b"", False
+    try:
+        while not unpack.eof:
+            if not data:
+                data = source.chunk(place, HEADER_BYTES)
+                place += len(data)
+                if not data:
+                    return False
+            head += unpack.decompress(data, HEADER_BYTES)
+            data = unpack.unconsumed_tail
+            if not version and len(head) >= len(_START):
+                if not head.startswith(_START):
+                    return False
+                version = True
+            if version and b"\r\n\r\n" in head:
+                return True
+            if version:
+                head = head[-3:]
+    except zlib.error:
+        return False
+    return False
 
 
 def _next_record(source: _Source, at: int, end: int) -> int | None:
@@ -190,7 +210,7 @@ def records_in(path: str, start: int, end: int) -> Iterator[tuple[dict[str, str]
     while at is not None and at < end:
         found = _member(source, at)
         head, mark, rest = found[0].partition(b"\r\n\r\n") if found else (b"", b"", b"")
-        if not mark or not head.startswith(b"WARC/1."):
+        if not mark or not head.startswith(_START):
             at = _next_record(source, at + 1, end)
             continue
         lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])

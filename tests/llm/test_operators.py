@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import gzip
 import math
 import random
 import re
@@ -89,6 +90,30 @@ def test_warc_round_trip(spark, split):
     assert warc.read_archives(spark, manifest.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("split", [10_000, 1 << 20])
+def test_warc_reads_long_headers(spark, split):
+    """Urls that pack well and badly, as first record of a file (each has one) and of a range."""
+    rng = random.Random(13)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(300_000))
+    pages = [(1, "http://a/" + "x" * 100_000, "one"), (2, "http://b/" + noise, "two"), (3, "http://c/" + noise[:65_400], "three")]
+    for file_bytes in (1, 1 << 20):
+        frame = spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1)
+        manifest = warc.write_archives(warc.with_originals(frame), shared_folder(spark, "w"), file_bytes=file_bytes)
+        got = warc.read_archives(spark, manifest, split_bytes=split, with_payload=True).collect()
+        assert sorted((r.page_id, r.url, r.payload.decode()) for r in got) == pages
+
+
+def test_warc_takes_no_other_member_for_a_record(tmp_path):
+    """Members that are no record, or end within the header, are passed over."""
+    record = warc._record(7, "u", b"text", "D", None, "2024-01-01T00:00:00Z")
+    pack = lambda data: gzip.compress(data)
+    other = [pack(b""), pack(b"WARC"), pack(b"WARC/1.1\r\nA: b\r\n"), pack(b"plain\r\n\r\n" * 9000), warc.MAGIC]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(other) + record)
+    got = list(warc.records_in(str(path), 0, path.stat().st_size))
+    assert [h["warc-record-id"] for h, _ in got] == ["<urn:page:7>"]
+
+
 def test_language_model(docs, rows):
     held = catalog.in_fold(F.col("doc_id"), 7, 2)
     training = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
