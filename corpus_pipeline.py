@@ -5,16 +5,17 @@ documents. Rejected: toxic documents, all but one document of each near-duplicat
 from a similarity of 0.80 on), and documents that are mostly benchmark text; benchmark passages and secrets inside other
 documents are cut out or masked. The last stage returns the pieces of each text.
 
-Nulls and edges: a null or empty text passes every stage unchanged and has no pieces. Rows that
-repeat under one doc_id are copies: one stays. Rows without doc_id are kept. Columns beside
-those of documents are carried along, whatever their names. No rows give no rows.
+Nulls and edges: a null or empty text passes every stage unchanged and has no pieces. A row that
+repeats a doc_id goes only if its text equals or nearly equals a kept one, so an id may stay
+with several texts. Rows without doc_id are kept. Columns beside those of documents are carried
+along, whatever their names. No rows give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.llm import catalog, decontamination, near_dedup, secrets, toxicity
@@ -37,17 +38,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, and one row of each doc_id."""
-    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT, radius=NEAR_RADIUS).where("doc_id IS NOT NULL")
-    ids = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    special = ids.where("NOT kept OR n > 1").select("doc_id", "kept")
-    kept, place = unused(docs, "kept"), unused(docs, "place")
-    special = stored(special, "doubtful-ids").withColumnRenamed("kept", kept)
-    marked = docs.join(special, "doc_id", "left")
-    single = marked.where(F.col(kept).isNull()).select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy(F.col("text"))
-    repeated = marked.where(F.col(kept)).withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
-    return single.unionByName(repeated.select(*docs.columns))
+    """One row of each near-duplicate group, that of its smallest doc_id; rows are compared, not ids.
+
+    Rows without words are in no group: of those, a row goes if doc_id and text repeat.
+    """
+    row = unused(docs, "row")
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    named = docs.where("doc_id IS NOT NULL")
+    found = near_dedup.near_duplicates(named, row, percent=NEAR_PERCENT, radius=NEAR_RADIUS)
+    found = found.select(F.col("doc_id").alias("row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("near"))
+    keys = named.select(F.col(row).alias("row"), "doc_id", F.sha2("text", 256).alias("digest")).join(found, "row")
+    alone = [F.when(F.col("near").isNull(), F.col(c)).alias(f"alone_{c}") for c in ("doc_id", "digest")]
+    keys = stored(keys.select("*", *alone), "row-groups")
+    first = keys.groupBy("near", "alone_doc_id", "alone_digest").agg(F.min(F.struct("doc_id", "digest", "row")).alias("first"))
+    copies = keys.select("row").join(first.select(F.col("first.row").alias("row")), "row", "left_anti")
+    copies = stored(copies, "copies").withColumnRenamed("row", row)
+    return docs.join(copies, row, "left_anti").drop(row)
 
 
 def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -366,3 +366,79 @@ def test_pipeline(spark, folder, rows):
         docs = kept
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert last.where("round_trip").count() == docs.count()
+
+
+def shingles_of(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(zip(*(words[k:] for k in range(5)))) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
+
+
+def plainly_distinct(rows):
+    """The rows (doc_id, text) that the near-dedup stage keeps, by comparing all pairs."""
+    named = [(i, t, shingles_of(t)) for i, t in rows if i is not None]
+    root = list(range(len(named)))
+    for x, (i, t, a) in enumerate(named):
+        for y in range(x):
+            j, u, b = named[y]
+            if 100 * len(a & b) >= 80 * len(a | b) if a or b else (i, t) == (j, u):
+                root = [root[x] if r == root[y] else r for r in root]
+    groups = collections.defaultdict(list)
+    for r, (i, t, _) in zip(root, named, strict=True):
+        groups[r].append((i, t))
+    return [*([i, t] for i, t in rows if i is None), *([min(i for i, _ in g), {t for i, t in g if i == min(g, key=lambda x: x[0])[0]}] for g in groups.values())]
+
+
+def test_repeated_ids_with_different_texts(spark, folder):
+    """Rows that share a doc_id stay unless their texts are alike; a null text wins over nothing."""
+    rng = random.Random(14)
+    (a, near_a), (b, _), (c, near_c) = (pair_of(rng, 202, 3) for _ in range(3))
+    rows = [(1, a), (2, near_a), (2, b), (3, None), (3, c), (3, c), (3, None), (4, None), (5, ""), (5, " "), (5, ""), (6, near_c), (6, near_c), (None, a), (None, None)]
+    got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), folder)
+    want = [(1, a), (2, b), (3, None), (3, c), (4, None), (5, ""), (5, " "), (None, a), (None, None)]
+    assert got.columns == frame(spark, rows).columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
+
+
+def test_pipeline_run_equals_its_stages_done_plainly(spark, tmp_path):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) for _ in range(80)]
+    prose = lambda n=80: [rng.choice(vocabulary) for _ in range(n)]
+    item = " ".join(f"item{k}" for k in range(14))
+    rows = []
+    for i in range(240):
+        words = prose()
+        if i % 6 == 0:
+            words[5::10] = ["scum!"] * 8
+        elif i % 6 == 1:
+            words[40] = item
+        elif i % 6 == 2:
+            words[20] = "AKIA" + "A1" * 8
+        elif i % 12 == 3:
+            words = [item, "short", "text"]
+        rows.append((i, " ".join(words)))
+        if i % 6 in (4, 5):
+            words[rng.randrange(80)] = "new"
+            rows.append((rng.choice([i, 1000 + i]), " ".join(words)))
+        if i % 8 == 7:
+            rows += [(i, " ".join(prose())), (i, None), (i, None), (None, rows[-1][1]), (i, rows[-1][1])]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 6 == 0)) for i in range(0, 240)]
+    spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    kept = plainly_distinct([(i, t) for i, t in rows if "scum!" not in (t or "")])
+    want = []
+    for i, texts in kept:
+        options = texts if isinstance(texts, set) else {texts}
+        cut = [t if t is None else t.replace(item, "\n") for t in options if not (t or "").endswith(" short text")]
+        masked = [re.sub("AKIA[A-Z0-9]{16}", secrets.MARK, t or "") for t in cut]
+        if masked:
+            want.append((i, {tuple(model.encode(t)) for t in masked}))
+    assert len(got) == len(want) and all(r.round_trip for r in got)
+    for r in got:
+        fit = next((w for w in want if w[0] == r.doc_id and tuple(r.ids) in w[1]), None)
+        assert fit, (r.doc_id, r.n_pieces)
+        want.remove(fit)
