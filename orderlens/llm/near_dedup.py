@@ -12,8 +12,9 @@
 4. The groups so found are compared on full shingle sets, block by block of a group; again
    only links that join two parts are put out. Their components are the answer.
 
-A pair at similarity 0.85 exceeds 21 differing symbols of 60 with probability 3.1e-5, one at 0.80
-exceeds 26 with 1.1e-5, a closer pair far more rarely; such a link may still be found through others.
+A pair at similarity 0.85 exceeds 23 differing symbols of 60 with probability 2.3e-6, one at 0.80
+exceeds 26 with 1.1e-5, a closer pair far more rarely; such a link is still found if other pairs
+bring both into one group, as step 4 asks nothing of signatures.
 
 Nulls and edges: a null or empty text has an empty set and links with nothing; one of fewer words
 than a shingle has its whole sequence as its set. Rows under one doc_id are one document, linked
@@ -38,7 +39,7 @@ from orderlens.llm.text import mixed, space_words, text_bytes, text_slices
 SHINGLE = 5
 #: Links by default: at least this many hundredths of the union of two sets are in both.
 PERCENT = 85
-SYMBOLS, CHUNKS, RADIUS = 60, 12, 21
+SYMBOLS, CHUNKS, RADIUS = 60, 12, 23
 #: Rows of one key, and documents or shingles of one group, that a task compares at once.
 BLOCK_ROWS, BLOCK_DOCS, BLOCK_SHINGLES = 512, 256, 1 << 19
 SLICE_BYTES = 4 << 20
@@ -239,9 +240,9 @@ def near_pairs(rows: DataFrame, percent: int = PERCENT, radius: int = RADIUS) ->
     return sorted_rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def confirmed_links(rows: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
-    """Links on full sets that join two parts, of rows (component, b1, b2, id, signature, shingles)."""
-    names = ["component", "b1", "b2", "id", "signature", "shingles"]
+def confirmed_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links on full sets that join two parts, of rows (component, b1, b2, id, shingles)."""
+    names = ["component", "b1", "b2", "id", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, 3):
@@ -249,13 +250,11 @@ def confirmed_links(rows: DataFrame, percent: int = PERCENT, radius: int = RADIU
             ids = table["id"].to_numpy()
             sets = [np.frombuffer(x, dtype=np.uint64) for x in table["shingles"].to_pylist()]
             n = np.array([len(s) for s in sets])
-            signed = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
             groups, found = Groups(ids), []
             for step in range(1, int(np.bincount(group).max())):
                 flat = groups.flat()
                 a = np.flatnonzero((group[:-step] == group[step:]) & (flat[:-step] != flat[step:]))
                 a = a[_close(n, a, a + step, percent)]
-                a = a[(signed[a] != signed[a + step]).sum(axis=1) <= radius]
                 for x in a.tolist():
                     both = len(np.intersect1d(sets[x], sets[x + step], assume_unique=True))
                     if 100 * both >= percent * (n[x] + n[x + step] - both) and groups.join(x, x + step):
@@ -270,7 +269,7 @@ def confirmed_links(rows: DataFrame, percent: int = PERCENT, radius: int = RADIU
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """The shingle sets of (component, blocks, id, text) rows, with their signatures."""
+    """The shingle sets of (component, blocks, id, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,15 +277,14 @@ def with_sets(docs: DataFrame) -> DataFrame:
             for a, b in text_slices(offsets, SLICE_BYTES):
                 part = batch.slice(a, b - a)
                 sets = shingle_sets(part.column(3))
-                signed = [row.tobytes() for row in signatures(sets)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array(signed, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["component", "blocks", "id", "signature", "shingles"],
+                    [*part.columns[:3], pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["component", "blocks", "id", "shingles"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("component", "blocks", "id", "text").mapInArrow(
-        run, f"component {kind}, blocks bigint, id {kind}, signature binary, shingles binary"
+        run, f"component {kind}, blocks bigint, id {kind}, shingles binary"
     )
 
 
@@ -320,7 +318,7 @@ def near_duplicates(
     members = stored(candidates.join(sizes, "component"), "candidate-members")
     texts = docs.withColumnRenamed("doc_id", "id").join(members, "id")
     sets = in_blocks(stored(with_sets(texts), "candidate-sets"), "component", "blocks")
-    links = components(confirmed_links(sets, percent, radius))
+    links = components(confirmed_links(sets, percent))
 
     named = classes.join(links, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
     named = stored(named, "class-components")

@@ -247,6 +247,17 @@ def test_stage_links_from_80_hundredths_on(spark, folder):
         assert any(not errors & set(used.tolist()) for used in plan)
 
 
+def test_confirmed_links_ask_nothing_of_signatures(spark):
+    """Sets 0.9 alike in one group link although their signatures differ in every symbol; 0.8 alike do not."""
+    sets = [np.arange(0, 950), np.arange(50, 1000), np.arange(5000, 5900), np.arange(5100, 6000)]
+    rows = [
+        (k // 2, 0, 0, k, np.full(near_dedup.SYMBOLS, k, dtype=np.uint16).tobytes(), s.astype(np.uint64).tobytes())
+        for k, s in enumerate(sets)
+    ]
+    rows = spark.createDataFrame(rows, "component bigint, b1 bigint, b2 bigint, id bigint, signature binary, shingles binary")
+    assert [(r.a, r.b) for r in near_dedup.confirmed_links(rows).collect()] == [(0, 1)]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91), (91, 90), (7, 7)], "a bigint, b bigint")
     got = {r.id: r.component for r in components(links).collect()}
