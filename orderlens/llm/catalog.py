@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination, language_model, near_dedup, personal_data, pieces, search, secrets, toxicity, url_rules, warc
+from orderlens.llm import byte_pairs, decontamination, language_model, near_dedup, personal_data, pieces, search, secrets
+from orderlens.llm import spelling, token_alignment, toxicity, url_rules, warc
 from orderlens.llm.storage import shared_folder
 from orderlens.llm.text import in_fold
 
@@ -127,6 +129,28 @@ def op10_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.top_k(read(spark, folder, "documents", "doc_id", "text"), F.col("doc_id") % 100 == 0)
 
 
+def op11_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    ranks = byte_pairs.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rows = byte_pairs.round_trip(docs, byte_pairs.tables(ranks, public_tokenizers.PATTERN))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, folder, "documents", "doc_id", "text"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return token_alignment.measures(docs, token_alignment.read_tokenizers(a, b))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -138,4 +162,7 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_personal_data": op9_personal_data,
     "op10_search": op10_search,
+    "op11_byte_pairs": op11_byte_pairs,
+    "op12_spelling": op12_spelling,
+    "op13_token_alignment": op13_token_alignment,
 }

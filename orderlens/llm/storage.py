@@ -23,11 +23,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame, written as Parquet in the shared folder and read again: lineage ends here."""
+def stored(frame: DataFrame, name: str, **options: str) -> DataFrame:
+    """The frame, written as Parquet (with these options) in the shared folder and read again: lineage ends here."""
     spark = frame.sparkSession
     path = shared_folder(spark, name)
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
