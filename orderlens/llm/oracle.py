@@ -62,8 +62,57 @@ SELECT u.page_id, u.host, u.path, best.rule, coalesce(best.verdict, 'allow') AS
 FROM u LEFT JOIN best USING (page_id)
 """
 
+
+
+def _crc_entry(byte: int) -> int:
+    """Entry of the table of CRC-32 (reflected polynomial EDB88320)."""
+    for _ in range(8):
+        byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+# DuckDB has no crc32: the bytes are folded by the usual table. Words one edit apart share a text with
+# one letter masked (replaced), or one is the other with a letter left out (inserted or deleted).
+OP12 = f"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(run, '{UPPER}', '{LOWER}') AS run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents)
+  GROUP BY ALL),
+crc AS (SELECT [{", ".join(str(_crc_entry(b)) for b in range(256))}]::BIGINT[] AS t),
+bytes AS (
+  SELECT run, k, flatten(list_transform(string_split(doc || ':' || run, ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS b FROM runs),
+hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, b::BIGINT[]), lambda h, x:
+    xor(h >> 8, t[(xor(h, x) & 255) + 1]))) AS h FROM bytes, crc),
+cut AS (
+  SELECT k, CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2)
+    ELSE run END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+less AS (SELECT DISTINCT word, left(word, i - 1) || substr(word, i + 1) AS other FROM places),
+masked AS (SELECT word, left(word, i - 1) || '*' || substr(word, i + 1) AS mask FROM places),
+near AS (
+  SELECT a.word, b.word AS other FROM masked a JOIN masked b USING (mask) WHERE a.word <> b.word
+  UNION SELECT word, other FROM less WHERE other IN (SELECT word FROM words)
+  UNION SELECT other, word FROM less WHERE other IN (SELECT word FROM words)),
+best AS (
+  SELECT near.word, CAST(count(*) AS BIGINT) AS n_near, min((-w.n, other)) AS top
+  FROM near JOIN words w ON w.word = near.other GROUP BY near.word),
+forms AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top[1] >= 10 * n THEN top[2] END AS form,
+    CASE WHEN -top[1] >= 10 * n THEN -top[1] END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NOT NULL),
+ends AS (SELECT walk.word, root FROM walk JOIN forms ON forms.word = root WHERE forms.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_decontamination": OP1,
     "op2_warc": OP2,
     "op7_url_rules": OP7,
+    "op12_spelling": OP12,
 }
