@@ -38,12 +38,13 @@ def _typed(column: Column, source: T.DataType, target: T.DataType) -> Column:
     return column.cast(target)
 
 
-def conform(df: DataFrame, fill_absent: bool = True) -> DataFrame:
+def conform(df: DataFrame, fill_absent: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Select the canonical columns out of ``df``, whatever their spelling.
 
     Where several spellings are present the first non-null one counts. A column
     found nowhere becomes a typed NULL, or is left out with ``fill_absent=False``
-    for operators that act on its absence. Only metadata is read.
+    for operators that act on its absence. Columns to ``keep`` follow as they are. Only
+    metadata is read.
     """
     found: dict[str, list[tuple[str, T.DataType]]] = {}
     for field in df.schema:
@@ -56,7 +57,7 @@ def conform(df: DataFrame, fill_absent: bool = True) -> DataFrame:
             picked.append((F.coalesce(*parts) if len(parts) > 1 else parts[0]).alias(field.name))
         elif fill_absent:
             picked.append(F.lit(None).cast(field.dataType).alias(field.name))
-    return df.select(*picked)
+    return df.select(*picked, *keep)
 
 
 def with_default_names(df: DataFrame) -> DataFrame:
