@@ -32,21 +32,18 @@ def baseline_forecast(
     lookup: DataFrame, as_of: Column, divisor: int = 10, days: int = 7
 ) -> DataFrame:
     """A flat forecast of the coming days for every product of each pair."""
-    base = F.greatest(F.lit(1), F.floor(F.col("OrderCount") / divisor)).cast("double")
+    flat = _flat_quantiles(divisor)
     return (
-        lookup.withColumns(
-            {
-                "p10": F.greatest(F.lit(0.0), base * 0.5),
-                "p50": base,
-                "p90": base * 2,
-                "mean": base,
-                "mock_data": F.lit(divisor == 1),
-            }
-        )
+        lookup.withColumns({**flat, "mean": flat["p50"], "mock_data": F.lit(divisor == 1)})
         .withColumn("ds", F.explode(following_days(as_of, days)))
     )
 
 
+def _flat_quantiles(divisor: int) -> dict[str, Column]:
+    base = F.greatest(F.lit(1), F.floor(F.col("OrderCount") / divisor)).cast("double")
+    return {"p10": F.greatest(F.lit(0.0), base * 0.5), "p50": base, "p90": base * 2}
+
+
 def fallback_forecast(lookup: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """The variant used when scoring a product fails: the whole order count, flagged."""
     return baseline_forecast(lookup, as_of, divisor=1, days=days)
@@ -150,6 +147,53 @@ def model_forecast(
     return source.groupBy("item_id").applyInPandas(run, schema)
 
 
+def model_outcomes(
+    history: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], keys: list[str]
+) -> DataFrame:
+    """Forecasts of a user's model, and what went wrong where there is none.
+
+    ``history`` holds (keys, item_id, ds, y), at most one row per series and calendar day; the model is
+    called once per series, as in :func:`model_forecast`. A series whose model raises, or gives no days, a day
+    twice, or a day or quantile that is missing, has one row without a day whose ``error`` says so;
+    all others go on.
+    """
+    columns = ["ds", *QUANTILES]
+
+    def run(group: tuple, series: pd.DataFrame) -> pd.DataFrame:
+        ordered = series[["item_id", "ds", "y"]].sort_values("ds", ignore_index=True)
+        try:
+            made = model(ordered)[columns].reset_index(drop=True)
+            if made.empty or made.isna().any(axis=None) or made["ds"].duplicated().any():
+                raise ValueError("the model gave no days, a day twice, or a missing value")
+            made["ds"] = pd.to_datetime(made["ds"]).dt.date
+            made[list(QUANTILES)] = made[list(QUANTILES)].astype("float64")
+            made["error"] = None
+        except Exception as error:  # whatever a user's model raises must not end the job
+            made = pd.DataFrame([[None, None, None, None, f"{type(error).__name__}: {error}"]], columns=[*columns, "error"])
+        for name, value in zip(keys, group):
+            made[name] = value
+        return made[[*keys, *columns, "error"]]
+
+    kinds = [f"`{name}` {history.schema[name].dataType.simpleString()}" for name in keys]
+    schema = ", ".join([*kinds, "ds date, p10 double, p50 double, p90 double, error string"])
+    return history.groupBy(*keys).applyInPandas(run, schema)
+
+
+def with_fallback(outcomes: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """Outcomes of a model with the flagged fallback forecast where it failed.
+
+    ``outcomes`` carry the series' OrderCount. Failed series are exploded where they lie, so the model
+    runs once and nothing is joined for them.
+    """
+    failed = F.col("error").isNotNull()
+    flat = _flat_quantiles(1)
+    ds = F.explode(F.when(failed, following_days(as_of, days)).otherwise(F.array("ds")))
+    rest = [c for c in outcomes.columns if c not in ("ds", *QUANTILES)]
+    quantiles = {name: F.when(failed, flat[name]).otherwise(F.col(name)) for name in QUANTILES}
+    rows = outcomes.select(*rest, ds.alias("ds"), *[c.alias(name) for name, c in quantiles.items()])
+    return rows.withColumns({"mean": F.col("p50"), "mock_data": F.col("error").isNotNull()})
+
+
 def quantiles_to_rows(
     scored: DataFrame, as_of: Column, horizon: int = PREDICTION_LENGTH
 ) -> DataFrame:

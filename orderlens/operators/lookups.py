@@ -123,20 +123,10 @@ def first_by_key(df: DataFrame, key: list[str], order: list[str] | None = None)
     )
 
 
-def write_lookup_items(items: DataFrame, path: str) -> None:
-    """Partitioned by record type and clustered by pair, for point reads by either."""
-    (
-        items.repartitionByRange("record_type", "customer_facility", "product_id")
-        .sortWithinPartitions("record_type", "customer_facility", "product_id")
-        .write.mode("overwrite")
-        .partitionBy("record_type")
-        .parquet(path)
-    )
-
-
 def items_of_pair(items: DataFrame, customer_facility: str) -> DataFrame:
-    """Records of one customer#facility key."""
-    return items.where(F.col("customer_facility") == customer_facility)
+    """Records of one customer#facility key; on a stored table only that key's row groups are read."""
+    of_pair = items.where(F.col("record_type") == "CUSTOMER_PRODUCT")
+    return of_pair.where(F.col("customer_facility") == customer_facility)
 
 
 def distinct_pairs(lines: DataFrame) -> DataFrame:

@@ -175,13 +175,36 @@ def value_checks(df: DataFrame) -> DataFrame:
     return facts.select(_rows(_value_rows(df), ["column_name", "problem", "row_count", "status"]))
 
 
+def _plain(field: T.StructField) -> Column:
+    """A column as text that equal values share and different ones do not; null stays null."""
+    column, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (column + F.lit(0.0)).cast("string")  # a negative zero equals a zero
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(column)
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return F.to_json(column, {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    return column.cast("string")
+
+
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 over all columns of a row; each value stands with its length, so rows never run together."""
+    parts = []
+    for field in df.schema:
+        text = _plain(field)
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier one, over all columns, with their share.
 
-    Copies are combined before the shuffle; a third of all rows being copies of
-    one another therefore costs a row per task.
+    Rows are counted by digest, so 32 bytes and a count go through the shuffle whatever a row's width. Copies
+    are combined before it; a third of all rows being copies of one another costs a row per task.
     """
-    grouped = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
+    grouped = df.groupBy(row_digest(df).alias("digest")).agg(F.count(F.lit(1)).alias("copies"))
     rows, extra = F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
     return grouped.agg(
         rows.alias("total_records"),
@@ -353,57 +376,68 @@ def categorical_top(df: DataFrame, columns: list[str] | None = None, k: int = 5)
 def business_rules(df: DataFrame) -> DataFrame:
     """Five rules as rows: rule, metric, whether it passed.
 
-    Distinct members are counted with the pairs spread over all tasks, so no group
-    is ever held together.
+    One scan: a line counts under its customer (with the facility as member), product and vendor
+    (with the product as member); (key, member) pairs are combined before they are shuffled, then members are
+    counted by key. Units and dates of a line ride along under its customer. A hot key is one row per member.
     """
     has = set(df.columns).issuperset
-    parts = []
-
-    def mean_distinct(group: str, member: str) -> DataFrame:
-        per_group = df.where(F.col(group).isNotNull()).groupBy(group).agg(
-            F.count_distinct(member).alias("n")
-        )
-        return per_group.agg(F.avg("n").alias("metric"))
+    none = F.lit(None)
+    sound = (F.col("OrderUnits") > 0) & (F.col("Price") > 0) if has({"OrderUnits", "Price"}) else none
+    day = F.to_date(_parsed_date(df)) if has({"CreateDate"}) else none
+    named = F.col("CategoryName").isNotNull() if has({"ProductID", "CategoryName"}) else none
 
-    def row(rule: str, metric: Column, passed: Column) -> Column:
+    def line(kind: str, key: Column, member: Column, along: bool = False, category: Column = none) -> Column:
         return F.struct(
-            F.lit(rule).alias("rule"),
-            metric.cast("double").alias("metric"),
-            F.coalesce(passed, F.lit(False)).cast("int").alias("passed"),
+            F.lit(kind).alias("kind"),
+            key.cast("string").alias("key"),
+            member.cast("string").alias("member"),
+            category.cast("boolean").alias("named"),
+            F.lit(1 if along else 0).cast("bigint").alias("lines"),
+            (sound.cast("bigint") if along else none.cast("bigint")).alias("sound"),
+            (day if along else none).cast("date").alias("day"),
         )
 
-    facts: dict[str, Column] = {}
-    rows = []
-    if has({"OrderUnits", "Price"}):
-        sound = count_where((F.col("OrderUnits") > 0) & (F.col("Price") > 0))
-        facts["sound"] = ratio(sound * 100.0, F.count(F.lit(1)), 0.0)
-        rows.append(row("valid_orders", F.col("sound"), F.col("sound") >= 95))
-    if has({"CreateDate"}):
-        day = F.to_date(_parsed_date(df))
-        facts["span"] = F.datediff(F.max(day), F.min(day))
-        rows.append(row("date_span", F.col("span"), F.col("span").between(30, 365 * 3)))
-    if rows:
-        plain = df.agg(*[fact.alias(name) for name, fact in facts.items()])
-        parts.append(plain.select(F.inline(F.array(*rows))))
-
-    def single(rule: str, facts: DataFrame, passed: Column) -> None:
-        parts.append(facts.select(F.inline(F.array(row(rule, F.col("metric"), passed)))))
-
-    metric = F.col("metric")
-    if has({"CustomerID", "FacilityID"}):
-        single("facilities_per_customer", mean_distinct("CustomerID", "FacilityID"), metric > 0)
+    def column(name: str) -> Column:
+        return F.col(name) if name in df.columns else none
+
+    lines = [line("customer", column("CustomerID"), column("FacilityID"), along=True)]
     if has({"ProductID", "CategoryName"}):
-        per_product = df.where(F.col("ProductID").isNotNull()).groupBy("ProductID").agg(
-            F.max(F.col("CategoryName").isNotNull().cast("int")).alias("has_category")
-        )
-        covered = per_product.agg(F.coalesce(F.avg("has_category") * 100, F.lit(0.0)).alias("metric"))
-        single("category_coverage", covered, metric >= 90)
+        lines.append(line("product", F.col("ProductID"), none, category=named))
     if has({"VendorID", "ProductID"}):
-        single("products_per_vendor", mean_distinct("VendorID", "ProductID"), metric >= 1)
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        lines.append(line("vendor", F.col("VendorID"), F.col("ProductID")))
+    along = [
+        F.sum("lines").alias("lines"),
+        F.sum("sound").alias("sound"),
+        F.max("named").alias("named"),
+    ]
+    pairs = df.select(F.inline(F.array(*lines))).groupBy("kind", "key", "member").agg(
+        *along, F.min("day").alias("first"), F.max("day").alias("last")
+    )
+    keys = pairs.groupBy("kind", "key").agg(
+        F.count("member").alias("members"), *along, F.min("first").alias("first"), F.max("last").alias("last")
+    )
+    of = lambda kind, value: F.when((F.col("kind") == kind) & F.col("key").isNotNull(), value)
+    facts = keys.agg(
+        ratio(F.coalesce(F.sum("sound"), F.lit(0)) * 100.0, F.sum("lines"), 0.0).alias("sound"),
+        F.datediff(F.max("last"), F.min("first")).alias("span"),
+        F.avg(of("customer", F.col("members"))).alias("facilities"),
+        F.coalesce(F.avg(of("product", F.col("named").cast("int"))) * 100, F.lit(0.0)).alias("covered"),
+        F.avg(of("vendor", F.col("members"))).alias("products"),
+    )
+    # Names and limits of the rules.
+    rules = [
+        ({"OrderUnits", "Price"}, "valid_orders", "sound", F.col("sound") >= 95),
+        ({"CreateDate"}, "date_span", "span", F.col("span").between(30, 365 * 3)),
+        ({"CustomerID", "FacilityID"}, "facilities_per_customer", "facilities", F.col("facilities") > 0),
+        ({"ProductID", "CategoryName"}, "category_coverage", "covered", F.col("covered") >= 90),
+        ({"VendorID", "ProductID"}, "products_per_vendor", "products", F.col("products") >= 1),
+    ]
+    rows = [
+        (rule, F.col(metric).cast("double"), F.coalesce(passed, F.lit(False)).cast("int"))
+        for needed, rule, metric, passed in rules
+        if has(needed)
+    ]
+    return facts.select(_rows(rows, ["rule", "metric", "passed"]))
 
 
 # --- quality score --------------------------------------------------------------------
@@ -412,11 +446,10 @@ def business_rules(df: DataFrame) -> DataFrame:
 def quality_score(df: DataFrame) -> DataFrame:
     """Completeness, validity and consistency on a scale to 100, and their mean.
 
-    All of it follows from the distinct rows and their number of copies, which
-    takes one pass and one shuffle.
+    One pass and one shuffle: rows are combined by digest, and their gaps and faults are added up on
+    the way; the columns themselves are not shuffled.
     """
-    copies = F.col("_copies")
-    counted = lambda condition: F.sum(F.when(condition, copies).otherwise(0))
+    counted = lambda condition: F.sum(F.when(condition, 1).otherwise(0))
     gaps = [counted(F.col(c).isNull()) for c in SCORED_COLUMNS if c in df.columns]
     faults = []
     if "OrderUnits" in df.columns:
@@ -424,17 +457,21 @@ def quality_score(df: DataFrame) -> DataFrame:
     if "CreateDate" in df.columns:
         # one fault for the column, however many of its dates are unreadable
         unreadable = F.col("CreateDate").isNotNull() & _parsed_date(df).isNull()
-        faults.append(F.max(F.coalesce(unreadable, F.lit(False)).cast("long")))
+        unread = F.max(F.coalesce(unreadable, F.lit(False)).cast("long"))
+    else:
+        unread = F.max(F.lit(0).cast("long"))
     zero = F.lit(0).cast("bigint")
-    facts = (
-        df.groupBy(*df.columns)
-        .agg(F.count(F.lit(1)).alias("_copies"))
-        .agg(
-            F.coalesce(F.sum(copies), zero).alias("rows"),
-            F.coalesce(total(gaps) if gaps else zero, zero).alias("missing_critical"),
-            F.coalesce(total(faults) if faults else zero, zero).alias("validity_issues"),
-            F.coalesce(F.sum(copies - 1), zero).alias("duplicate_records"),
-        )
+    distinct = df.groupBy(row_digest(df).alias("digest")).agg(
+        F.count(F.lit(1)).alias("copies"),
+        (total(gaps) if gaps else F.sum(zero)).alias("gaps"),
+        (total(faults) if faults else F.sum(zero)).alias("faults"),
+        unread.alias("unread"),
+    )
+    facts = distinct.agg(
+        F.coalesce(F.sum("copies"), zero).alias("rows"),
+        F.coalesce(F.sum("gaps"), zero).alias("missing_critical"),
+        F.coalesce(F.sum("faults") + F.max("unread"), zero).alias("validity_issues"),
+        F.coalesce(F.sum(F.col("copies") - 1), zero).alias("duplicate_records"),
     )
     share = lambda name: F.coalesce(F.try_divide(F.col(name) * 100.0, F.col("rows")), F.lit(0.0))
     # an empty table scores nothing for its content, but has no duplicates either
@@ -474,20 +511,24 @@ def quality_recommendations(score: DataFrame) -> DataFrame:
     return score.select(F.explode(advice_for_score()).alias("recommendation"))
 
 
-def validation_report(df: DataFrame, as_of: dt.date) -> DataFrame:
-    """Summary record of all of the above, one row."""
-    rules = business_rules(df).agg(
+def report_summary(score: DataFrame, checks: DataFrame, rules: DataFrame) -> DataFrame:
+    """Summary record, one row, of a score, a check table and a rule table."""
+    counts = rules.agg(
         F.struct(
             count_where(F.col("passed") == 1).alias("business_rules_passed"),
             count_where(F.col("passed") == 0).alias("business_rules_failed"),
         )
     )
-    result = verdict(validation_checks(df, as_of))
     # one-row results side by side, each computed once
-    return quality_score(df).select(
+    return score.select(
         "data_quality_score",
         F.col("rows").alias("total_records"),
         advice_for_score().alias("recommendations"),
-        result.select(F.struct("*")).scalar().alias("result"),
-        rules.scalar().alias("rules"),
+        verdict(checks).select(F.struct("*")).scalar().alias("result"),
+        counts.scalar().alias("rules"),
     ).select("result.*", "data_quality_score", "total_records", "rules.*", "recommendations")
+
+
+def validation_report(df: DataFrame, as_of: dt.date) -> DataFrame:
+    """Summary record of all of the above, one row; ``df`` is read four times, so store it first."""
+    return report_summary(quality_score(df), validation_checks(df, as_of), business_rules(df))

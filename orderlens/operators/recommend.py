@@ -41,11 +41,13 @@ def product_outlook(forecast: DataFrame, as_of: Column, days: int = 7) -> DataFr
     ``forecast`` holds dated quantiles with the product's text and OrderCount. The
     score weighs predicted demand, order history and trend. Every table below is a
     filter or one aggregate of this one. A pair has as many rows here as products
-    were forecast for it, ten by default, each with a horizon of predictions.
+    were forecast for it, each with a horizon of predictions. A forecast with ``mock_data``
+    (fallbacks of a model) passes the flag on.
     """
     p50 = F.coalesce("p50", "mean", F.lit(0.0))
     quantiles = F.struct("p10", "p50", "p90", "mean")
-    text = [c for c in ["CategoryName", "vendorName", "FirstOrderDate", "LastOrderDate"] if c in forecast.columns]
+    text = ["CategoryName", "vendorName", "FirstOrderDate", "LastOrderDate", "mock_data"]
+    text = [c for c in text if c in forecast.columns]
     per_product = forecast.groupBy(*SERIES).agg(
         F.max("ProductName").alias("product_name"),
         F.max("OrderCount").alias("OrderCount"),
@@ -293,6 +295,7 @@ def prediction_bundle(outlook: DataFrame, as_of: Column, k: int = 5) -> DataFram
                 F.col("FirstOrderDate").alias("first_order"),
                 F.col("LastOrderDate").alias("last_order"),
             ).alias("order_history"),
+            *[c for c in ["mock_data"] if c in outlook.columns],
         ).alias("prediction"),
     )
     grouped = outlook.groupBy(*PAIR).agg(

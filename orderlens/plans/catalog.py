@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +27,9 @@ from orderlens.operators import (
 )
 from orderlens.plans import pipeline
 from orderlens.schema import PAIR, SERIES
-from orderlens.session import ensure_checkpoint_dir
 from orderlens.sources import files
 from orderlens.sources.conform import with_default_names
+from orderlens.sources.stages import stage_path, stored
 from orderlens.sources.warehouse import order_lines, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -342,8 +343,9 @@ def lookup_items(spark, folder):
 @query
 def lookup_by_customer_facility(spark, folder):
     products = lookups.product_lookup(order_lines(spark, folder, "brand", TEXT_COLUMNS))
-    items = lookups.lookup_items(products, _lookup(spark, folder))
-    return lookups.items_of_pair(items, "FURNITURE#2")
+    root = stage_path(spark, "lookup-items")
+    files.write_lookup_items(lookups.lookup_items(products, _lookup(spark, folder)), root, "run")
+    return lookups.items_of_pair(files.read_lookup_items(spark, root, "run"), "FURNITURE#2")
 
 
 @query
@@ -456,8 +458,7 @@ def dq_checks(spark, folder):
 
 @query
 def dq_verdict(spark, folder):
-    ensure_checkpoint_dir(spark)
-    lines = order_lines(spark, folder, "brand").checkpoint()
+    lines = stored(order_lines(spark, folder, "brand"), "lines")
     sets = {"clean": lines, "damaged": _damaged(lines)}
     parts = [
         quality.verdict(quality.validation_checks(df, AS_OF)).withColumn("dataset", F.lit(name))
@@ -468,13 +469,15 @@ def dq_verdict(spark, folder):
 
 @query
 def numeric_profile(spark, folder):
+    # read once per pass of the quantiles: join and divide once
     lines = order_lines(spark, folder, columns=["OrderID", "VendorID", "OrderUnits", "Price"])
-    return quality.numeric_profile(lines)
+    return quality.numeric_profile(stored(lines, "numbers"))
 
 
 @query
 def iqr_outliers(spark, folder):
-    return quality.iqr_outliers(order_lines(spark, folder, columns=["OrderUnits", "Price"]))
+    lines = order_lines(spark, folder, columns=["OrderUnits", "Price"])
+    return quality.iqr_outliers(stored(lines, "numbers"))
 
 
 @query
@@ -512,8 +515,7 @@ def quality_recommendations(spark, folder):
 @query
 def validation_report(spark, folder):
     # the report reads its lines several times: join them once
-    ensure_checkpoint_dir(spark)
-    lines = _damaged(order_lines(spark, folder, "brand")).checkpoint()
+    lines = stored(_damaged(order_lines(spark, folder, "brand")), "lines")
     report = quality.validation_report(lines, AS_OF)
     return report.withColumn("recommendations", F.array_join("recommendations", " | "))
 
@@ -656,6 +658,22 @@ def baseline_forecast_fallback(spark, folder):
     return rows.select(*BASELINE_COLUMNS, F.col("mock_data").cast("int").alias("mock_data"))
 
 
+def model_forecast_fallback(spark, folder):
+    def last_and_range(rows: pd.DataFrame) -> pd.DataFrame:
+        """Repeats the last quantity, between the least and the largest; refuses some series."""
+        y = rows["y"]
+        if y.iloc[-1] > 40:
+            raise ValueError(f"last quantity {y.iloc[-1]:.0f} is out of range")
+        days = [AS_OF + dt.timedelta(days=i) for i in range(14)]
+        return pd.DataFrame({"ds": days, "p10": y.min(), "p50": y.iloc[-1], "p90": y.max()})
+
+    activity = demand.daily_activity(order_lines(spark, folder, "brand", [*DAY_COLUMNS, "Date"]))
+    products = lookups.product_lookup(order_lines(spark, folder, "brand", TEXT_COLUMNS))
+    rows = pipeline.forecast_pairs(activity, products, F.lit(AS_OF), model=last_and_range)
+    flag = F.col("mock_data").cast("int").alias("mock_data")
+    return rows.select(*SERIES, "ProductName", "OrderCount", "ds", "p10", "p50", "p90", flag, "error")
+
+
 @query
 def seasonal_quantile_forecast(spark, folder):
     history = demand.product_forecast_long(_daily(spark, folder))

@@ -613,6 +613,14 @@ def oracle() -> dict[str, str]:
     q["baseline_forecast"] = f"WITH {LOOKUP_CHAIN}, {ALL_PRODUCTS}, {NEXT} " + BASELINE.format(base='"OrderCount" // 10', extra="")
     q["baseline_forecast_fallback"] = f"WITH {LOOKUP_CHAIN}, {ALL_PRODUCTS}, {NEXT} " + BASELINE.format(
         base='"OrderCount"', extra=", CAST(1 AS INTEGER) AS mock_data")
+    q["model_forecast_fallback"] = f"""WITH {LOOKUP_CHAIN}, {DAILY}, fit AS (
+        SELECT {SERIES}, min("Quantity") AS lo, max("Quantity") AS hi, arg_max("Quantity", "Date") AS y FROM daily GROUP BY ALL)
+      SELECT {SERIES}, "ProductName", "OrderCount", DATE '2001-08-02' + CAST(i AS INTEGER) AS ds,
+        CASE WHEN y > 40 THEN 0.5 * greatest(1, "OrderCount") ELSE lo END::DOUBLE AS p10,
+        CASE WHEN y > 40 THEN greatest(1, "OrderCount") ELSE y END::DOUBLE AS p50,
+        CASE WHEN y > 40 THEN 2 * greatest(1, "OrderCount") ELSE hi END::DOUBLE AS p90, CAST(y > 40 AS INTEGER) AS mock_data,
+        CASE WHEN y > 40 THEN 'ValueError: last quantity ' || CAST(y AS BIGINT) || ' is out of range' END AS error
+      FROM lookup JOIN fit USING ({SERIES}), generate_series(0, 13) g(i) WHERE y <= 40 OR i < 7"""
     future = f"""{LONG_CHAIN}, {NEXT}, {profile('long')},
       days AS (SELECT DISTINCT item_id, as_of + CAST(i AS INTEGER) AS ds, CAST(i AS INTEGER) AS i FROM long, next_day, generate_series(0, 13) g(i)),
       forecast AS ({predicted('days', 'ds')})"""

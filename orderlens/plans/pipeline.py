@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.operators import calendar, codes, demand, forecast, lookups, quality, recommend, series
+from orderlens.operators import calendar, codes, demand, explore, forecast, lookups, quality, recommend, series
 from orderlens.schema import SERIES
-from orderlens.session import ensure_checkpoint_dir
 from orderlens.sources import files
+from orderlens.sources.stages import stored
+
+
+Model = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 # --- order lines to feature, lookup and forecast tables -------------------------------
@@ -19,6 +24,9 @@ from orderlens.sources import files
 def build_outputs(lines: DataFrame, root: str, run_ts: str) -> list[str]:
     """Write every table derived from conformed order lines as the snapshot ``run_ts``.
 
+    The run is committed when all its tables are there; until then readers of the newest run
+    see the one before. Repeating a run withdraws its commit first.
+
     The lines and the daily demand are written first and read back: later tables
     then scan only the columns they need, no text is parsed twice, and a lost
     executor costs a re-read and not a rebuild. Without lines nothing is written,
@@ -29,42 +37,64 @@ def build_outputs(lines: DataFrame, root: str, run_ts: str) -> list[str]:
     # the one look ahead; a derived table is empty only if the activity is
     if lines.isEmpty():
         return written
+    files.withdraw_run(spark, root, run_ts)
 
     def keep(name: str, df: DataFrame) -> None:
         files.write_snapshot(df, f"{root}/{name}", run_ts)
         written.append(name)
 
-    def stored(name: str, like: DataFrame) -> DataFrame:
+    def reread(name: str, like: DataFrame) -> DataFrame:
         runs = files.read_snapshots(spark, f"{root}/{name}", like.schema)
         return runs.where(F.col("run_ts") == run_ts).drop("run_ts")
 
     featured = calendar.with_temporal_features(lines)
     keep("processed/order_lines", featured)
-    featured = stored("processed/order_lines", featured)
+    featured = reread("processed/order_lines", featured)
 
     activity = demand.daily_activity(featured)
     keep("processed/daily_activity", activity)
-    activity = stored("processed/daily_activity", activity)
+    activity = reread("processed/daily_activity", activity)
     if activity.isEmpty():
+        files.commit_run(spark, root, run_ts, written)
         return written
     daily = activity.select(*SERIES, "Date", "Quantity")
 
     products = demand.product_table(featured)
     keep("processed/product_features", demand.demand_patterns(daily, products))
     keep("lookup/product_lookup", lookups.product_lookup(featured))
-    lookup = stored("lookup/product_lookup", lookups.product_lookup(featured))
+    lookup = reread("lookup/product_lookup", lookups.product_lookup(featured))
     relations = lookups.relationships_of(activity)
     keep("lookup/customer_product_lookup", lookups.customer_product_lookup(relations, lookup))
+    relations = reread("lookup/customer_product_lookup", lookups.customer_product_lookup(relations, lookup))
+    files.write_lookup_items(lookups.lookup_items(lookup, relations), f"{root}/lookup/items", run_ts)
+    written.append("lookup/items")
     keep("forecast_format/product_forecast_data", demand.by_series(demand.product_forecast_long(daily, products)))
     totals = demand.customer_daily(featured)
     keep("forecast_format/customer_forecast_data", demand.by_series(demand.customer_forecast_long(totals)))
+    files.commit_run(spark, root, run_ts, written)
     return written
 
 
 def validate_lines(lines: DataFrame, as_of: dt.date, path: str) -> DataFrame:
-    """Write the check table and the summary of some order lines; the summary back."""
-    files.write_report(quality.validation_checks(lines, as_of), f"{path}/checks")
-    files.write_report(quality.validation_report(lines, as_of), f"{path}/summary")
+    """Write the whole validation report of some order lines below ``path``; its summary back.
+
+    The lines are stored once and each part reads the columns it needs. Parts: checks, statistics, distributions
+    (numbers), categories and their most frequent values, rules, summary.
+    """
+    lines = stored(lines, "validated-lines")
+    rules = stored(quality.business_rules(lines), "rules")
+    checks = stored(quality.validation_checks(lines, as_of), "checks")
+    parts = {
+        "checks": checks,
+        "statistics": explore.dataset_overview(lines),
+        "distributions": quality.numeric_profile(lines),
+        "categories": quality.categorical_profile(lines),
+        "category_values": quality.categorical_top(lines),
+        "rules": rules,
+        "summary": quality.report_summary(quality.quality_score(lines), checks, rules),
+    }
+    for name, part in parts.items():
+        files.write_report(part, f"{path}/{name}")
     return lines.sparkSession.read.json(f"{path}/summary")
 
 
@@ -76,24 +106,42 @@ def forecast_pairs(
     products: DataFrame,
     as_of: Column,
     relations: DataFrame | None = None,
+    model: Model | None = None,
 ) -> DataFrame:
     """Forecasts of all products of every customer and facility, in one job.
 
     ``activity`` is the daily activity table, ``products`` the product lookup. With a
-    stored customer-product lookup as ``relations`` only its series are forecast.
+    stored customer-product lookup as ``relations`` only its series are forecast. A ``model`` takes
+    the place of the built-in one; a series it fails on gets the fallback forecast, flagged by
+    ``mock_data``, with the message in ``error``.
     """
     if relations is not None:
         activity = activity.join(relations.select(*SERIES), SERIES, "left_semi")
+    if model is not None:
+        history = activity.select(
+            *SERIES,
+            demand.item_id(*SERIES).alias("item_id"),
+            F.col("Date").alias("ds"),
+            F.col("Quantity").cast("double").alias("y"),
+        )
+        outcomes = forecast.model_outcomes(history, model, SERIES)
+        # both sides are grouped by series: one exchange each, no third
+        known = outcomes.join(lookups.relationships_of(activity), SERIES)
+        return forecast.with_fallback(known, as_of).join(products, "ProductID", "left")
     chosen = demand.series_histories(activity)
     profiled = forecast.profile_histories(chosen, SERIES)
     return forecast.forecast_days(profiled.join(products, "ProductID", "left"), as_of)
 
 
 def recommend_pairs(
-    activity: DataFrame, products: DataFrame, as_of: Column, relations: DataFrame | None = None
+    activity: DataFrame,
+    products: DataFrame,
+    as_of: Column,
+    relations: DataFrame | None = None,
+    model: Model | None = None,
 ) -> DataFrame:
     """Nested predictions and recommendations of every customer and facility."""
-    rows = forecast_pairs(activity, products, as_of, relations=relations)
+    rows = forecast_pairs(activity, products, as_of, relations, model)
     return recommend.prediction_bundle(recommend.product_outlook(rows, as_of), as_of)
 
 
@@ -111,9 +159,8 @@ def training_sets(arrays: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def stored_series(long: DataFrame, products: DataFrame | None = None) -> DataFrame:
-    """One row per series, checkpointed, so that the history is grouped once."""
-    ensure_checkpoint_dir(long.sparkSession)
-    return series.series_arrays(long, products).checkpoint()
+    """One row per series, stored, so that the history is grouped once."""
+    return stored(series.series_arrays(long, products), "series")
 
 
 def evaluate(long: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,5 +170,5 @@ def evaluate(long: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def latest_lookup(spark: SparkSession, root: str) -> DataFrame:
-    """Customer-product table of the newest snapshot below ``root``."""
-    return files.read_latest_lookups(spark, f"{root}/lookup")[1]
+    """Customer-product table of the newest committed run below ``root``."""
+    return files.read_latest_lookups(spark, root)[1]

@@ -95,8 +95,7 @@ def read_snapshots(
 ) -> DataFrame:
     """All runs below ``root``; an empty table of that schema when there is none."""
     full = T.StructType([*schema.fields, T.StructField("run_ts", T.StringType())])
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not _exists(spark, root):
         return spark.createDataFrame([], full)
     return spark.read.schema(full).option("header", True).format(fmt).load(root)
 
@@ -107,16 +106,70 @@ def latest_only(df: DataFrame, column: str = "run_ts") -> DataFrame:
     return df.where(F.col(column) == newest)
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def commit_run(spark: SparkSession, root: str, run_ts: str, tables: list[str]) -> None:
+    """Record that a run has written all its tables; to be called last."""
+    record = spark.createDataFrame([(tables,)], "tables array<string>")
+    write_snapshot(record.coalesce(1), f"{root}/runs", run_ts)
+
+
+def withdraw_run(spark: SparkSession, root: str, run_ts: str) -> None:
+    """Take back a run's commit record, if it has one, before its tables are written anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/runs/run_ts={run_ts}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def committed_run(spark: SparkSession, root: str, table: str | None = None) -> str | None:
+    """The newest committed run below ``root``, of those that wrote a table; None without one."""
+    if not _exists(spark, f"{root}/runs"):
+        return None
+    runs = spark.read.schema("tables array<string>, run_ts string").parquet(f"{root}/runs")
+    if table is not None:
+        runs = runs.where(F.array_contains("tables", table))
+    return runs.select(F.max("run_ts")).first()[0]
+
+
 def read_latest_lookups(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Product and customer-product tables of the newest lookup run."""
+    """Product and customer-product tables of one run: the newest committed one that wrote them."""
     tables = [("product_lookup", PRODUCT_TABLE), ("customer_product_lookup", CUSTOMER_PRODUCT_TABLE)]
+    run = committed_run(spark, root, "lookup/customer_product_lookup")
     products, relations = (
-        latest_only(read_snapshots(spark, f"{root}/{name}", schema)).drop("run_ts")
+        read_snapshots(spark, f"{root}/lookup/{name}", schema).where(F.col("run_ts") == F.lit(run)).drop("run_ts")
         for name, schema in tables
     )
     return products, relations
 
 
+# --- keyed lookup records ---------------------------------------------------------------
+
+
+def write_lookup_items(items: DataFrame, root: str, run_ts: str) -> None:
+    """Keyed records of a run, in key order, so that a point read touches the files and row groups of its key.
+
+    Files hold ranges of (customer_facility, product_id); records of products have no pair and lie in ranges of
+    their own. Parquet's statistics per row group then leave out all but the key's.
+    """
+    # no record type and pair is one partition: product_id splits a pair of very many products
+    placed = items.repartitionByRange("record_type", "customer_facility", "product_id")
+    ordered = placed.sortWithinPartitions("record_type", "customer_facility", "product_id")
+    (
+        ordered.withColumn("run_ts", F.lit(run_ts))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_ts", "record_type")
+        .parquet(root)
+    )
+
+
+def read_lookup_items(spark: SparkSession, root: str, run_ts: str) -> DataFrame:
+    """Keyed records of a run; a filter on ``customer_facility`` or ``product_id`` reaches the scan."""
+    return spark.read.parquet(root).where(F.col("run_ts") == run_ts).drop("run_ts")
+
+
 # --- series and reports ---------------------------------------------------------------
 
 
@@ -136,6 +189,7 @@ def read_instances(spark: SparkSession, path: str) -> DataFrame:
 
 def report_paths(data_path: str) -> tuple[str, str]:
     """Where the validation report and the summary of a data file go."""
+    # Folder and file names.
     base = data_path.replace("processed/", "validation/")
     stem = re.sub(r"\.csv$", "", base)
     return f"{stem}_validation.json", f"{stem}_summary.json"

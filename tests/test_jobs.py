@@ -51,11 +51,14 @@ def test_snapshots(spark, tmp_path):
     empty, relations = files.read_latest_lookups(spark, root)
     assert empty.count() == 0 and relations.columns == files.CUSTOMER_PRODUCT_TABLE.names
     frame = spark.createDataFrame([("p", "n", "c", "v")], files.PRODUCT_TABLE)
-    files.write_snapshot(frame, f"{root}/product_lookup", "2024-01-01-00-00-00")
-    files.write_snapshot(frame.withColumn("ProductID", F.lit("q")), f"{root}/product_lookup", "2024-01-02-00-00-00")
-    files.write_snapshot(frame.withColumn("ProductID", F.lit("r")), f"{root}/product_lookup", "2024-01-02-00-00-00")
+    table = f"{root}/lookup/product_lookup"
+    files.write_snapshot(frame, table, "2024-01-01-00-00-00")
+    files.write_snapshot(frame.withColumn("ProductID", F.lit("q")), table, "2024-01-02-00-00-00")
+    files.write_snapshot(frame.withColumn("ProductID", F.lit("r")), table, "2024-01-02-00-00-00")
+    assert files.read_latest_lookups(spark, root)[0].count() == 0  # nothing is committed
+    files.commit_run(spark, root, "2024-01-02-00-00-00", ["lookup/product_lookup", "lookup/customer_product_lookup"])
     assert [r["ProductID"] for r in files.read_latest_lookups(spark, root)[0].collect()] == ["r"]
-    every = files.read_snapshots(spark, f"{root}/product_lookup", files.PRODUCT_TABLE)
+    every = files.read_snapshots(spark, table, files.PRODUCT_TABLE)
     assert every.count() == 2
     assert "PartitionFilters: [isnotnull(run_ts" in files.latest_only(every)._jdf.queryExecution().executedPlan().toString()
 
@@ -76,13 +79,13 @@ def test_build_outputs_and_recommend(spark, folder, tmp_path):
     root = str(tmp_path / "out")
     lines = conform(order_lines(spark, folder, "type"))
     written = pipeline.build_outputs(lines, root, "run-1")
-    assert len(written) == 7 and pipeline.build_outputs(lines.limit(0), str(tmp_path / "none"), "r") == []
+    assert len(written) == 8 and pipeline.build_outputs(lines.limit(0), str(tmp_path / "none"), "r") == []
     pipeline.build_outputs(lines, root, "run-1")  # again: replaces, does not add
     activity = spark.read.parquet(f"{root}/processed/daily_activity")
     assert activity.agg(F.sum("Lines")).first()[0] == lines.count()
     lookup = pipeline.latest_lookup(spark, root)
     assert lookup.count() == 150
-    products = files.read_latest_lookups(spark, f"{root}/lookup")[0]
+    products = files.read_latest_lookups(spark, root)[0]
     as_of, activity = F.lit(dt.date(2001, 8, 2)), activity.drop("run_ts")
     bundles = [
         sorted(map(str, pipeline.recommend_pairs(activity, products, as_of, relations).collect()))
