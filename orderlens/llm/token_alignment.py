@@ -12,6 +12,9 @@ slice then gets back the counts of its own pairs. So nothing of the corpus is br
 group is a slice, or the pairs of one B id, of which there are as many as A has ids at most.
 Last, the measures are joined to the doc_ids by the text's SHA-256.
 
+Within a task texts are cut at spaces into units that both tokenizers encode by themselves, and a
+unit that occurs again is not encoded again.
+
 The tokenizer files (bounded) are broadcast; their paths are parameters.
 
 Nulls and edges: a null or empty text, or one whose tokens of A or B do not join to a space and
@@ -25,7 +28,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +44,11 @@ from orderlens.llm.storage import stored
 
 #: Bytes of text whose pair counts are looked up together, and of texts that are encoded together.
 SLICE_BYTES, BATCH_BYTES = 1 << 25, 1 << 18
+#: Units, and characters of units, that a task keeps for later texts.
+KEPT_UNITS, KEPT_BYTES = 1 << 19, 1 << 23
+
+#: Where texts are cut: before a space between two characters that are no white space in any version of Unicode.
+_CUT = re.compile("(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
 
 MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 _ROW = "slice bigint, digest binary, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<bigint>, counts array<bigint>"
@@ -63,6 +74,8 @@ def read_tokenizers(a_path: str, b_path: str) -> dict:
     for name, i in names.items():
         a_bytes[i] = bytes(byte_of[c] for c in name) if all(c in byte_of for c in name) else name.encode()
     model = sentencepiece.SentencePieceProcessor(model_proto=files["b"])
+    if any(" " in model.id_to_piece(i).replace("▁", " ").lstrip(" ") for i in range(model.get_piece_size())):
+        raise ValueError("pieces with an inner space: units would not be independent")
     b_bytes = []
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
@@ -99,8 +112,8 @@ class Aligner:
         self.n_b = len(shared["b_tokens"][1])
         self.decimals = _flat([str(i).encode() for i in range(max(len(t[1]) for t in self.tokens))])
 
-    def _encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of all texts in a row and how many each has, for A and B; texts whose bytes they miss have none."""
+    def _encoded(self, texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Ids of all texts in a row and how many each has, for A and B; those whose bytes they miss have none, and are marked."""
         a = [e.ids for e in self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
         whole = [b" " + x.encode() for x in texts]
@@ -112,11 +125,11 @@ class Aligner:
             edges = _offsets(sizes[ids])[_offsets(counts)]
             good &= [joined[i:j] == x for x, (i, j) in zip(whole, _spans(edges), strict=True)]
             out.append((ids, counts))
-        return [(ids[np.repeat(good, counts)], np.where(good, counts, 0)) for ids, counts in out]
+        return [(ids[np.repeat(good, counts)], np.where(good, counts, 0)) for ids, counts in out], good
 
     def align(self, texts: list[str]) -> dict:
         """Of all texts in a row: token ids, ends of groups and links, and how many each text has."""
-        (a, n_a), (b, n_b) = self._encoded(texts)
+        ((a, n_a), (b, n_b)), good = self._encoded(texts)
         ends_a, ends_b = np.cumsum(self.tokens[0][2][a]), np.cumsum(self.tokens[1][2][b])
         total = int(ends_a[-1]) if len(ends_a) else 0
         at_a, at_b = np.zeros(total + 1, dtype=bool), np.zeros(total + 1, dtype=bool)
@@ -128,11 +141,11 @@ class Aligner:
         return {
             "a": a, "b": b, "n_a": n_a, "n_b": n_b, "n_groups": per_text(common), "n_links": per_text(either),
             "a_before": np.searchsorted(ends_a, common, "right"), "b_before": np.searchsorted(ends_b, common, "right"),
-            "pairs": a[link_a] * self.n_b + b[link_b],
+            "pairs": a[link_a] * self.n_b + b[link_b], "good": good,
         }
 
-    def group_digests(self, x: dict) -> list[str]:
-        """SHA-256 of every text's groups in decimal ids, as in ``1,2|3;4|5``; of no tokens an empty text."""
+    def group_texts(self, x: dict) -> list[bytes]:
+        """Every text's groups in decimal ids, as in ``1,2|3;4|5``."""
         data, starts, sizes = self.decimals
         n_groups = len(x["a_before"])
         a_in, b_in = np.diff(x["a_before"], prepend=0), np.diff(x["b_before"], prepend=0)
@@ -149,7 +162,59 @@ class Aligner:
         out[ragged(at, size - 1)] = data[ragged(starts[ids], size - 1)]
         out[at + size - 1] = stops
         raw, edges = out.tobytes(), _offsets(size)[_offsets(x["n_a"] + x["n_b"])]
-        return [hashlib.sha256(raw[i : j - 1]).hexdigest() if j > i else "" for i, j in _spans(edges)]
+        return [raw[i : max(i, j - 1)] for i, j in _spans(edges)]
+
+
+class Units:
+    """Measures of texts out of their units, each aligned once; those met before are kept, up to a bound.
+
+    A unit ends before a space between two characters of ``_CUT``: A's pattern always begins a match
+    there, and no piece of B holds a space behind another character, so both encode units by themselves.
+    """
+
+    def __init__(self, shared: dict):
+        self.aligner = Aligner(shared)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.size = 0
+        self.counts, self.good = np.zeros((0, len(MEASURES)), dtype=np.int64), np.zeros(0, dtype=bool)
+        self.pairs, self.starts, self.groups = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
+
+    def _add(self, units: list[str]) -> None:
+        counts, good, pairs, start = [self.counts], [self.good], [self.pairs], 0
+        while start < len(units):
+            size, end = 0, start
+            while end < len(units) and (end == start or size + len(units[end]) <= BATCH_BYTES):
+                size, end = size + len(units[end]), end + 1
+            x = self.aligner.align([u[1:] for u in units[start:end]])
+            counts.append(np.stack([x[c] for c in MEASURES], axis=1))
+            good.append(x["good"])
+            pairs.append(x["pairs"])
+            self.groups += self.aligner.group_texts(x)
+            self.size, start = self.size + size, end
+        self.counts, self.good, self.pairs = np.concatenate(counts), np.concatenate(good), np.concatenate(pairs)
+        self.starts = np.cumsum(self.counts[:, -1]) - self.counts[:, -1]
+
+    def measured(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Per text its measures; the pairs of all texts in a row; and the digest of its groups."""
+        if len(self.number) > KEPT_UNITS or self.size > KEPT_BYTES:
+            self._forget()
+        old = len(self.number)
+        used = []
+        for text in texts:
+            units = _CUT.split(" " + text)
+            used.append(np.fromiter(map(self.number.__getitem__, units), dtype=np.int64, count=len(units)))
+        if len(self.number) > old:
+            self._add(list(islice(self.number, old, None)))
+        # a text with a unit whose bytes a tokenizer misses has no tokens
+        used = [u if self.good[u].all() else u[:0] for u in used]
+        digests = [hashlib.sha256(b";".join([self.groups[i] for i in u.tolist()])).hexdigest() if len(u) else "" for u in used]
+        edges = _offsets(np.array([len(u) for u in used], dtype=np.int64))
+        flat = np.concatenate(used)
+        sums = np.concatenate([np.zeros((1, len(MEASURES)), dtype=np.int64), np.cumsum(self.counts[flat], axis=0)])
+        return np.diff(sums[edges], axis=0), self.pairs[ragged(self.starts[flat], self.counts[flat, -1])], digests
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +237,7 @@ def aligned(docs: DataFrame, shared_tables: dict, text: str = "text") -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(shared_tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(shared.value)
+        units = Units(shared.value)
         number, size = TaskContext.get().partitionId() << 32, 0
         sums: list[tuple[np.ndarray, np.ndarray]] = []
         names = ["slice", "digest", *MEASURES, "groups_sha256", "pairs", "counts"]
@@ -189,17 +254,17 @@ def aligned(docs: DataFrame, shared_tables: dict, text: str = "text") -> DataFra
         for batch in batches:
             for part in slices(batch, BATCH_BYTES):
                 texts, copies = part.column(0).to_pylist(), part.column(1).to_numpy()
-                x = aligner.align(texts)
-                row = np.repeat(np.arange(len(texts)), x["n_links"])
-                keys, n = np.unique(row << 40 | x["pairs"], return_counts=True)
+                found, pairs, groups = units.measured(texts)
+                row = np.repeat(np.arange(len(texts)), found[:, -1])
+                keys, n = np.unique(row << 40 | pairs, return_counts=True)
                 row, pairs = keys >> 40, keys & ((1 << 40) - 1)
                 sums.append(_summed(pairs, n * copies[row]))
                 if len(sums) == 16:
                     sums[:] = [total()]
                 held = np.bincount(row, minlength=len(texts))
-                made = [pa.array(x[c].astype(np.int64)) for c in MEASURES]
+                made = [pa.array(np.ascontiguousarray(column)) for column in found.T]
                 digests = pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary())
-                columns = [pa.array(np.full(len(texts), number)), digests, *made, pa.array(aligner.group_digests(x), pa.string())]
+                columns = [pa.array(np.full(len(texts), number)), digests, *made, pa.array(groups, pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, int_lists(pairs, held), int_lists(n.astype(np.int64), held)], names=names)
                 size += sum(map(len, texts))
                 if size >= SLICE_BYTES:
