@@ -27,6 +27,11 @@ def parse_order_date(raw: Column) -> Column:
     """
     text, clock = F.trim(raw), "[ H:mm[:ss]]"
     behind = r"( \d{1,2}:\d{2}(:\d{2})?)?$"
+    half = r" \d{1,2}:\d{2}(:\d{2})? ?[AaPp][Mm]$"
+    # month names by their first three letters, halves of the day in capitals behind one space
+    named = F.regexp_replace(F.initcap(F.lower(F.regexp_replace(text, "[-, ]+", " "))), r"([A-Z][a-z]{2})[a-z]*", "$1")
+    halved = F.upper(F.regexp_replace(text, r" ?([AaPp][Mm])$", " $1"))
+    am_pm = " h:mm[:ss] a"
     return (
         F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"), text.try_cast("timestamp"))
         .when(text.rlike(r"^\d{4}/"), _attempt(text, f"yyyy/M/d{clock}"))
@@ -35,6 +40,13 @@ def parse_order_date(raw: Column) -> Column:
             _attempt(text, f"M/d/yyyy{clock}"), _attempt(text, f"d/M/yyyy{clock}")))
         .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}" + behind), F.coalesce(
             _two_digit_year(text, f"M/d/yy{clock}"), _two_digit_year(text, f"d/M/yy{clock}")))
+        .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}" + half), F.coalesce(
+            _attempt(halved, f"M/d/yyyy{am_pm}"), _attempt(halved, f"d/M/yyyy{am_pm}")))
+        .when(text.rlike(r"^\d{1,2}-\d{1,2}-\d{4}" + behind), F.coalesce(
+            _attempt(text, f"M-d-yyyy{clock}"), _attempt(text, f"d-M-yyyy{clock}")))
+        .when(text.rlike(r"^\d{1,2}[- ][A-Za-z]{3,9}[- ]\d{4}$"), _attempt(named, "d MMM yyyy"))
+        .when(text.rlike(r"^\d{1,2}[- ][A-Za-z]{3,9}[- ]\d{2}$"), _two_digit_year(named, "d MMM yy"))
+        .when(text.rlike(r"^[A-Za-z]{3,9} \d{1,2},? \d{4}$"), _attempt(named, "MMM d yyyy"))
     )
 
 

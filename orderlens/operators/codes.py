@@ -51,6 +51,26 @@ def category_codes(df: DataFrame, columns: Mapping[str, str] = FEATURE_COLUMNS)
     return coded.select("feature", "value", F.col("code").cast("int").alias("code"))
 
 
+def extend_codes(
+    codes: DataFrame, df: DataFrame, columns: Mapping[str, str] = FEATURE_COLUMNS
+) -> DataFrame:
+    """Stored codes as they are, and the next numbers for values they do not have, in value order.
+
+    A value keeps its code over all runs, also when it no longer occurs, so what was encoded
+    with earlier codes stays valid. Without stored codes these are :func:`category_codes`.
+    """
+    known = codes.select("feature", "value")
+    fresh = _distinct_values(df, columns).join(known, ["feature", "value"], "left_anti")
+    ensure_checkpoint_dir(df.sparkSession)
+    # one row per feature, so a broadcast is bounded
+    start = F.broadcast(cardinalities(codes))
+    code = F.col("code") + F.coalesce("cardinality", F.lit(0))
+    numbered = _codes_by_offset(fresh).join(start, "feature", "left")
+    return codes.select("feature", "value", "code").unionByName(
+        numbered.select("feature", "value", code.cast("int").alias("code"))
+    )
+
+
 def _codes_by_offset(values: DataFrame) -> DataFrame:
     # checkpointed, as counting and numbering must see the same partitions even after an
     # executor is lost; a monotonic id is the partition number in the high bits, the position in the low 33

@@ -159,6 +159,11 @@ def request_payload(instances: DataFrame) -> DataFrame:
     return instances.select("item_id", F.to_json(body).alias("payload"))
 
 
+def product_mapping(arrays: DataFrame) -> DataFrame:
+    """Product of each series, from the one row it has: no days are read or compared."""
+    return arrays.select("item_id", "product_id", *TEXT)
+
+
 def product_info(long: DataFrame) -> DataFrame:
     """Product of each item, one row per item."""
     return long.select("item_id", "product_id", *TEXT).distinct()

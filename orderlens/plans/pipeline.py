@@ -158,6 +158,42 @@ def training_sets(arrays: DataFrame) -> tuple[DataFrame, DataFrame]:
     return series.series_instances(arrays, mapping), mapping
 
 
+def store_training_sets(arrays: DataFrame, root: str, run_ts: str) -> None:
+    """Write instances, category codes and the product mapping of a training run, and commit it.
+
+    Codes go on from those of the newest committed run, so values keep their numbers over runs. Instances
+    are JSON lines in a folder per part. ``arrays`` as for :func:`training_sets`.
+    """
+    spark = arrays.sparkSession
+    before = files.committed_run(spark, root, "codes")
+    files.withdraw_run(spark, root, run_ts)
+    known = spark.createDataFrame([], codes.CODE_TABLE)
+    if before is not None:
+        known, _ = codes.load_codes(spark, f"{root}/codes/{before}")
+    mapping = codes.extend_codes(known, series.at_least(arrays))
+    if before == run_ts:  # read before it is replaced
+        mapping = stored(mapping, "codes")
+    codes.save_codes(mapping, f"{root}/codes/{run_ts}")
+    mapping, _ = codes.load_codes(spark, f"{root}/codes/{run_ts}")
+    files.write_instances(series.series_instances(arrays, mapping), f"{root}/instances/{run_ts}")
+    files.write_snapshot(series.product_mapping(arrays), f"{root}/product_mapping", run_ts)
+    files.commit_run(spark, root, run_ts, ["codes", "instances", "product_mapping"])
+
+
+def read_training_run(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Training and test instances, codes and product mapping of the newest committed training run."""
+    run = files.committed_run(spark, root, "instances")
+    if run is None:
+        raise FileNotFoundError(f"no committed training run below {root}")
+    mapping = spark.read.parquet(f"{root}/product_mapping").where(F.col("run_ts") == run)
+    return {
+        "train": files.read_instances(spark, f"{root}/instances/{run}/part=train"),
+        "test": files.read_instances(spark, f"{root}/instances/{run}/part=test"),
+        "codes": codes.load_codes(spark, f"{root}/codes/{run}")[0],
+        "product_mapping": mapping.drop("run_ts"),
+    }
+
+
 def stored_series(long: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """One row per series, stored, so that the history is grouped once."""
     return stored(series.series_arrays(long, products), "series")

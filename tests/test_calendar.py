@@ -100,3 +100,13 @@ def test_json_from_text(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     found = frame.select(json_from_text(F.col("t"), "a struct<b:int>").alias("j")).collect()
     assert [r["j"]["a"]["b"] if r["j"] else None for r in found] == [1, None, None, None, None]
+
+
+def test_more_date_layouts(spark):
+    texts = {
+        "8-Jul-24": (2024, 7, 8), "08-JULY-2024": (2024, 7, 8), "8 jul 1999": (1999, 7, 8), "8-Jul-99": (1999, 7, 8),
+        "Jul 8, 2024": (2024, 7, 8), "September 30 2024": (2024, 9, 30), "07-08-2024": (2024, 7, 8), "25-12-2024": (2024, 12, 25),
+        "07/08/2024 2:30 PM": (2024, 7, 8, 14, 30), "07/08/2024 12:05:09am": (2024, 7, 8, 0, 5, 9), "13-13-2024": None, "Foo 8, 2024": None, "8-Jul": None,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse_order_date(F.col("t")).alias("d"))
+    assert {r.t: r.d for r in rows.collect()} == {t: v and dt.datetime(*v) for t, v in texts.items()}

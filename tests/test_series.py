@@ -280,3 +280,35 @@ def test_ids_with_separators_do_not_mix_series(spark):
     assert series.product_info(long).count() == 3
     plain = spark.range(1).select(demand.item_id(F.lit("x"), F.lit("1"), F.lit("p")).alias("i")).first()
     assert plain["i"] == "x_1_p"
+
+
+def test_training_runs_keep_their_codes(spark, tmp_path):
+    root = str(tmp_path)
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
+
+    def arrays(facilities):
+        rows = [
+            (f"c_{f}_p", day(i), float(i), "c", f, "p", "name", cat) for f, cat in facilities for i in range(45)
+        ]
+        schema = "item_id string, timestamp timestamp, target_value double, customer_id string, facility_id string, product_id string, product_name string, category_name string"
+        return pipeline.stored_series(spark.createDataFrame(rows, schema))
+
+    def found():
+        return {(r.feature, r.value): r.code for r in pipeline.read_training_run(spark, root)["codes"].collect()}
+
+    with pytest.raises(FileNotFoundError):
+        pipeline.read_training_run(spark, root)
+    pipeline.store_training_sets(arrays([("f2", "dairy"), ("f5", "meat")]), root, "run-1")
+    first = found()
+    assert first == {("customer", "c"): 0, ("facility", "f2"): 0, ("facility", "f5"): 1, ("category", "dairy"): 0, ("category", "meat"): 1}
+    # f2 is gone, f1 and f3 are new: they get the next numbers although they sort first
+    later = arrays([("f1", "bread"), ("f3", "meat"), ("f5", "dairy")])
+    new = {("facility", "f1"): 2, ("facility", "f3"): 3, ("category", "bread"): 2}
+    for _ in range(2):  # the same run again gives the same codes
+        pipeline.store_training_sets(later, root, "run-2")
+        assert found() == {**first, **new}
+    run = pipeline.read_training_run(spark, root)
+    cats = {r.item_id: r.cat for r in run["train"].collect()}
+    assert cats == {"c_f1_p": [0, 2, 2], "c_f3_p": [0, 3, 1], "c_f5_p": [0, 1, 0]}
+    assert run["test"].count() == 3 and len(run["test"].first().target) == 31
+    assert sorted(map(tuple, run["product_mapping"].collect())) == [(f"c_{f}_p", "p", "name", c) for f, c in [("f1", "bread"), ("f3", "meat"), ("f5", "dairy")]]
