@@ -31,7 +31,7 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -117,13 +117,14 @@ class Aligner:
         a = [e.ids for e in self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
         whole = [b" " + x.encode() for x in texts]
-        good, out = np.ones(len(texts), dtype=bool), []
+        ends, good, out = _offsets(np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))), np.ones(len(texts), dtype=bool), []
         for lists, (data, starts, sizes) in zip((a, b), self.tokens, strict=True):
             counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-            ids = np.fromiter((i for ids in lists for i in ids), dtype=np.int64, count=int(counts.sum()))
+            ids = np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(counts.sum()))
             joined = data[ragged(starts[ids], sizes[ids])].tobytes()
             edges = _offsets(sizes[ids])[_offsets(counts)]
-            good &= [joined[i:j] == x for x, (i, j) in zip(whole, _spans(edges), strict=True)]
+            if not np.array_equal(edges, ends) or joined != b"".join(whole):
+                good &= [joined[i:j] == x for x, (i, j) in zip(whole, _spans(edges), strict=True)]
             out.append((ids, counts))
         return [(ids[np.repeat(good, counts)], np.where(good, counts, 0)) for ids, counts in out], good
 
