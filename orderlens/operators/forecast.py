@@ -253,7 +253,7 @@ def forecast_insight_stats(scored: DataFrame, keys: list[str], day: str = "times
 def analyst_payload(stats: DataFrame, keys: list[str]) -> DataFrame:
     """Forecast statistics of each pair's products as a JSON column.
 
-    For the top products of a pair, ten by default: a list per pair is built.
+    A list per pair is built, so a pair of very many products makes one long row.
     """
     rest = [name for name in stats.columns if name not in keys]
     rows = F.sort_array(F.collect_list(F.struct(*rest)))

@@ -36,7 +36,7 @@ ABSENT_FIELDS = {
 
 
 def product_outlook(forecast: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
-    """One row per forecast product: its rank within the pair and what to order.
+    """One row per forecast product: its score within the pair and what to order.
 
     ``forecast`` holds dated quantiles with the product's text and OrderCount. The
     score weighs predicted demand, order history and trend. Every table below is a
@@ -61,7 +61,6 @@ def product_outlook(forecast: DataFrame, as_of: Column, days: int = 7) -> DataFr
     score = (
         F.col("avg_predicted") * 0.7 + (F.col("OrderCount") / 100) * 0.3 + F.col("trend_score") * 0.1
     )
-    best = Window.partitionBy(*PAIR).orderBy(F.desc("combined_score"), "ProductID")
     average, trend = F.col("avg_predicted"), F.col("trend_score")
     confidence = F.when(
         average > 0, clamp(100 - F.try_divide(F.col("width"), average) * 50, 50.0, 95.0)
@@ -72,7 +71,6 @@ def product_outlook(forecast: DataFrame, as_of: Column, days: int = 7) -> DataFr
     )
     return (
         per_product.withColumn("combined_score", score)
-        .withColumn("rank", F.row_number().over(best))
         .withColumns(
             {
                 "product_id": F.col("ProductID"),
@@ -93,6 +91,16 @@ def product_outlook(forecast: DataFrame, as_of: Column, days: int = 7) -> DataFr
     )
 
 
+def ranked(outlook: DataFrame, k: int | None = None) -> DataFrame:
+    """Products with their rank within the pair; with ``k`` the best only.
+
+    The limit sits on the ranking window, so a task sends its k best products of a pair and no more.
+    """
+    best = Window.partitionBy(*PAIR).orderBy(F.desc("combined_score"), "ProductID")
+    rows = outlook.withColumn("rank", F.row_number().over(best))
+    return rows if k is None else rows.where(F.col("rank") <= k)
+
+
 RECOMMENDED = [
     "product_name",
     "product_id",
@@ -105,8 +113,7 @@ RECOMMENDED = [
 
 def recommendations(outlook: DataFrame, k: int = 5) -> DataFrame:
     """The k best products of each customer and facility, with quantity and order date."""
-    chosen = outlook.where(F.col("rank") <= k)
-    return chosen.select(*PAIR, "rank", *RECOMMENDED, "combined_score", "trend")
+    return ranked(outlook, k).select(*PAIR, "rank", *RECOMMENDED, "combined_score", "trend")
 
 
 def ordering_schedule(recommended: DataFrame) -> DataFrame:
@@ -122,21 +129,28 @@ def ordering_schedule(recommended: DataFrame) -> DataFrame:
     )
 
 
-def _counts(k: int) -> dict[str, Column]:
-    """Aggregates of a pair's outlook: products, recommendations, confidence, dates."""
-    chosen = F.col("rank") <= k
-    return {
-        "total_products": F.count(F.lit(1)),
-        "recommended": count_where(chosen),
-        "high_confidence": count_where(chosen & (F.col("confidence") > HIGH_CONFIDENCE)),
-        "avg_confidence": F.coalesce(F.avg(F.when(chosen, F.col("confidence"))), F.lit(0.0)),
-        "coming_demand": F.sum("coming_demand"),
+def _pair_counts(outlook: DataFrame, k: int) -> DataFrame:
+    """Per pair: products, recommendations, confidence, demand and dates.
+
+    Sums over all products are combined before the shuffle, and only the k best products of a pair are
+    ranked, so a pair of very many products is no group of that size.
+    """
+    totals = outlook.groupBy(*PAIR).agg(
+        F.count(F.lit(1)).alias("total_products"), F.sum("coming_demand").alias("coming_demand")
+    )
+    best = outlook.select(*SERIES, "combined_score", "confidence", "optimal_order_date")
+    chosen = ranked(best, k).groupBy(*PAIR).agg(
+        F.count(F.lit(1)).alias("recommended"),
+        count_where(F.col("confidence") > HIGH_CONFIDENCE).alias("high_confidence"),
+        F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"),
         # the best recommendation opens the schedule
-        "next_date": F.min_by("optimal_order_date", "rank"),
-    }
+        F.min_by("optimal_order_date", "rank").alias("next_date"),
+    )
+    return totals.join(chosen, PAIR)
 
 
 def _insights() -> dict[str, Column]:
+    # Insight texts.
     return {
         "seasonal_trends": F.format_string(
             "Analysis based on %d products with varying demand patterns. "
@@ -158,8 +172,7 @@ def _insights() -> dict[str, Column]:
 
 def recommendation_insights(outlook: DataFrame, k: int = 5) -> DataFrame:
     """Counts and texts about the recommendations of each pair."""
-    counts = outlook.groupBy(*PAIR).agg(*[c.alias(name) for name, c in _counts(k).items()])
-    return counts.drop("coming_demand", "next_date").withColumns(_insights())
+    return _pair_counts(outlook, k).drop("coming_demand", "next_date").withColumns(_insights())
 
 
 def high_confidence_products(
@@ -182,6 +195,7 @@ def high_confidence_products(
 
 
 def _summary() -> dict[str, Column]:
+    # Names of the summary's fields.
     return {
         "total_products_analyzed": F.col("total_products"),
         "total_predicted_demand_7days": F.col("coming_demand"),
@@ -194,8 +208,7 @@ def _summary() -> dict[str, Column]:
 
 def prediction_summary(outlook: DataFrame, k: int = 5) -> DataFrame:
     """Summary of each pair: products, demand of the next days, confidence, next order date."""
-    counts = outlook.groupBy(*PAIR).agg(*[c.alias(name) for name, c in _counts(k).items()])
-    return counts.select(*PAIR, *[c.alias(name) for name, c in _summary().items()])
+    return _pair_counts(outlook, k).select(*PAIR, *[c.alias(name) for name, c in _summary().items()])
 
 
 # --- reports --------------------------------------------------------------------------
@@ -275,10 +288,11 @@ def _schedule(recommended: Column) -> Column:
 
 
 def prediction_bundle(outlook: DataFrame, as_of: Column, k: int = 5) -> DataFrame:
-    """The full nested result of every customer and facility: one aggregate of the outlook.
+    """The full nested result of every customer and facility.
 
-    A pair has at most ten forecast products of at most two weeks each, so its
-    arrays are small whatever the history behind them.
+    It lists the predictions of all products of a pair, in rank order, as one row: a pair of very many
+    products makes one long row. :func:`recommendations`, :func:`prediction_summary` and
+    :func:`recommendation_insights` give the same without such lists.
     """
     day = F.transform("predictions", lambda p: F.struct(p["ds"].cast("string"), p["q"]))
     product = F.struct(
@@ -298,13 +312,13 @@ def prediction_bundle(outlook: DataFrame, as_of: Column, k: int = 5) -> DataFram
             *[c for c in ["mock_data"] if c in outlook.columns],
         ).alias("prediction"),
     )
-    grouped = outlook.groupBy(*PAIR).agg(
+    listed = ranked(outlook).groupBy(*PAIR).agg(
         F.array_sort(
             F.collect_list(product),
             lambda a, b: (a["rank"] - b["rank"]).cast("int"),
-        ).alias("products"),
-        *[c.alias(name) for name, c in _counts(k).items()],
+        ).alias("products")
     )
+    grouped = listed.join(_pair_counts(outlook, k), PAIR)
     listed = F.transform(
         F.filter("products", lambda p: p["rank"] <= k),
         lambda p: F.struct(*[p[name].alias(name) for name in RECOMMENDED]),

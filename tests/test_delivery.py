@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.operators import forecast, lookups, quality
+from orderlens.operators import forecast, lookups, quality, recommend
 from orderlens.plans import pipeline
 from orderlens.plans.catalog import _damaged
 from orderlens.schema import SERIES
@@ -231,3 +231,25 @@ def test_a_file_under_a_new_name_counts_once(spark, tmp_path):
     assert ingest.delivered_once(lines, str(tmp_path / "other"), 0).count() == 20
     assert ingest.delivered_once(lines.withColumn(ingest.SOURCE_FILE, F.lit("y")), str(tmp_path / "other"), 1).count() == 0
     assert ingest.delivered_once(lines.limit(0), str(tmp_path / "other"), 2).count() == 0
+
+
+def test_a_pair_of_very_many_products(spark):
+    """Top products and counts of a hot pair, beside a small one, without ranking all of its products."""
+    n = 100_000
+    hot = spark.range(n).select(F.lit("c").alias("CustomerID"), F.lit("f").alias("FacilityID"), F.format_string("p%06d", "id").alias("ProductID"), ((F.col("id") * 7919) % n).cast("double").alias("p50"))
+    cold = spark.range(3).select(F.lit("d").alias("CustomerID"), F.lit("f").alias("FacilityID"), F.format_string("p%d", "id").alias("ProductID"), F.lit(2.0).alias("p50"))
+    rows = hot.union(cold).select("*", (F.col("p50") / 2).alias("p10"), (F.col("p50") * 2).alias("p90"), F.col("p50").alias("mean"), F.lit(DAY).alias("ds"), F.lit("n").alias("ProductName"), F.lit(4).alias("OrderCount"))
+    outlook = recommend.product_outlook(rows, F.lit(DAY))
+    chosen = recommend.recommendations(outlook)
+    got = {(r.CustomerID, r["rank"]): r.product_id for r in chosen.collect()}
+    values = sorted(((-(i * 7919 % n), f"p{i:06d}") for i in range(n)))[:5]
+    assert [got["c", k] for k in range(1, 6)] == [p for _, p in values]
+    assert [got.get(("d", k)) for k in range(1, 5)] == ["p0", "p1", "p2", None]
+    summary = {r.CustomerID: r for r in recommend.prediction_summary(outlook).collect()}
+    assert (summary["c"].total_products_analyzed, summary["c"].recommended_products_count) == (n, 5)
+    assert (summary["d"].total_products_analyzed, summary["d"].recommended_products_count) == (3, 3)
+    assert summary["c"].total_predicted_demand_7days == sum(range(n)) and summary["d"].total_predicted_demand_7days == 6.0
+    plan = _plan(recommend.prediction_summary(outlook))
+    assert "WindowGroupLimit" in _plan(chosen) and "WindowGroupLimit" in plan
+    # each window stands on a group limit that was applied before its exchange
+    assert plan.count("WindowGroupLimit") >= 2 and plan.count("Final") >= 1 and plan.count("Partial") >= 1
