@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orderlens.llm import byte_pairs, catalog, spelling, token_alignment
+from orderlens.llm import byte_pairs, catalog, spelling, token_alignment, url_rules
 
 ODD = "doc_id bigint, text string, ids string, slice string, digest string, word string, n bigint, cell int, source string"
 EXTRA = ("i", "s", "d", "w", 1, 2, "k")
@@ -242,3 +243,15 @@ def test_queries_have_the_contracts_columns(spark, folder):
         assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in got.schema) == columns
     rows = catalog.op11_byte_pairs(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id")
     assert rows.where(F.col("decoded_sha256") != F.sha2(F.coalesce("text", F.lit("")), 256)).count() == 0
+
+
+def test_url_rules_take_long_urls_in_proportion():
+    rules = [("block", "a.org", "/x"), ("allow", "a.org", "/x" + "y" * 50), ("block", "org", "/"), ("allow", "a.org", "/x" + "y" * 50 + "/z"), ("block", "a.org", "")]
+    (trie,) = url_rules.tries(rules, 10)
+    start = time.perf_counter()
+    for path in ("/x" + "y" * 1_000_000, "/" + "q" * 1_000_000, "/x" * 300_000, "/" * 300_000, "", "/x" + "y" * 49, "/x" + "y" * 50 + "/zz"):
+        for host in ("a.org", "b.a.org", "c.org", "com"):
+            fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+            want = max(fits, key=lambda r: len(r[1]) + len(r[2]), default=None)
+            assert url_rules.best_rule(trie, host, path) == want
+    assert time.perf_counter() - start < 20
