@@ -658,6 +658,7 @@ def baseline_forecast_fallback(spark, folder):
     return rows.select(*BASELINE_COLUMNS, F.col("mock_data").cast("int").alias("mock_data"))
 
 
+@query
 def model_forecast_fallback(spark, folder):
     def last_and_range(rows: pd.DataFrame) -> pd.DataFrame:
         """Repeats the last quantity, between the least and the largest; refuses some series."""
