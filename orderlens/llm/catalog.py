@@ -126,7 +126,8 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_search(spark: SparkSession, folder: str) -> DataFrame:
-    return search.top_k(read(spark, folder, "documents", "doc_id", "text"), F.col("doc_id") % 100 == 0)
+    found = search.top_k(read(spark, folder, "documents", "doc_id", "text"), F.col("doc_id") % 100 == 0)
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op11_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:

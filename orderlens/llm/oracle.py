@@ -110,9 +110,27 @@ ends AS (SELECT walk.word, root FROM walk JOIN forms ON forms.word = root WHERE
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
 """
 
+# scores are rounded before they are ranked, so that equal texts tie whatever the order of their sums
+OP10 = rf"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all({lowered("text")}, '[^\x20\x09-\x0D]+')) AS word FROM documents),
+tf AS (SELECT doc_id, word, count(*) AS c FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+corpus AS (SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT count(*) FROM words) AS n_words),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+scored AS (
+  SELECT q.doc_id AS query_id, tf.doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5))
+    * tf.c * 2.2 / (tf.c + 1.2 * (0.25 + 0.75 * n / (n_words / n_docs)))), 9) AS score
+  FROM tf q JOIN tf USING (word) JOIN df USING (word) JOIN lengths ON lengths.doc_id = tf.doc_id, corpus
+  WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
     "op1_decontamination": OP1,
     "op2_warc": OP2,
     "op7_url_rules": OP7,
+    "op10_search": OP10,
     "op12_spelling": OP12,
 }

@@ -360,6 +360,38 @@ def test_search(spark, docs, rows):
     assert search.top_k(docs.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_search_ids_and_ties(spark, monkeypatch, kind):
+    """Ids, ranks and ties over many small shards and blocks, with ids of both kinds."""
+    monkeypatch.setattr(search, "SHARD_BYTES", 1500)
+    monkeypatch.setattr(search, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(search, "SLICE_BYTES", 400)
+    monkeypatch.setattr(search, "SEED_BLOCKS", 1)
+    monkeypatch.setattr(search, "ROUND_BLOCKS", 1)
+    monkeypatch.setattr(search, "BLOCK_TERMS", 60)
+    rng = random.Random(8)
+    rare = [f"r{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(["the", "of", "and", *rng.sample(rare, 6)], k=rng.randint(1, 25))) for _ in range(200)]
+    texts += texts[:60] + [texts[0]] * 12
+    ids = [i if kind == "bigint" else f"d{i}" for i in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string").repartition(3)
+    queries = set(ids[:20])
+    got = collections.defaultdict(list)
+    for r in search.top_k(docs, F.col("doc_id").isin(list(queries)), 7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.doc_id)
+    bags = {i: collections.Counter(t.split()) for i, t in zip(ids, texts, strict=True)}
+    n, mean = len(bags), sum(sum(b.values()) for b in bags.values()) / len(bags)
+    df = collections.Counter(w for b in bags.values() for w in b)
+    for q in queries:
+        scores = []
+        for i, b in bags.items():
+            norm = 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)
+            s = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + norm) for w in bags[q] if w in b)
+            if s:
+                scores.append((-round(s, 9), i))
+        assert got[q] == [i for _, i in sorted(scores)[:7]]
+
+
 def test_pipeline(spark, folder, rows):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     extra = docs.withColumn("score", F.lit(1)).withColumn("kept", F.lit("x"))
