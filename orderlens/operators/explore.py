@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.functions.stats import count_where
 
 
 def orders_by_day(lines: DataFrame, ts: str = "CreateDate") -> DataFrame:
@@ -34,20 +33,38 @@ def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
 
 
 def dataset_overview(lines: DataFrame, ts: str = "CreateDate") -> DataFrame:
-    """Row count, date range, null counts and distinct ids of a table, in one row."""
-    ids = ["CustomerID", "FacilityID", "ProductID", "OrderID", "VendorID"]
-    day = F.to_date(ts)
-    plain = [
-        F.count(F.lit(1)).alias("total_records"),
-        F.min(day).alias("start_date"),
-        F.max(day).alias("end_date"),
-        F.datediff(F.max(day), F.min(day)).alias("span_days"),
-        *[count_where(F.col(c).isNull()).alias(f"nulls_{c.lower()}") for c in lines.columns],
-    ]
-    distinct = [
-        F.count_distinct(F.col(c)).alias(f"unique_{c.lower()}") for c in ids if c in lines.columns
-    ]
-    return lines.agg(*plain, *distinct).withColumn("total_columns", F.lit(len(lines.columns)))
+    """Row count, date range, null counts and distinct ids of a table, in one row.
+
+    One scan and one reduction: a row gives one cell (column, value) per id column and one cell with its day
+    and the places of its nulls. Equal cells are counted before the shuffle, so what is shuffled
+    are the distinct ids, whatever their columns, and the few distinct pairs of day and null places.
+    """
+    ids = [c for c in ["CustomerID", "FacilityID", "ProductID", "OrderID", "VendorID"] if c in lines.columns]
+
+    def cell(part: int, value: Column, day: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), value.cast("string").alias("value"), day.alias("day"))
+
+    no_day, row = F.lit(None).cast("date"), len(ids)
+    blanks = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in lines.columns])
+    cells = F.array(*[cell(i, F.col(c), no_day) for i, c in enumerate(ids)], cell(row, blanks, F.to_date(ts)))
+    counts = lines.select(F.inline(cells)).groupBy("part", "value", "day").agg(F.count(F.lit(1)).alias("n"))
+    is_row = F.col("part") == row
+    total = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+    start, end = F.min("day"), F.max("day")
+    return counts.agg(
+        total(is_row).alias("total_records"),
+        start.alias("start_date"),
+        end.alias("end_date"),
+        F.datediff(end, start).alias("span_days"),
+        *[
+            total(is_row & (F.substring("value", i, 1) == "1")).alias(f"nulls_{c.lower()}")
+            for i, c in enumerate(lines.columns, 1)
+        ],
+        *[
+            F.count_if((F.col("part") == i) & F.col("value").isNotNull()).alias(f"unique_{c.lower()}")
+            for i, c in enumerate(ids)
+        ],
+    ).withColumn("total_columns", F.lit(len(lines.columns)))
 
 
 def series_lengths(daily: DataFrame, series: list[str]) -> DataFrame:

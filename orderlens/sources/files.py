@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,9 @@ from pyspark.sql import types as T
 from orderlens.schema import ORDER_LINE
 from orderlens.sources.conform import SPELLINGS, conform, fold_name
 
+#: Without one of these columns a file holds no order lines.
+REQUIRED = ["CreateDate", "ProductID"]
+
 INSTANCE = T.StructType(
     [
         T.StructField("start", T.StringType()),
@@ -63,6 +68,91 @@ def read_orders_csv(spark: SparkSession, path: str | list[str], fill_absent: boo
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+#: A header line longer than this many bytes is no header.
+HEADER_BYTES = 1 << 16
+
+FILE_ISSUE = "path string, issue string"
+
+
+def literal_path(path: str) -> str:
+    """A path whose pattern letters stand for themselves."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def read_header(spark: SparkSession, path: str) -> bytes:
+    """The first line of a file, unpacked by its ending; at most HEADER_BYTES are read."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    where = hadoop.fs.Path(path)
+    stream = where.getFileSystem(conf).open(where)
+    try:
+        codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
+        reader = hadoop.util.LineReader(codec.createInputStream(stream) if codec else stream)
+        line = hadoop.io.Text()
+        if reader.readLine(line, HEADER_BYTES, HEADER_BYTES) >= HEADER_BYTES:
+            raise ValueError("the first line has no end")
+        return bytes(line.copyBytes())
+    finally:
+        stream.close()
+
+
+def header_names(line: bytes) -> list[str]:
+    """Column names of a CSV header line; ValueError says why it is none of an order file."""
+    try:
+        text = line.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        raise ValueError("the first line is not UTF-8") from None
+    names = next(csv.reader([text]), [])
+    if not any(name.strip() for name in names):
+        raise ValueError("no header")
+    if len({name.lower() for name in names}) < len(names):
+        raise ValueError("a column name occurs twice")
+    folded = {fold_name(name) for name in names}
+    absent = [c for c in REQUIRED if not folded.intersection(SPELLINGS[c])]
+    if absent:
+        raise ValueError("no column for " + ", ".join(absent))
+    return names
+
+
+def read_order_files(
+    spark: SparkSession, paths: list[str], fill_absent: bool = True, file_column: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Order lines of CSV files with any mix of headers, and (path, issue) of the files that cannot be read.
+
+    The driver looks at the first line of each file only. Files with the same header are scanned together, so
+    there is a scan per header, not per file. A file without a usable header is named in the second
+    table and left out; the others go on. ``file_column`` adds the name of a line's file. Without
+    any usable file the lines are an empty table of all columns.
+    """
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    issues = []
+    for path in dict.fromkeys(paths):  # a file named twice is read once
+        try:
+            names = header_names(read_header(spark, path))
+        except (ValueError, Py4JJavaError) as problem:
+            text = problem.java_exception.toString() if isinstance(problem, Py4JJavaError) else str(problem)
+            issues.append((path, text))
+        else:
+            by_header.setdefault(tuple(names), []).append(path)
+    keep = (file_column,) if file_column else ()
+    frames = []
+    for same in by_header.values():
+        raw = read_raw_csv(spark, [literal_path(path) for path in same])
+        if file_column:
+            raw = raw.withColumn(file_column, F.col("_metadata.file_path"))
+        frames.append(conform(raw, fill_absent, keep))
+    if not frames:
+        empty = empty_order_lines(spark)
+        frames.append(empty.withColumn(file_column, F.lit("")) if file_column else empty)
+    lines = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return lines, spark.createDataFrame(issues, FILE_ISSUE)
+
+
+def order_file_names(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[str]:
+    """The files of a folder that hold any bytes, by name; contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return [row.path for row in found.select("path").orderBy("path").toLocalIterator()]
+
+
 def header_schema(header: list[str]) -> T.StructType:
     """All-text schema for a streaming CSV source, from its header."""
     return T.StructType([T.StructField(name, T.StringType()) for name in header])

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from orderlens.plans.pipeline import build_outputs, validate_lines
 from orderlens.sources.conform import conform
-from orderlens.sources.files import header_schema
+from orderlens.sources.files import header_schema, read_order_files
 
 
 #: Column that names the file a line came from.
@@ -120,6 +120,40 @@ def ingest_orders(stream: DataFrame, root: str, checkpoint: str, ledger: str | N
     return _start(stream, work, checkpoint)
 
 
+def arriving_files(
+    spark: SparkSession, folder: str, files_per_batch: int = 1000, pattern: str = "*.csv"
+) -> DataFrame:
+    """Stream of the names of files that appear in a folder; their contents are not read."""
+    reader = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("pathGlobFilter", pattern)
+        .option("maxFilesPerTrigger", files_per_batch)
+    )
+    return reader.load(folder).select("path")
+
+
+def ingest_order_files(
+    names: DataFrame, root: str, checkpoint: str, quarantine: str, ledger: str | None = None
+) -> StreamingQuery:
+    """As :func:`ingest_orders`, for files with any mix of headers, from a stream of their names.
+
+    A file without a usable header does not stop the stream: its name and the reason are written below
+    ``quarantine`` under the batch's number. A batch collects the names of its own files only.
+    """
+
+    def work(batch_names: DataFrame, batch: int) -> None:
+        paths = sorted({row.path for row in batch_names.collect()})
+        file_column = SOURCE_FILE if ledger is not None else None
+        lines, issues = read_order_files(batch_names.sparkSession, paths, file_column=file_column)
+        issues.write.mode("overwrite").json(f"{quarantine}/batch={run_name(batch)}")
+        if ledger is not None:
+            lines = delivered_once(lines, ledger, batch).drop(SOURCE_FILE)
+        build_outputs(lines, root, run_name(batch))
+
+    return _start(names, work, checkpoint)
+
+
 def validate_orders(stream: DataFrame, as_of: dt.date, root: str, checkpoint: str) -> StreamingQuery:
     """Write the check table and the summary of each batch of order lines."""
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.operators import forecast, lookups, quality, recommend
+from orderlens.operators import explore, forecast, lookups, quality, recommend
 from orderlens.plans import pipeline
 from orderlens.plans.catalog import _damaged
 from orderlens.schema import SERIES
@@ -253,3 +253,77 @@ def test_a_pair_of_very_many_products(spark):
     assert "WindowGroupLimit" in _plan(chosen) and "WindowGroupLimit" in plan
     # each window stands on a group limit that was applied before its exchange
     assert plan.count("WindowGroupLimit") >= 2 and plan.count("Final") >= 1 and plan.count("Partial") >= 1
+
+
+MIXED = {
+    "a.csv": "CreateDate,CustomerID,FacilityID,ProductID,Quantity\n2024-01-01,C1,F1,P1,2\n2024-01-02,C1,F1,P1,3\n",
+    "b [1].csv": "product_id,Create Date,customer_id,FacilityID,Quantity,Note\nP1,2024-01-03,C1,F1,4,hello\n",
+    "c.csv": "CreateDate,CustomerID,FacilityID,ProductID,Quantity\n2024-01-04,C1,F1,P2,5\n",
+    "empty.csv": "\n",
+    "no_bytes.csv": "",  # holds nothing; Spark's file listing passes over it
+    "twice.csv": "ProductID,CreateDate,productid\nP1,2024-01-01,P2\n",
+    "other.csv": "name,colour\nx,red\n",
+    "bytes.csv": b"\xff\xfe\x00\x01\n",
+    "endless.csv": "x" * 200_000,
+}
+
+
+@pytest.fixture
+def mixed(tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    for name, content in MIXED.items():
+        (inbox / name).write_bytes(content if isinstance(content, bytes) else content.encode())
+    return inbox
+
+
+def test_files_with_mixed_headers(spark, mixed):
+    paths = [*files.order_file_names(spark, str(mixed)), f"{mixed}/gone.csv"]
+    lines, issues = files.read_order_files(spark, paths, file_column="file")
+    got = {(str(r.CreateDate)[:10], r.CustomerID, r.ProductID, r.file.rsplit("/", 1)[1]) for r in lines.collect()}
+    assert got == {
+        ("2024-01-01", "C1", "P1", "a.csv"),
+        ("2024-01-02", "C1", "P1", "a.csv"),
+        ("2024-01-03", "C1", "P1", "b%20%5B1%5D.csv"),
+        ("2024-01-04", "C1", "P2", "c.csv"),
+    }
+    reasons = {r.path.rsplit("/", 1)[1]: r.issue for r in issues.collect()}
+    assert reasons.keys() == {"empty.csv", "twice.csv", "other.csv", "bytes.csv", "endless.csv", "gone.csv"}
+    assert reasons["twice.csv"] == "a column name occurs twice" and "CreateDate" in reasons["other.csv"]
+    # files with the same header share a scan
+    assert _plan(lines).count("FileScan csv") == 2
+    none, _ = files.read_order_files(spark, [f"{mixed}/empty.csv"])
+    assert none.count() == 0 and none.columns == conform(none).columns
+
+
+@pytest.mark.parametrize("with_ledger", [False, True])
+def test_a_bad_file_does_not_stop_the_stream(spark, mixed, tmp_path, with_ledger):
+    root, bad = str(tmp_path / "out"), str(tmp_path / "bad")
+    ledger = str(tmp_path / "ledger") if with_ledger else None
+
+    def run():
+        names = ingest.arriving_files(spark, str(mixed), 3)
+        ingest.ingest_order_files(names, root, str(tmp_path / "at"), bad, ledger).awaitTermination()
+
+    run()
+    (mixed / "late.csv").write_text("Quantity,ProductID,CreateDate,CustomerID,FacilityID\n7,P3,2024-01-05,C2,F1\n")
+    (mixed / "later.csv").write_text("nothing\n")
+    (mixed / "again.csv").write_text(MIXED["a.csv"])
+    run()
+    lines = spark.read.parquet(f"{root}/processed/order_lines")
+    days = sorted(str(r.CreateDate)[8:10] for r in lines.collect())
+    assert days == (["01", "02", "03", "04", "05"] if with_ledger else ["01", "01", "02", "02", "03", "04", "05"])
+    assert {r.path.rsplit("/", 1)[1] for r in spark.read.schema(files.FILE_ISSUE).json(bad).collect()} == {
+        "empty.csv", "twice.csv", "other.csv", "bytes.csv", "endless.csv", "later.csv"
+    }
+
+
+def test_overview_takes_one_reduction(spark, lines):
+    got = explore.dataset_overview(lines)
+    plan = _plan(got)
+    assert "Expand" not in plan
+    row = got.first()
+    assert row.total_records == lines.count()
+    assert row.unique_productid == lines.select("ProductID").where("ProductID IS NOT NULL").distinct().count()
+    none = explore.dataset_overview(lines.limit(0)).first()
+    assert (none.total_records, none.unique_orderid, none.nulls_orderid, none.start_date) == (0, 0, 0, None)
