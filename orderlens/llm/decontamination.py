@@ -84,13 +84,19 @@ class ItemAutomaton:
 
     def finish(self) -> ItemAutomaton:
         """Note which states stand for a whole window or a whole short item, and whose."""
+        by_length = sorted(range(len(self.next)), key=self.length.__getitem__)
+        # the state on the way of suffix links (itself included) that stands for the last window's words
+        self.windowed = [0] * len(self.next)
+        for state in by_length[1:]:
+            above = self.link[state]
+            self.windowed[state] = self.windowed[above] if self.length[above] >= self.window else state
         full: dict[int, set[str]] = {}
         for item_id, words in self.parts:
             state, own = 0, set() if item_id is None else {item_id}
             for i, word in enumerate(words, 1):
                 state = self.next[state][word]
                 if i >= self.window:
-                    full.setdefault(self._window_state(state), set()).update(own)
+                    full.setdefault(self.windowed[state], set()).update(own)
             if 0 < len(words) < self.window:
                 full.setdefault(state, set()).update(own)
                 self.short[state] = len(words)
@@ -98,7 +104,7 @@ class ItemAutomaton:
         self.items_of = full
         # the nearest state on the way of suffix links (itself included) that is a short item
         self.near = [-1] * len(self.next)
-        for state in sorted(range(len(self.next)), key=self.length.__getitem__):
+        for state in by_length:
             self.near[state] = state if state in self.short else self.near[self.link[state]] if state else -1
         return self
 
@@ -112,15 +118,10 @@ class ItemAutomaton:
         vars(automaton).update(state)
         return automaton
 
-    def _window_state(self, state: int) -> int:
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
-
     def hits(self, pieces: Iterator[list[bytes]]) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Words seen, disjoint runs (first word, end) that are hit, and the items whose windows occur."""
         following, link, length, window = self.next, self.link, self.length, self.window
-        near, any_short = self.near, bool(self.short)
+        near, any_short, windowed = self.near, bool(self.short), self.windowed
         state = matched = at = 0
         runs: list[tuple[int, int]] = []
         found: set[int] = set()
@@ -141,7 +142,7 @@ class ItemAutomaton:
                 state = to
                 matched += 1
                 if matched >= window:
-                    found.add(self._window_state(state))
+                    found.add(windowed[state])
                     self._mark(runs, at - window, at)
                 if any_short:
                     ending = near[state]
@@ -294,22 +295,30 @@ def decontaminated(
     names = docs.columns
     place, sized = names.index(text), names.index(length) if length in names else None
 
-    def clean(value: str | None, first: tuple) -> str | None:
-        n, runs, _ = first
-        if sum(b - a for a, b in runs) > max_coverage * n:
-            return None
-        while runs := [(a, b) for a, b in runs if b - a >= max_span or b - a < window]:
-            value = cut_runs(value, runs)
-            _, runs, _ = _scan([value], blocks)[0]
-        return value
+    def cleaned(texts: list[str | None], found: list[tuple]) -> dict[int, str | None]:
+        """The new texts of the documents that are hit, None for those that go; a round rescans all cut texts together."""
+        new: dict[int, str | None] = {}
+        open_ = {}
+        for i, (n, runs, _) in enumerate(found):
+            if runs and sum(b - a for a, b in runs) > max_coverage * n:
+                new[i] = None
+            elif runs:
+                open_[i] = (texts[i], runs)
+        while open_:
+            cut = {}
+            for i, (value, runs) in open_.items():
+                new[i] = value
+                if runs := [(a, b) for a, b in runs if b - a >= max_span or b - a < window]:
+                    cut[i] = cut_runs(value, runs)
+            again = _scan(list(cut.values()), blocks) if cut else []
+            open_ = {i: (value, runs) for (i, value), (_, runs, _) in zip(cut.items(), again, strict=True)}
+        return new
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            found = _scan(texts, blocks)
-            hit = [i for i, (_, runs, _) in enumerate(found) if runs]
-            if hit:
-                new = {i: clean(texts[i], found[i]) for i in hit}
+            new = cleaned(texts, _scan(texts, blocks))
+            if new:
                 keep = [i not in new or new[i] is not None for i in range(len(texts))]
                 columns = batch.columns
                 columns[place] = pa.array([new.get(i, t) for i, t in enumerate(texts)], batch.schema.field(place).type)
