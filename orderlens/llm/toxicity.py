@@ -105,7 +105,11 @@ def _sampled(ids: DataFrame, most: int, seed: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, in_training: Column) -> ToxicModel:
-    """Learns from documents and labels whose doc_id meets ``in_training``."""
+    """Learns from documents and labels whose doc_id meets ``in_training``.
+
+    A doc_id of several rows counts once, with its greatest text in code-point order, so repeated rows
+    change nothing. Its label is 1 where any of its labels is.
+    """
     docs = docs.select("doc_id", "text").where(in_training & F.col("doc_id").isNotNull())
     marked = (
         labels.select("doc_id", "toxic").where(in_training).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -121,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column) -> ToxicModel
         [(i, True) for i in positives] + [(i, False) for i in unlabelled],
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, positive boolean",
     )
-    sample = docs.join(F.broadcast(both), "doc_id")
+    sample = docs.join(F.broadcast(both), "doc_id").groupBy("doc_id", "positive").agg(F.max("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter(), Counter()
@@ -158,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column) -> ToxicModel
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = sample.select("doc_id", "text", "positive").mapInArrow(present, f"doc_id {kind}, words array<int>, positive boolean")
-    rows = sorted(rows.dropDuplicates(["doc_id", "positive"]).collect(), key=lambda r: (r["positive"], r["doc_id"]))
+    rows = sorted(rows.collect(), key=lambda r: (r["positive"], r["doc_id"]))
     matrices = []
     for positive in (True, False):
         own = [r["words"] for r in rows if r["positive"] == positive]

@@ -7,6 +7,7 @@ import gzip
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -142,6 +143,9 @@ def test_toxicity(spark):
     model = toxicity.train(docs, labels, F.col("doc_id") < 400)
     got = {r.doc_id: r.toxic_score for r in toxicity.scored(docs, model).collect()}
     assert all((got[i] >= 0.5) == (i % 6 == 0) for i in range(400, 600)) and got[None] >= 0.5 > got[601] == got[602]
+    repeated = docs.crossJoin(spark.range(40).select("id")).drop("id").repartition(3)
+    again = toxicity.train(repeated, labels, F.col("doc_id") < 400)
+    assert again.weights == model.weights and again.bias == model.bias
     untrained = toxicity.train(docs, labels.limit(0), F.lit(True))
     assert toxicity.scored(docs, untrained).agg(F.max("toxic_score")).first()[0] == 0
     assert toxicity.scored(docs.limit(0), model).count() == 0
@@ -339,6 +343,22 @@ def test_personal_data(spark):
     assert personal_data.found(docs, personal_data.train(docs.limit(0))).where("size(spans) > 0").count() == 0
 
 
+def test_automaton_is_linear_in_a_repeated_word():
+    """An item and a text of one word, at the size of a whole block, take seconds, not minutes."""
+    n = 100_000
+    automaton = decontamination.ItemAutomaton()
+    automaton.add("a", [b"x"] * n)
+    automaton.add("b", [b"x"] * 10 + [b"y"])
+    start = time.monotonic()
+    automaton.finish()
+    for text in ([b"x"] * n, [b"x", b"y"] * n, [b"z"] + [b"x"] * 12 + [b"y"]):
+        seen, runs, items = automaton.hits(iter([text]))
+        assert seen == len(text)
+    assert time.monotonic() - start < 20
+    assert runs == [(1, 14)] and items == {"a", "b"}
+    assert automaton.hits(iter([[b"x"] * 9 + [b"z"]]))[1:] == ([], set())
+
+
 def test_search(spark, docs, rows):
     got = collections.defaultdict(list)
     for r in search.top_k(docs, F.col("doc_id") % 4 == 0, 5).orderBy("query_id", "rank").collect():
