@@ -8,15 +8,18 @@ A reading task owns a byte range of a file. It looks for gzip magic from the ran
 takes a place for a member only if it can be unpacked into a record's header (in steps, a
 header may be of any length), and from the
 first such place on follows member after member. It owns the records that start inside its
-range and reads on past the end for the last one. After a damaged member the search for
-magic starts anew, one byte further. UTF-8 payloads cannot contain the magic, and a chance
+range and reads on past the end for the last one. A file's first record must start at its first
+byte, and every record must be followed by another or by the end of the file, whose size must be
+the stated one: so no damage stays unseen, the last record of a range vouches for the next range.
+What does not hold stops the job, or is reported as a row, and the search for magic starts
+anew, one byte further. UTF-8 payloads cannot contain the magic, and a chance
 match inside packed data does not unpack to a header.
 
 Records with equal payloads of at least ``min_bytes`` bytes: the one with the smallest
 page_id is a response, the others revisit it. Rows that repeat under the smallest page_id
 are all responses; a row without page_id revisits, unless no row of its payload has one. A null
-html is an empty payload, a null url has no target header; line ends in a url are
-percent-encoded. No rows give no records. Other columns are not read.
+html is an empty payload, a null url has no target header; line ends and percent signs in a url,
+and blanks around it, are percent-encoded, and decoded in records of this writer. No rows give no records. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -41,10 +44,15 @@ VERSION, _START = b"WARC/1.1", b"WARC/1."
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A file is closed once it has this many bytes; a reading task owns this many of a file.
 FILE_BYTES, SPLIT_BYTES = 256 << 20, 32 << 20
+#: Reading tasks at most; beyond, each reads several ranges.
+TASKS = 20_000
 #: Bytes read at once, and the bytes of a header read or unpacked in one step.
 CHUNK_BYTES, HEADER_BYTES = 1 << 20, 64 << 10
 #: Rows that leave a reading task in one batch hold about this much payload.
 BATCH_BYTES = 8 << 20
+#: Type of the rows that stand for damage, and what in a url is percent-encoded and decoded.
+DAMAGED = "damaged"
+_ENCODED, _DECODED = re.compile(r"[\r\n%]|\A[ \t]+|[ \t]+\Z"), re.compile("%(0D|0A|25|20|09)")
 
 RECORDS = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -90,7 +98,7 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, o
         ("WARC-Date", date),
     ]
     if url is not None:
-        head.append(("WARC-Target-URI", re.sub(r"[\r\n%]", lambda m: f"%{ord(m[0]):02X}", url)))
+        head.append(("WARC-Target-URI", _ENCODED.sub(lambda m: "".join(f"%{ord(c):02X}" for c in m[0]), url)))
     if original is not None:
         head += [("WARC-Refers-To", f"<urn:page:{original}>"), ("WARC-Profile", REVISIT_PROFILE)]
     head += [
@@ -203,22 +211,36 @@ def _next_record(source: _Source, at: int, end: int) -> int | None:
     return None
 
 
-def records_in(path: str, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-cased names) and block of the records that start in [start, end) of a file."""
+def records_in(
+    path: str, start: int, end: int, size: int | None = None, damage: Callable[[int], None] = lambda place: None
+) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-cased names) and block of the records that start in [start, end) of a file.
+
+    ``damage`` is told each place from which on bytes belong to no record, as far as this range
+    answers for it: what follows its records, the file's beginning and, if stated, its size.
+    """
     source = _Source(path)
+    if start == 0 and size not in (None, source.size):
+        damage(min(size, source.size))
     at = _next_record(source, start, end)
+    if start == 0 and at != 0 and source.size:
+        damage(0)
     while at is not None and at < end:
         found = _member(source, at)
         head, mark, rest = found[0].partition(b"\r\n\r\n") if found else (b"", b"", b"")
         if not mark or not head.startswith(_START):
+            damage(at)
             at = _next_record(source, at + 1, end)
             continue
         lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
-        headers = {k.strip().lower(): v.strip() for k, _, v in lines}
+        headers = {k.strip().lower(): v.strip(" \t") for k, _, v in lines}
         length = headers.get("content-length", "")
         yield headers, rest[: int(length) if length.isdigit() else len(rest)]
         at = found[1]
-        if at < end and source.chunk(at, len(MAGIC)) != MAGIC:
+        if at >= source.size:
+            return
+        if source.chunk(at, len(MAGIC)) != MAGIC or at >= end and not _starts_record(source, at):
+            damage(at)
             at = _next_record(source, at, end)
 
 
@@ -234,7 +256,7 @@ def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> dict:
     response = kind == "response"
     row = {
         "page_id": _page_of(headers.get("warc-record-id")),
-        "url": url and re.sub("%(0D|0A|25)", lambda m: chr(int(m[1], 16)), url),
+        "url": _DECODED.sub(lambda m: chr(int(m[1], 16)), url) if url and "x-payload-length" in headers else url,
         "record_type": kind,
         "refers_to": _page_of(headers.get("warc-refers-to")),
         "payload_bytes": len(payload) if response else int(headers.get("x-payload-length", 0)),
@@ -247,16 +269,20 @@ def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = False) -> DataFrame:
+def read_archives(
+    spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = False, report_damage: bool = False
+) -> DataFrame:
     """The records of files (path, bytes), each by the task whose byte range it starts in.
 
     Length and digest of a response are taken from the payload itself; a revisit has its
-    record's own statements. Records that are neither are passed over.
+    record's own statements. Records that are neither are passed over. Damage raises an error
+    that names file and place; with ``report_damage`` each such place becomes a row of type
+    ``damaged``, with file and place as url, and all whole records are still read.
     """
     ranges = files.select(
         "path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(split_bytes).cast("bigint"))).alias("start")
     ).where("bytes > 0")
-    ranges = ranges.select("path", "start", F.least("bytes", F.col("start") + split_bytes).alias("end"))
+    ranges = ranges.select("path", "start", F.least("bytes", F.col("start") + split_bytes).alias("end"), "bytes")
     schema = RECORDS + (", payload binary" if with_payload else "")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +292,15 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = SPLI
             + ([("payload", pa.binary())] if with_payload else [])
         )
         for batch in batches:
-            for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, start, end, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, held = [], 0
-                for headers, block in records_in(path, start, end):
+
+                def damage(place: int) -> None:
+                    if not report_damage:
+                        raise ValueError(f"damaged archive {path} at byte {place}")
+                    rows.append({"url": f"{path}:{place}", "record_type": DAMAGED})
+
+                for headers, block in records_in(path, start, end, size, damage):
                     if headers.get("warc-type") not in ("response", "revisit"):
                         continue
                     rows.append(_row(headers, block, with_payload))
@@ -279,5 +311,5 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = SPLI
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, fields)
 
-    # ranges are few and small rows, their work is large: as many tasks, whatever adaptive execution would join
-    return ranges.repartition(max(1, ranges.count())).mapInArrow(read, schema)
+    # ranges are small rows, their work is large: their number of tasks is not left to adaptive execution
+    return ranges.repartition(min(max(1, ranges.count()), TASKS)).mapInArrow(read, schema)

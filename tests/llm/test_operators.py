@@ -104,6 +104,35 @@ def test_warc_reads_long_headers(spark, split):
         assert sorted((r.page_id, r.url, r.payload.decode()) for r in got) == pages
 
 
+@pytest.mark.parametrize("split", [150, 1 << 20])
+def test_warc_tells_of_damage(spark, tmp_path, split):
+    """A record damaged in its header or its payload, a file cut short, bytes between records: all other records are read."""
+    record = lambda i: warc._record(i, f" http://{i}\t ", bytes(random.Random(i).randbytes(300)), "D", None, "2024-01-01T00:00:00Z")
+    records = [record(i) for i in range(5)]
+    spoilt = lambda data, at: data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :]
+    cases = {
+        "whole": (records, {0, 1, 2, 3, 4}, None),
+        "head": ([*records[:2], spoilt(records[2], 12), *records[3:]], {0, 1, 3, 4}, 2),
+        "first": ([spoilt(records[0], 0), *records[1:]], {1, 2, 3, 4}, 0),
+        "payload": ([*records[:3], spoilt(records[3], len(records[3]) - 30), records[4]], {0, 1, 2, 4}, 3),
+        "between": ([*records[:2], b"xx", *records[2:]], {0, 1, 2, 3, 4}, 2),
+        "cut": ([*records[:4], records[4][:-9]], {0, 1, 2, 3}, 4),
+        "lost end": (records[:4], {0, 1, 2, 3}, 4),
+    }
+    for name, (parts, whole, place) in cases.items():
+        path = tmp_path / f"{name.replace(' ', '-')}.warc.gz"
+        path.write_bytes(b"".join(parts))
+        stated = sum(map(len, records)) if name == "lost end" else path.stat().st_size
+        files = spark.createDataFrame([(str(path), stated)], "path string, bytes bigint")
+        got = warc.read_archives(spark, files, split_bytes=split, report_damage=True).collect()
+        assert {(r.page_id, r.url) for r in got if r.record_type == "response"} == {(i, f" http://{i}\t ") for i in whole}
+        damaged = [r.url for r in got if r.record_type == warc.DAMAGED]
+        assert damaged == ([] if place is None else [f"{path}:{sum(map(len, parts[:place]))}"])
+        if place is not None:
+            with pytest.raises(Exception, match="damaged archive"):
+                warc.read_archives(spark, files, split_bytes=split).collect()
+
+
 def test_warc_takes_no_other_member_for_a_record(tmp_path):
     """Members that are no record, or end within the header, are passed over."""
     record = warc._record(7, "u", b"text", "D", None, "2024-01-01T00:00:00Z")
@@ -305,6 +334,35 @@ def test_secrets(spark):
     assert secrets.redacted(docs.limit(0), secrets.log_ratios(docs.limit(0))).count() == 0
 
 
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    """Spans, runs that overlap none of them, and redaction, against plain code; block edges included."""
+    rng = random.Random(8)
+    parts = ["token=abcdefgh1", "0" * 33, "AKIA" + "B2" * 9, "secret: " + "0a" * 20 + "/x", "Zq8Xp2Lm9Kd3Rt7VbN4w1", "é word", "token=AKIA" + "C3" * 8]
+    texts = [" ".join(rng.choice(parts) for _ in range(n)) for n in (255, 256, 257, 511, 513, 1200, 40_000)]
+    docs = frame(spark, list(enumerate(texts)))
+    ratios = [1.0] * secrets.CODES**2  # every run is a secret
+    start = time.monotonic()
+    found = secrets.with_spans(docs, ratios).select("doc_id", "base_spans", "spans").orderBy("doc_id").collect()
+    masked = [r.text for r in secrets.redacted(docs, ratios).orderBy("doc_id").collect()]
+    assert time.monotonic() - start < 90
+    for row, text, new in zip(found, texts, masked, strict=True):
+        base = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, text, re.I | re.A) if len(m[2]) >= 8]
+        base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]{12,}", text)]
+        base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{32,}", text)]
+        assert [tuple(s) for s in row.base_spans] == sorted(base)
+        inside = bytearray(len(text))
+        for a, _, b in base:
+            inside[a:b] = b"\1" * (b - a)
+        spans = sorted(base + [(m.start(), 3, m.end()) for m in re.finditer(secrets.RUNS, text) if not any(inside[m.start() : m.end()])])
+        assert [tuple(s) for s in row.spans] == spans
+        at, out = 0, []
+        for a, _, b in spans:
+            if a >= at:
+                out += [text[at:a], secrets.MARK]
+            at = max(at, b)
+        assert new == "".join(out) + text[at:]
+
+
 def test_markov_adds_random_strings_only(spark):
     rng = random.Random(5)
     syllable = lambda: rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiouy")
