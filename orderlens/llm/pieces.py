@@ -10,12 +10,16 @@ encoding is BPE's exactly if every two neighbouring pieces stay apart when merge
 Each position has one last piece whose predecessor allows it, so the path is unique and equals
 the result of merging the best-scored pair again and again.
 
+A long unit is relaxed in many lanes side by side, in sections of bounded size. A lane counts only
+from where it agrees, over the length of the longest piece, with what is known to be right.
+
 Pieces never hold a space after another character, nor a line end, so units are independent.
 The vocabulary (bounded by the model file) is broadcast; its path is a parameter.
 
 Nulls and edges: a null or empty text has no pieces and decodes to an empty text. Characters
 without a piece become byte pieces. A literal U+2581 is the same symbol as a space and decodes to
-one. Repeated rows are encoded each. Other columns are passed on.
+one. A text of any length, with or without spaces, is encoded whole, at some seconds per million
+letters. Repeated rows are encoded each. Other columns are passed on.
 """
 
 from __future__ import annotations
@@ -37,6 +41,9 @@ SPACE = "▁"
 #: Bytes of distinct units in one suffix array, of texts handled at once, and of encoded units kept for later texts.
 BLOCK_BYTES, SLICE_BYTES, KEPT_BYTES = 1 << 18, 1 << 20, 1 << 21
 
+#: A unit of more bytes is encoded by lanes of so many bytes, each begun so many bytes before.
+LONG_BYTES, LANE_BYTES, WARM_BYTES = 1 << 13, 1 << 10, 1 << 8
+
 _UNITS = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
 _NONE, _BEGIN, _BYTES = -3, -2, -1  # nothing reached; start of a unit; a character without a piece
 
@@ -219,13 +226,9 @@ def occurrences(v: dict, data: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray
     return place[piece >= 0], piece[piece >= 0]
 
 
-def encode_units(v: dict, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all units in a row, and how many each has."""
-    data = np.frombuffer(b"".join(units), dtype=np.uint8)
-    sizes = np.array([len(u) for u in units])
-    begin = np.cumsum(sizes) - sizes
-    unit = np.repeat(np.arange(len(units)), sizes)
-    place, piece = occurrences(v, data, (begin + sizes)[unit])
+def _edges(v: dict, data: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, piece rank and width of all edges: pieces, and characters without a piece."""
+    place, piece = occurrences(v, data, stop)
     width = v["sizes"][piece]
     starts = (data & 0xC0) != 0x80
     starts[place[piece < v["n_chars"]]] = False  # what is left are characters without a piece
@@ -233,18 +236,24 @@ def encode_units(v: dict, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     bound = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     place = np.concatenate([place, plain])
     piece = np.concatenate([piece, np.full(len(plain), _BYTES)])
-    width = np.concatenate([width, bound[np.searchsorted(bound, plain) + 1] - plain])
+    return place, piece, np.concatenate([width, bound[np.searchsorted(bound, plain) + 1] - plain])
 
-    # a node before every byte of a unit and one after its last
-    offset = place - begin[unit[place]]
-    node = place + unit[place]
+
+def _relaxed(
+    v: dict, sizes: np.ndarray, unit: np.ndarray, offset: np.ndarray, piece: np.ndarray, width: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Last piece and its width per node, of edges (unit, offset in it, piece, width), for all units at once.
+
+    A unit has a node before every byte and one after its last.
+    """
+    begin = np.cumsum(sizes + 1) - sizes - 1
     small = np.uint16 if sizes.max(initial=0) < 1 << 16 else np.int64
     order = np.argsort(offset.astype(small), kind="stable")
-    node, piece, width = node[order], piece[order], width[order]
+    node, piece, width = (begin[unit] + offset)[order], piece[order], width[order]
     steps = np.searchsorted(offset[order], np.arange(sizes.max(initial=0) + 1))
-    last = np.full(len(data) + len(units), _NONE)
+    last = np.full(int(sizes.sum()) + len(sizes), _NONE)
     back = np.zeros(len(last), dtype=np.int64)
-    last[begin + np.arange(len(units))] = _BEGIN
+    last[begin] = _BEGIN
     for i, j in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
         before = last[node[i:j]]
         good = before != _NONE
@@ -252,6 +261,17 @@ def encode_units(v: dict, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         good[test] = stay_apart(v, before[test], piece[i:j][test])
         n, w = node[i:j][good], width[i:j][good]
         last[n + w], back[n + w] = piece[i:j][good], w
+    return last, back
+
+
+def encode_units(v: dict, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all units in a row, and how many each has."""
+    data = np.frombuffer(b"".join(units), dtype=np.uint8)
+    sizes = np.array([len(u) for u in units], dtype=np.int64)
+    begin = np.cumsum(sizes) - sizes
+    unit = np.repeat(np.arange(len(units)), sizes)
+    place, piece, width = _edges(v, data, (begin + sizes)[unit])
+    last, back = _relaxed(v, sizes, unit[place], place - begin[unit[place]], piece, width)
 
     # from the ends of the units back to their starts
     at = begin + sizes + np.arange(len(units))
@@ -279,6 +299,100 @@ def encode_units(v: dict, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out_id[order].astype(np.int32), np.bincount(out_unit, minlength=len(units))
 
 
+def _char_start(data: np.ndarray, at: int) -> int:
+    """The nearest start of a character at or before a place, or the end."""
+    while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+class _Long:
+    """Encodes one long unit, section by section, each by many lanes at once.
+
+    A lane relaxes its part of the text from some way before it on, as if the text began there.
+    What a node holds depends on the nodes within the reach of the longest piece before it
+    alone. So if a lane and the exact nodes agree for that reach, the lane is exact from there
+    on. Where they do not, the part is relaxed by itself, from the exact nodes on.
+    """
+
+    def __init__(self, v: dict, unit: bytes):
+        self.v, self.data = v, np.frombuffer(unit, dtype=np.uint8)
+        self.reach = max(4, int(v["sizes"].max(initial=4)))
+        self.last = np.full(len(unit) + 1, _NONE, dtype=np.int32)
+        self.back = np.zeros(len(unit) + 1, dtype=np.int32)
+        self.last[0] = _BEGIN
+        self.known: dict[tuple[int, int], bool] = {}
+
+    def _apart(self, a: int, b: int) -> bool:
+        if a < 0 or b < 0:
+            return True
+        if (a, b) not in self.known:
+            if len(self.known) >= 1 << 20:
+                self.known.clear()
+            self.known[a, b] = bool(stay_apart(self.v, np.array([a]), np.array([b]))[0])
+        return self.known[a, b]
+
+    def _step_by_step(self, start: int, end: int, edges: tuple[np.ndarray, ...]) -> None:
+        """The nodes before ``end``, from exact ones for a reach after ``start`` on."""
+        place, piece, width = edges
+        i, j = np.searchsorted(place, [start, end]).tolist()
+        last, back = self.last[start : end + self.reach].tolist(), self.back[start : end + self.reach].tolist()
+        for p, x, w in zip((place[i:j] - start).tolist(), piece[i:j].tolist(), width[i:j].tolist(), strict=True):
+            if last[p] != _NONE and p + w < len(last) and self._apart(last[p], x):
+                last[p + w], back[p + w] = x, w
+        n = min(end, len(self.last)) - start
+        self.last[start : start + n], self.back[start : start + n] = last[:n], back[:n]
+
+    def _section(self, start: int, end: int) -> None:
+        """The nodes up to a reach after ``end``, given those for a reach after ``start``."""
+        data, n = self.data, len(self.data)
+        first, stop = _char_start(data, max(0, start - WARM_BYTES)), min(n, end + self.reach)
+        while stop < n and data[stop] & 0xC0 == 0x80:
+            stop += 1
+        edges = _edges(self.v, data[first:stop], np.full(stop - first, stop - first))
+        order = np.argsort(edges[0], kind="stable")
+        place, piece, width = edges[0][order] + first, edges[1][order], edges[2][order]
+
+        parts = np.append(np.arange(start, end, LANE_BYTES), end)
+        low = np.array([_char_start(data, max(0, p - WARM_BYTES)) for p in parts[:-1].tolist()])
+        high = np.minimum(stop, parts[1:] + self.reach)
+        i, j = np.searchsorted(place, low), np.searchsorted(place, high)
+        lane = np.repeat(np.arange(len(low)), j - i)
+        at = np.arange(len(lane)) + np.repeat(i - (np.cumsum(j - i) - (j - i)), j - i)
+        inside = place[at] + width[at] <= high[lane]
+        lane, at = lane[inside], at[inside]
+        last, back = _relaxed(self.v, high - low, lane, place[at] - low[lane], piece[at], width[at])
+
+        base = np.cumsum(high - low + 1) - (high - low + 1)
+        for k, (p, q) in enumerate(zip(parts[:-1].tolist(), parts[1:].tolist(), strict=True)):
+            node = int(base[k]) + p - int(low[k])
+            size = min(n + 1, q + self.reach) - p
+            held, wide = last[node : node + size], back[node : node + size]
+            r = min(self.reach, size)
+            same = (self.last[p : p + r] == held[:r]).all() and (self.back[p : p + r] == wide[:r]).all()
+            if p == 0 or same:
+                self.last[p : p + size], self.back[p : p + size] = held, wide
+            else:
+                self._step_by_step(p, p + size, (place, piece, width))
+
+    def ids(self) -> np.ndarray:
+        v, n = self.v, len(self.data)
+        for start in range(0, n, BLOCK_BYTES):
+            self._section(start, min(n, start + BLOCK_BYTES))
+        out, at = [], n
+        while at > 0:  # from the end back, some nodes at a time
+            low = max(0, at - BLOCK_BYTES)
+            last, back = self.last[low : at + 1].tolist(), self.back[low : at + 1].tolist()
+            while at > low:
+                token, w = last[at - low], back[at - low]
+                if token >= 0:
+                    out.append(v["ids"][token])
+                else:
+                    out += v["byte_ids"][self.data[at - w : at][::-1]].tolist()
+                at -= w
+        return np.array(out[::-1], dtype=np.int32)
+
+
 class Encoder:
     """Encodes batch after batch; units of earlier batches are kept, up to ``KEPT_BYTES`` of them."""
 
@@ -293,14 +407,24 @@ class Encoder:
 
     def _index(self, units: list[bytes]) -> None:
         """Encode new units block by block, each block through its own suffix array."""
-        ids, counts, start, size = [self.ids], [self.counts], 0, 0
+        ids, counts, block, size = [self.ids], [self.counts], [], 0
+
+        def put(part_ids: np.ndarray, part_counts: np.ndarray) -> None:
+            ids.append(part_ids)
+            counts.append(part_counts)
+
         for i, unit in enumerate(units):
-            size += len(unit)
-            if size >= BLOCK_BYTES or i == len(units) - 1:
-                part = encode_units(self.vocabulary, units[start : i + 1])
-                ids.append(part[0])
-                counts.append(part[1])
-                self.size, start, size = self.size + size, i + 1, 0
+            long = len(unit) > LONG_BYTES
+            if not long:
+                block.append(unit)
+                size += len(unit)
+            if block and (long or size >= BLOCK_BYTES or i == len(units) - 1):
+                put(*encode_units(self.vocabulary, block))
+                self.size, block, size = self.size + size, [], 0
+            if long:
+                found = _Long(self.vocabulary, unit).ids()
+                put(found, np.array([len(found)]))
+                self.size += len(unit)
         self.ids, self.counts = np.concatenate(ids), np.concatenate(counts)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

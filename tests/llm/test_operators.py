@@ -334,6 +334,46 @@ def test_secrets(spark):
     assert secrets.redacted(docs.limit(0), secrets.log_ratios(docs.limit(0))).count() == 0
 
 
+LONG_UNITS = {
+    "mixed": lambda r, n: "".join(r.choice(["the", "return", "größe", "東京", "😀", "\x00", "==", "é", "Q7"]) for _ in range(n // 4)),
+    "letters": lambda r, n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(n)),
+    "period of 6": lambda r, n: ("abcabd" * n)[:n],
+    "period of 7": lambda r, n: ("x" + "a" * 6) * (n // 7),
+    "one letter": lambda r, n: "=" * n,
+    "spaces": lambda r, n: "x" + " " * n + "y",
+    "characters without a piece": lambda r, n: "".join(chr(r.randint(0x1F300, 0x1F9FF)) for _ in range(n // 4)),
+}
+
+
+@pytest.mark.parametrize("kind", LONG_UNITS)
+def test_sentencepiece_long_units_equal_the_library(monkeypatch, kind):
+    """Units longer than lanes and sections, with lanes that agree at once, late or never."""
+    import sentencepiece
+
+    model, vocabulary = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.read_vocabulary()
+    stepped = []
+    plain = pieces._Long._step_by_step
+    monkeypatch.setattr(pieces._Long, "_step_by_step", lambda self, *args: (stepped.append(args[0]), plain(self, *args)))
+    rng = random.Random(4)
+    for long, lane, warm, block in ((8192, 1024, 256, 1 << 18), (200, 100, 30, 450), (60, 37, 0, 111)):
+        for name, value in zip(("LONG_BYTES", "LANE_BYTES", "WARM_BYTES", "BLOCK_BYTES"), (long, lane, warm, block), strict=True):
+            monkeypatch.setattr(pieces, name, value)
+        for n in (long - 1, long, 3 * long, 2 * block + 1 if block < 1000 else 30_000):
+            texts = ["b c", LONG_UNITS[kind](rng, n), "", None, LONG_UNITS[kind](rng, n) + " d " + LONG_UNITS[kind](rng, n)]
+            ids, counts = pieces.encode_texts(vocabulary, texts)
+            want = [model.encode(t or "") for t in texts]
+            assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert stepped, "no lane disagreed"
+
+
+def test_sentencepiece_of_5_mb_without_a_space():
+    vocabulary, text = pieces.read_vocabulary(), LONG_UNITS["letters"](random.Random(6), 5_000_000)
+    start = time.monotonic()
+    ids, counts = pieces.encode_texts(vocabulary, [text])
+    assert time.monotonic() - start < 150
+    assert pieces.decode_ids(vocabulary, ids, counts) == [text]
+
+
 def test_secrets_of_a_text_with_very_many_matches(spark):
     """Spans, runs that overlap none of them, and redaction, against plain code; block edges included."""
     rng = random.Random(8)
